@@ -69,8 +69,13 @@ ROLLING = (
 )
 
 
+def _places(name: str) -> int:
+    """Means of minute fractions tie at six places, not at nine; deviations carry noise."""
+    return 6 if "std" in name else 9
+
+
 def _shown(name: str) -> str:
-    return _back(name) if "max" in name else f"round({_back(name)}, 6)"
+    return _back(name) if "max" in name else f"round({_back(name)}, {_places(name)})"
 
 
 FLAGSHIP = (
@@ -95,7 +100,7 @@ def _quantiles(source: str, column: str) -> str:
     levels = "[0.0, 0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0]::DOUBLE[]"
     plain = levels.replace("::DOUBLE[]", "")
     return f"""SELECT series_id, unnest({levels}) AS level,
-      unnest(list_transform(q, x -> round(x, 9))) AS quantile
+      unnest([round(x, 9) for x in q]) AS quantile
       FROM (SELECT series_id, quantile_cont({column}, {plain}) AS q FROM {source} GROUP BY 1)"""
 
 
@@ -231,7 +236,7 @@ kept AS (SELECT * FROM gaps WHERE y >= 1)"""
 def _padded(width: int) -> str:
     """The last ``width`` gaps, with the earliest one repeated in front if there are fewer."""
     rows = f"list(y) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
-    return f"list_concat(list_transform(range({width} - len({rows})), x -> {rows}[1]), {rows})"
+    return f"list_concat([first(y) OVER (PARTITION BY series_id ORDER BY ds) for x in range({width} - len({rows}))], {rows})"
 
 
 DECEMBER = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -276,12 +281,12 @@ def statements() -> dict[str, str]:
     sql["time_texts"] = """SELECT event_id AS tie, strftime(ts, '%Y-%m-%d %H:%M') AS label,
         event_type || '#' || strftime(ts, '%Y-%m-%dT%H:%M:00') AS row_key, printf('%.4f', value) AS four_places, value AS parsed FROM events"""
     sql["cyclical_features"] = """SELECT event_id AS tie,
-        round(sin(epoch_us(ts) / 1e6 * (2 * pi() / 86400)), 7) AS day_sin, round(cos(epoch_us(ts) / 1e6 * (2 * pi() / 86400)), 7) AS day_cos,
-        round(sin(epoch_us(ts) / 1e6 * (2 * pi() / 604800)), 7) AS week_sin, round(cos(epoch_us(ts) / 1e6 * (2 * pi() / 604800)), 7) AS week_cos
+        round(sin(epoch_us(ts) / 1e6 * (2 * pi() / 86400)), 7) + 0.0 AS day_sin, round(cos(epoch_us(ts) / 1e6 * (2 * pi() / 86400)), 7) + 0.0 AS day_cos,
+        round(sin(epoch_us(ts) / 1e6 * (2 * pi() / 604800)), 7) + 0.0 AS week_sin, round(cos(epoch_us(ts) / 1e6 * (2 * pi() / 604800)), 7) + 0.0 AS week_cos
         FROM events"""
     sql["cyclical_calendar"] = """SELECT event_id AS tie,
-        round(sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 9) AS day_sin, round(cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 9) AS day_cos,
-        round(sin(2 * pi() * (isodow(ts) - 1) * 1440 / 10080), 9) AS week_sin, round(cos(2 * pi() * (isodow(ts) - 1) * 1440 / 10080), 9) AS week_cos
+        round(sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 9) + 0.0 AS day_sin, round(cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 9) + 0.0 AS day_cos,
+        round(sin(2 * pi() * (isodow(ts) - 1) * 1440 / 10080), 9) + 0.0 AS week_sin, round(cos(2 * pi() * (isodow(ts) - 1) * 1440 / 10080), 9) + 0.0 AS week_cos
         FROM events"""
 
     weather = "SELECT series_id, idx, temp, precip, snow, windspeed FROM wrows"
@@ -295,7 +300,7 @@ def statements() -> dict[str, str]:
     sql["rolling_back_filled_with_gaps"] = (
         gappy
         + f", r AS (SELECT *, {_full('avg', 3, 'k')} AS rmean, {_full('max', 3, 'k')} AS rmax FROM g)"
-        + f" SELECT series_id, idx, round({_back('rmean')}, 6) AS rolling_mean_3, {_back('rmax')} AS rolling_max_3 FROM r"
+        + f" SELECT series_id, idx, round({_back('rmean')}, 9) AS rolling_mean_3, {_back('rmax')} AS rolling_max_3 FROM r"
     )
     sql["monthly_static"] = (
         BASE
@@ -304,8 +309,8 @@ def statements() -> dict[str, str]:
     )
 
     for name, fn, width in ROLLING:
-        sql[name] = BASE + f", r AS (SELECT *, {_full(fn, width)} AS v FROM clean) SELECT series_id, idx, round({_back('v')}, 6) AS {name} FROM r"
-    sql["rolling_plain_50"] = BASE + f" SELECT series_id, idx, round({_full('avg', 50)}, 6) AS rolling_mean_50 FROM clean"
+        sql[name] = BASE + f", r AS (SELECT *, {_full(fn, width)} AS v FROM clean) SELECT series_id, idx, round({_back('v')}, {_places(name)}) AS {name} FROM r"
+    sql["rolling_plain_50"] = BASE + f" SELECT series_id, idx, round({_full('avg', 50)}, 9) AS rolling_mean_50 FROM clean"
     gaps = BASE + """, g AS (SELECT series_id, ds, y, row_number() OVER (PARTITION BY series_id ORDER BY ds, tie) - 1 AS idx,
         count(*) OVER (PARTITION BY series_id) AS n FROM arr WHERE y >= 1)"""
     sql["headways_last_150"] = gaps + " SELECT series_id, ds, y FROM g WHERE idx >= n - 150"
@@ -399,7 +404,7 @@ def statements() -> dict[str, str]:
     sql["standard_scale"] = (
         SCALER + " SELECT series_id, idx, round((duration - dm) / dsd, 6) AS duration, round((y - ym) / ysd, 6) AS y FROM parts JOIN sc USING (series_id)"
     )
-    sql["inverse_scale"] = BASE + " SELECT series_id, idx, round(duration, 6) AS duration, round(y, 6) AS y FROM clean"
+    sql["inverse_scale"] = BASE + " SELECT series_id, idx, round(duration, 9) AS duration, round(y, 9) AS y FROM clean"
     sql["robust_scale"] = (
         SPLIT
         + """, m AS (SELECT series_id, quantile_cont(duration, 0.5) AS dm, quantile_cont(y, 0.5) AS ym FROM parts WHERE split = 'train' GROUP BY 1),
@@ -434,7 +439,7 @@ def statements() -> dict[str, str]:
         WINDOWS
         + """, f AS (SELECT series_id, min(start_idx) AS first FROM windows WHERE split = 'test' GROUP BY 1)
         SELECT w.series_id, w.start_idx - f.first AS sample, w.target AS true_value, w.y AS prediction, abs(w.target - w.y) AS abs_error,
-               CAST(c.idx - w.start_idx AS INTEGER) AS step, round(c.y, 6) AS history
+               CAST(c.idx - w.start_idx AS INTEGER) AS step, round(c.y, 9) AS history
         FROM windows w JOIN f USING (series_id) JOIN clean c ON c.series_id = w.series_id AND c.idx BETWEEN w.start_idx AND w.idx
         WHERE w.split = 'test' AND w.start_idx < f.first + 3"""
     )
@@ -523,7 +528,7 @@ def statements() -> dict[str, str]:
     )
     sql["staleness"] = f"""SELECT user_id, max(ts) AS last_seen, (epoch_us({DECEMBER}) - epoch_us(max(ts))) / 6e7 AS minutes_stale FROM events GROUP BY 1"""
     sql["requests_round_trip"] = (
-        BASE + """ SELECT series_id, idx, least(n, 165) AS n, series_id AS unique_id, date_trunc('milliseconds', ds) AS ds, duration, y FROM clean WHERE idx < 165"""
+        BASE + """ SELECT series_id, idx, least(n, 165) AS n, series_id AS unique_id, ds, duration, y FROM clean WHERE idx < 165"""
     )
     sql["request_errors"] = """SELECT event_id AS request_id, 'Input must be a list of records or {''instances'': [...]}' AS error FROM events"""
     sql["short_requests"] = """SELECT user_id, count(*) AS rows,
@@ -542,8 +547,8 @@ def statements() -> dict[str, str]:
         GAPS
         + WEATHER
         + f""", f AS (SELECT series_id, ds, y, {_padded(10)} AS p10, {_padded(50)} AS p50, {_padded(60)} AS p60 FROM kept)
-        SELECT series_id, f.ds, y, round(list_stddev_samp(p50), 5) AS rolling_std_50, list_max(p10) AS rolling_max_10, round(list_avg(p10), 5) AS rolling_mean_10,
-               round(list_stddev_samp(p10), 5) AS rolling_std_10, round(list_avg(p50), 5) AS rolling_mean_50, f.ds + INTERVAL 1 HOUR AS future_ds,
+        SELECT series_id, f.ds, y, round(list_stddev_samp(p50), 5) AS rolling_std_50, list_max(p10) AS rolling_max_10, round(list_avg(p10), 9) AS rolling_mean_10,
+               round(list_stddev_samp(p10), 5) AS rolling_std_10, round(list_avg(p50), 9) AS rolling_mean_50, f.ds + INTERVAL 1 HOUR AS future_ds,
                CAST(isodow(f.ds + INTERVAL 1 HOUR) >= 6 AS INTEGER) AS dow, temp, p60[1] AS oldest
         FROM f LEFT JOIN wx ON wx.hour = {HOUR.replace('epoch_us(ds)', 'epoch_us(f.ds + INTERVAL 1 HOUR)')}"""
     )

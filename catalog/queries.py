@@ -81,7 +81,8 @@ def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
 def flagship_features(spark, sf):
     table = feature_table(raw(spark, sf), weather(spark, sf), CFG)
     shown = written_columns(table)
-    return _rounded(shown, 6, "rolling_mean_10", "rolling_mean_50", "rolling_std_10", "rolling_std_50")
+    exact = _rounded(shown, 9, "rolling_mean_10", "rolling_mean_50")
+    return _rounded(exact, 6, "rolling_std_10", "rolling_std_50")
 
 
 # ---- cleaning and columns -------------------------------------------------------
@@ -242,7 +243,7 @@ def rolling_back_filled_with_gaps(spark, sf):
     numbered = positions(_gappy(spark, sf).drop("gid", "chunk"), ["arrival_date", "tie"])
     features = [("rolling_mean_3", "mean", 3), ("rolling_max_3", "max", 3)]
     out = rolling(numbered, "known", features, dense=False, block_rows=CFG.block_rows)
-    return _rounded(out.select(*KEY, "rolling_mean_3", "rolling_max_3"), 6, "rolling_mean_3")
+    return _rounded(out.select(*KEY, "rolling_mean_3", "rolling_max_3"), 9, "rolling_mean_3")
 
 
 @query
@@ -260,7 +261,7 @@ def monthly_static(spark, sf):
 def _rolling_one(name, fn, width):
     def run(spark, sf):
         out = rolling(cleaned(spark, sf), "y", [(name, fn, width)], block_rows=CFG.block_rows)
-        return out.select(*KEY, F.round(name, 6).alias(name))
+        return out.select(*KEY, F.round(name, 6 if fn == "std" else 9).alias(name))
 
     run.__name__ = name
     return query(run)
@@ -279,7 +280,7 @@ for _name, _fn, _width in (
 @query
 def rolling_plain_50(spark, sf):
     out = rolling_plain(cleaned(spark, sf), block_rows=CFG.block_rows)
-    return out.select(*KEY, F.round("rolling_mean_50", 6).alias("rolling_mean_50"))
+    return out.select(*KEY, F.round("rolling_mean_50", 9).alias("rolling_mean_50"))
 
 
 @query
@@ -485,7 +486,7 @@ def inverse_scale(spark, sf):
     rows = split.split(cleaned(spark, sf))
     fitted = store(scaling.fit_scaler(rows, SCALED), "fitted")
     back = scaling.inverse_scale(scaling.apply_scaler(rows, fitted, SCALED), fitted, SCALED)
-    return _rounded(back.select(*KEY, *SCALED), 6, *SCALED)
+    return _rounded(back.select(*KEY, *SCALED), 9, *SCALED)
 
 
 @query
@@ -546,7 +547,7 @@ def forecast_context(spark, sf):
     long = shown.select(
         SERIES, "sample", "true_value", "prediction", "abs_error", F.posexplode("history").alias("step", "history")
     )
-    return _rounded(long, 6, "history")
+    return _rounded(long, 9, "history")
 
 
 # ---- evaluation -----------------------------------------------------------------
@@ -859,7 +860,8 @@ def stream_features(spark, sf):
     features = streaming.stream_features(_updates(spark, sf), history=60)
     out = streaming.run_available(streaming.with_future_row(features, weather(spark, sf)), "features")
     shown = out.withColumn("oldest", F.col("history")[0]).drop("history", "snow", "windspeed", "precip")
-    return _rounded(shown, 5, "rolling_std_50", "rolling_std_10", "rolling_mean_10", "rolling_mean_50")
+    exact = _rounded(shown, 9, "rolling_mean_10", "rolling_mean_50")
+    return _rounded(exact, 5, "rolling_std_50", "rolling_std_10")
 
 
 @query

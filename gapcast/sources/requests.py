@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from gapcast.config import FUTURE_KNOWN, HISTORY_ONLY, SERIES, Config
 from gapcast.functions.clock import strip_zone
 
+# Fixed value: six digits; the default JSON format cuts to milliseconds.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 NOT_A_LIST = "Input must be a list of records or {'instances': [...]}"
 
 INSTANCE = T.StructType(
@@ -57,7 +60,7 @@ def build_requests(
     record = F.struct("idx", F.struct(F.concat_ws("|", *by).alias("unique_id"), *shown).alias("row"))
     first = df.where(F.col("idx") < rows).groupBy(*by).agg(F.sort_array(F.collect_list(record)).alias("_r"))
     instances = F.transform("_r", lambda r: r["row"])
-    return first.select(*by, F.to_json(F.struct(instances.alias("instances"))).alias("payload"))
+    return first.select(*by, F.to_json(F.struct(instances.alias("instances")), JSON_OPTIONS).alias("payload"))
 
 
 def encode_response(forecasts: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -69,4 +72,4 @@ def encode_response(forecasts: DataFrame, key: Sequence[str], order: Sequence[st
     record = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*shown).alias("row"))
     listed = forecasts.groupBy(*key).agg(F.sort_array(F.collect_list(record)).alias("_r"))
     predictions = F.transform("_r", lambda r: r["row"])
-    return listed.select(*key, F.to_json(F.struct(predictions.alias("predictions"))).alias("response"))
+    return listed.select(*key, F.to_json(F.struct(predictions.alias("predictions")), JSON_OPTIONS).alias("response"))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from gapcast.functions.clock import iso
 
+# Fixed value: all six digits; the default format cuts to milliseconds.
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("timestampFormat", CSV_TIME)
     writer.format(format).save(path)
 
 

@@ -121,8 +121,11 @@ def detect_arrivals_stream(updates: DataFrame, jump: float = Config.eta_jump, id
 
 def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.ndarray:
     """The statistic of the full windows that end at the last ``count`` values."""
-    windows = pd.Series(values).rolling(width)
-    return getattr(windows, fn)().to_numpy()[len(values) - count :]
+    windows = np.lib.stride_tricks.sliding_window_view(values, width)[-count:]
+    options = {"ddof": 1} if fn == "std" else {}
+    # Slices, as a deviation copies its windows.
+    parts = [getattr(windows[at : at + 65_536], fn)(axis=1, **options) for at in range(0, count, 65_536)]
+    return np.concatenate(parts)
 
 
 def stream_features(
