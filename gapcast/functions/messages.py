@@ -62,39 +62,36 @@ def _eta(item: Column) -> Column:
     )
 
 
-def _candidate(target: Column, rank: int, place: Column, item: Column) -> Column:
-    return F.struct(
-        target.alias("target"),
-        F.lit(rank).alias("rank"),
-        place.cast("int").alias("place"),
-        _timestamp(item).alias("timestamp"),
-        _eta(item).alias("eta"),
-    )
+def _place(target: Column, rank: int, at: Column) -> Column:
+    return F.struct(target.alias("target"), F.lit(rank).alias("rank"), at.cast("int").alias("at"))
 
 
-def _named(item: Column, rank: int, place: Column) -> Column:
-    return F.array(
-        _candidate(_name(item, "device_id"), rank, place, item),
-        _candidate(_name(item, "station_id"), rank, place, item),
-    )
+def _named(item: Column, rank: int, at: Column) -> Column:
+    return F.array(_place(_name(item, "device_id"), rank, at), _place(_name(item, "station_id"), rank, at))
 
 
 def _listed(items: Column, rank: int) -> Column:
     return F.flatten(F.transform(items, lambda item, at: _named(item, rank, at)))
 
 
-def _all_candidates(data: Column) -> Column:
-    keyed = F.map_entries(F.try_variant_get(data, "$", "map<string,variant>"))
-    by_key = F.transform(keyed, lambda e: _candidate(e["key"], 2, F.lit(0), e["value"]))
-    entity = F.try_variant_get(data, "$.entity", "array<variant>")
-    odd = F.array_position(F.transform(entity, _is_object), F.lit(False)).cast("int")
-    before_odd = F.when(odd > 0, F.slice(entity, F.lit(1), odd - 1)).otherwise(entity)
-    objects = F.filter(F.try_variant_get(data, "$", "array<variant>"), _is_object)
-    none = F.array().cast("array<struct<target:string,rank:int,place:int,timestamp:string,eta:double>>")
-    in_object = F.concat(
-        _named(data, 1, F.lit(0)), F.coalesce(by_key, none), F.coalesce(_listed(before_odd, 3), none)
+def _places() -> Column:
+    """Where each station is found: (target, rank of the rule, place in its list)."""
+    # A value without a timestamp gives no row; it matters only before an entity list.
+    keys = F.filter(
+        F.map_keys("_object"),
+        lambda key: F.col("_entity").isNotNull() | _member(F.col("_object")[key], "timestamp").isNotNull(),
+    )
+    by_key = F.transform(keys, lambda key: _place(key, 2, F.lit(0)))
+    odd = F.array_position(F.transform("_entity", _is_object), F.lit(False)).cast("int")
+    before_odd = F.when(odd > 0, F.slice("_entity", F.lit(1), odd - 1)).otherwise(F.col("_entity"))
+    none = F.array().cast("array<struct<target:string,rank:int,at:int>>")
+    in_entity = F.when(F.col("_entity").isNotNull(), _listed(before_odd, 3)).otherwise(none)
+    in_object = F.concat(_named(F.col("_data"), 1, F.lit(0)), by_key, in_entity)
+    return (
+        F.when(F.col("_object").isNotNull(), in_object)
+        .when(F.col("_list").isNotNull(), _listed(F.col("_list"), 4))
+        .otherwise(none)
     )
-    return F.when(_is_object(data), in_object).otherwise(F.coalesce(_listed(objects, 4), none))
 
 
 def parse_updates(
@@ -111,23 +108,35 @@ def parse_updates(
     if dict(df.dtypes)[message] == "binary":
         source = F.when(F.is_valid_utf8(source.cast("string")), source.cast("string"))
     kept = [c for c in df.columns if c != message]
-    found = df.select(*kept, F.try_parse_json(source).alias("_data")).select(
-        *kept, _all_candidates(F.col("_data")).alias("_all")
+    parsed = df.select(*kept, F.try_parse_json(source).alias("_data"))
+    shapes = parsed.select(
+        "*",
+        F.try_variant_get("_data", "$", "map<string,variant>").alias("_object"),
+        F.try_variant_get("_data", "$.entity", "array<variant>").alias("_entity"),
+        F.try_variant_get("_data", "$", "array<variant>").alias("_list"),
     )
     wanted = F.filter(
-        "_all",
+        _places(),
         lambda c: c["target"].isin(*targets) if isinstance(targets, list) else c["target"].isNotNull(),
     )
-    ordered = found.select(*kept, F.array_sort(wanted).alias("_all"))
-    # Sorted by (target, rank, place): the first of each target is its record.
+    ordered = shapes.withColumn("_places", F.array_sort(wanted))
+    # Sorted by (target, rank, at): the first of each target is where its record lies.
     first = F.filter(
-        "_all",
-        lambda c, at: (at == 0) | (F.get(F.col("_all"), at - 1)["target"] != c["target"]),
+        "_places",
+        lambda c, k: (k == 0) | (F.get(F.col("_places"), k - 1)["target"] != c["target"]),
+    )
+    found = ordered.withColumn("_at", F.explode(first))
+    item = (
+        F.when(F.col("_at.rank") == 1, F.col("_data"))
+        .when(F.col("_at.rank") == 2, F.col("_object")[F.col("_at.target")])
+        .when(F.col("_at.rank") == 3, F.get("_entity", F.col("_at.at")))
+        .otherwise(F.get("_list", F.col("_at.at")))
     )
-    rows = (
-        ordered.select(*kept, F.explode(first).alias("_row"))
-        .select(*kept, "_row.target", "_row.timestamp", "_row.eta")
-        .where(F.col("timestamp").isNotNull() & F.col("eta").isNotNull())
+    records = found.select(*kept, F.col("_at.target").alias("target"), item.alias("_item"))
+    read = F.struct(_timestamp(F.col("_item")).alias("timestamp"), _eta(F.col("_item")).alias("eta"))
+    # A generator keeps the filter from being pushed below, where it would read twice.
+    rows = records.select(*kept, "target", F.inline(F.array(read))).where(
+        F.col("timestamp").isNotNull() & F.col("eta").isNotNull()
     )
     if isinstance(targets, DataFrame):
         rows = rows.join(targets.select("target").distinct(), "target", "left_semi")

@@ -156,4 +156,4 @@ def chosen_forecast(df: DataFrame, best: DataFrame, models: Sequence[str], by: S
     picked: Column = F.lit(None).cast("double")
     for m in models:
         picked = F.when(F.col("best") == m, F.col(m)).otherwise(picked)
-    return attach(df, best.select(*by, "best"), by, ["idx"]).withColumn("yhat", picked)
+    return attach(df, store(best.select(*by, "best"), "best"), by, ["idx"]).withColumn("yhat", picked)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapcast.config import SERIES
 from gapcast.functions.numbers import huber_loss, metric_text, pinball_loss, unscale
 from gapcast.plans.layout import attach
+from gapcast.plans.scratch import store
 
 Metric = Callable[[Column, Column], Column]
 
@@ -141,7 +142,7 @@ def forecast_context(
     """
     part = windows.where(F.col("split") == split)
     start = part.groupBy(*by).agg(F.min("start_idx").alias("_first"))
-    few = attach(part, start, by, ["start_idx"]).where(F.col("start_idx") < F.col("_first") + samples)
+    few = attach(part, store(start, "first_windows"), by, ["start_idx"]).where(F.col("start_idx") < F.col("_first") + samples)
     one = scaler.where(F.col("feature") == feature).select(*by, F.col("mean").alias("_m"), F.col("std").alias("_s"))
     joined = few.join(one, list(by))
     history = F.transform("features", lambda r: r[feature] * F.col("_s") + F.col("_m"))

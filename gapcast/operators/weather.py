@@ -59,4 +59,4 @@ def join_monthly_static(
     df: DataFrame, monthly: DataFrame, time: str = "ds", spread: Sequence[str] = ("idx",)
 ) -> DataFrame:
     """Adds ``month_id`` (yyyy-MM) and the columns of the monthly table for it."""
-    return attach(df.withColumn("month_id", month_key(time)), monthly, ["month_id"], spread)
+    return attach(df.withColumn("month_id", month_key(time)), store(monthly, "monthly"), ["month_id"], spread)

@@ -31,18 +31,22 @@ from gapcast.config import SERIES, Config
 from gapcast.plans.scratch import store
 
 BLOCK_ROWS = Config.block_rows
-CHUNK_BYTES = 256 << 20
+CHUNK_BYTES = 128 << 20
 MAX_CHUNKS = 200_000
 SALTS = 16
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; for a stored table, its file size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _chunk_count(df: DataFrame) -> int | None:
     """More range partitions than the session default if the input is large.
 
     None leaves the count to the session, and its coalescing to AQE.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = math.ceil(size / CHUNK_BYTES)
+    wanted = math.ceil(plan_bytes(df) / CHUNK_BYTES)
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return wanted if default < wanted <= MAX_CHUNKS else None
 
@@ -147,20 +151,20 @@ def with_blocks(
     inside (series, block) for every row with ``halo`` false.
     """
     size = max(block_rows, before, after, 1)
-    own = F.floor(F.col("idx") / size)
+    own = F.expr(f"idx div {size}")
     inside = F.col("idx") % size
-    places = [F.struct(own.alias("block"), F.lit(False).alias("halo"))]
-    if before:
-        late = (inside >= size - before) & (F.col("idx") + size - inside < F.col("n"))
-        places.append(F.when(late, F.struct((own + 1).alias("block"), F.lit(True).alias("halo"))))
-    if after:
-        early = (inside < after) & (own > 0)
-        places.append(F.when(early, F.struct((own - 1).alias("block"), F.lit(True).alias("halo"))))
-    if len(places) == 1:
-        return df.withColumn("block", own).withColumn("halo", F.lit(False))
-    return df.withColumn("_place", F.explode(F.array_compact(F.array(*places)))).select(
-        *df.columns, "_place.block", "_place.halo"
+    home, ahead, behind = (
+        F.struct((own + k).alias("block"), F.lit(k != 0).alias("halo")) for k in (0, 1, -1)
+    )
+    late = (inside >= size - before) & (F.col("idx") + size - inside < F.col("n"))
+    early = (inside < after) & (own > 0)
+    places = (
+        F.when(late & early, F.array(home, ahead, behind))
+        .when(late, F.array(home, ahead))
+        .when(early, F.array(home, behind))
+        .otherwise(F.array(home))
     )
+    return df.withColumn("_place", F.explode(places)).select(*df.columns, "_place.block", "_place.halo")
 
 
 def block_window(by: Sequence[str] = (SERIES,)) -> WindowSpec:
@@ -186,18 +190,28 @@ def shifted(
 
 def attach(
     df: DataFrame,
-    small: DataFrame,
+    facts: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join per-series facts onto rows when a key may be hot.
+    """Join per-series ``facts``, a stored table, onto rows whose key may be hot.
 
-    A stored ``small`` under the broadcast threshold is broadcast and the salt costs
-    nothing but a few copied rows. Beyond it, the rows of a hot key go to ``salts``
-    partitions, chosen by a hash of the ``spread`` columns.
+    The file size of ``facts`` decides: under the broadcast threshold it is broadcast.
+    Beyond it both sides are shuffled, with the rows of a key spread over ``salts``
+    partitions by a hash of the ``spread`` columns.
     """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if plan_bytes(facts) <= _bytes(limit):
+        return df.join(F.broadcast(facts), list(on), how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a setting such as 10485760b, 10MB or -1."""
+    number = text.lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(number[-1], 0)
+    return int(number[:-1] if scale else number) << scale
