@@ -13,11 +13,5 @@ from gapcast.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, memory="4g", app="tests")
     yield session
+    drop_stored(session)
     session.stop()
-
-
-@pytest.fixture(autouse=True)
-def _drop(request):
-    yield
-    if "spark" in request.fixturenames:
-        drop_stored(request.getfixturevalue("spark"))

@@ -41,7 +41,7 @@ def ordered(table: pd.DataFrame) -> pd.DataFrame:
 def ramp(spark, values: dict[str, list], minutes: float = 10.0, name: str = "y"):
     """A numbered frame with the given values per series, at even times."""
     rows = [
-        (s, START.to_pydatetime() + pd.Timedelta(minutes=minutes * i).to_pytimedelta(), v, i, len(vs), 0)
+        (s, START.to_pydatetime() + pd.Timedelta(minutes=minutes * i).to_pytimedelta(), None if v is None else float(v), i, len(vs), 0)
         for s, vs in values.items()
         for i, v in enumerate(vs)
     ]
