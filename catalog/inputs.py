@@ -51,7 +51,7 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf: str, with_weather: bool = True) -> DataFrame:
-    return add_features(cleaned(spark, sf), weather(spark, sf) if with_weather else None, CFG)
+    return add_features(cleaned(spark, sf), weather(spark, sf) if with_weather else None, CFG, dense=True)
 
 
 def as_messages(table: DataFrame) -> DataFrame:

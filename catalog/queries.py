@@ -260,7 +260,7 @@ def monthly_static(spark, sf):
 
 def _rolling_one(name, fn, width):
     def run(spark, sf):
-        out = rolling(cleaned(spark, sf), "y", [(name, fn, width)], block_rows=CFG.block_rows)
+        out = rolling(cleaned(spark, sf), "y", [(name, fn, width)], dense=True, block_rows=CFG.block_rows)
         return out.select(*KEY, F.round(name, 6 if fn == "std" else 9).alias(name))
 
     run.__name__ = name
@@ -555,7 +555,7 @@ def forecast_context(spark, sf):
 
 def _forecast(spark, sf):
     """Naive forecast and a moving mean over the last share, with cutoffs."""
-    rows = rolling(cleaned(spark, sf), "y", [("mean_10", "mean", 10)], fill=False, block_rows=CFG.block_rows)
+    rows = rolling(cleaned(spark, sf), "y", [("mean_10", "mean", 10)], fill=False, dense=True, block_rows=CFG.block_rows)
     from gapcast.plans.layout import shifted
 
     lagged = shifted(rows, {"naive": ("y", 1), "moving": ("mean_10", 1)}, block_rows=CFG.block_rows)
@@ -662,7 +662,7 @@ def residual_band(spark, sf):
 
 @query
 def best_by_validation(spark, sf):
-    rows = rolling(cleaned(spark, sf), "y", [("mean_10", "mean", 10)], fill=False, block_rows=CFG.block_rows)
+    rows = rolling(cleaned(spark, sf), "y", [("mean_10", "mean", 10)], fill=False, dense=True, block_rows=CFG.block_rows)
     from gapcast.plans.layout import shifted
 
     lagged = split.split(shifted(rows, {"naive": ("y", 1), "moving": ("mean_10", 1)}, block_rows=CFG.block_rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapcast.config import SERIES, Config
@@ -31,7 +31,7 @@ def detect_arrivals(
     laid = lay_out(updates, order, by, chunks, "updates")
     carried = carry_in(laid, {"_before": F.col(eta)}, by)
     # An observation without an ETA is not one: the nearest known ETA before counts.
-    past = chunk_window(by).rowsBetween(-(1 << 31), -1)
+    past = chunk_window(by).rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.last(eta, ignorenulls=True).over(past), F.col("_before"))
     return carried.withColumn("arrival", arrived(F.col(eta), last, jump)).drop("_before", "gid", "chunk")
 

@@ -25,9 +25,11 @@ from gapcast.plans.layout import (
 _STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum}
 
 
-def _full_window(column: str, fn: str, width: int, by: Sequence[str]) -> Column:
+def _full_window(column: str, fn: str, width: int, by: Sequence[str], dense: bool) -> Column:
     frame = block_window(by).rowsBetween(-(width - 1), 0)
-    return F.when(F.count(column).over(frame) == width, _STATISTICS[fn](column).over(frame))
+    # Without nulls the position alone tells whether the window is full.
+    full = F.col("idx") >= width - 1 if dense else F.count(column).over(frame) == width
+    return F.when(full, _STATISTICS[fn](column).over(frame))
 
 
 def rolling(
@@ -36,7 +38,7 @@ def rolling(
     features: Sequence[tuple[str, str, int]] = ROLLING_FEATURES,
     by: Sequence[str] = (SERIES,),
     fill: bool = True,
-    dense: bool = True,
+    dense: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Trailing statistics of full windows, nulls before the first one back-filled.
@@ -48,7 +50,7 @@ def rolling(
     """
     widest = max(width for _, _, width in features)
     framed = with_blocks(df, before=widest - 1, block_rows=max(block_rows, widest))
-    framed = framed.withColumns({name: _full_window(column, fn, width, by) for name, fn, width in features})
+    framed = framed.withColumns({name: _full_window(column, fn, width, by, dense) for name, fn, width in features})
     if fill and dense:
         whole = Window.partitionBy(*by, "block")
         filled = {}

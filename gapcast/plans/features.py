@@ -37,9 +37,12 @@ def clean_arrivals(
 
 
 def add_features(
-    numbered: DataFrame, weather: DataFrame | None = None, cfg: Config = Config(), dense: bool = True
+    numbered: DataFrame, weather: DataFrame | None = None, cfg: Config = Config(), dense: bool = False
 ) -> DataFrame:
-    """Weather, rolling statistics, duration default and weekend flag on a numbered frame."""
+    """Weather, rolling statistics, duration default and weekend flag on a numbered frame.
+
+    ``dense`` says that y has no nulls, as after the filters.
+    """
     joined = join_weather(numbered, weather, tz=cfg.weather_tz)
     rolled = rolling(joined, dense=dense, block_rows=cfg.block_rows)
     return default_column(rolled).withColumn("dow", weekend_flag("ds"))
@@ -59,7 +62,7 @@ def feature_table(
     """
     require_columns(arrivals, ("arrival_date", "duration", "mbt"))
     numbered = clean_arrivals(arrivals, cfg, weather is not None, order, chunks)
-    featured = add_features(numbered, weather, cfg)
+    featured = add_features(numbered, weather, cfg, dense=True)
     shown = [c for c in FEATURE_COLUMNS if c in featured.columns]
     return featured.select(SERIES, "idx", "n", *shown)
 

@@ -135,7 +135,7 @@ def test_training_run(spark):
     rng = np.random.default_rng(2)
     values = {s: [float(v) for v in 8 + 3 * np.sin(np.arange(300) / 9) + rng.normal(0, 0.3, 300)] for s in "ab"}
     table = ramp(spark, values, minutes=12).withColumn("duration", F.lit(3.0) + F.col("idx") % 5)
-    run = train_and_evaluate(store(add_features(table, None, Config(block_rows=64)), "table"), Config(block_rows=64), lags=6)
+    run = train_and_evaluate(store(add_features(table, None, Config(block_rows=64), dense=True), "table"), Config(block_rows=64), lags=6)
     scores = {(r.series_id, r.model, r.metric): r.value for r in run.scores.collect()}
     assert scores["ALL", "huber", "mae"] < scores["ALL", "naive", "mae"]
     assert run.forecasts.where("cutoff >= ds OR lo80 > hi80").count() == 0

@@ -72,11 +72,14 @@ def test_blocks_hold_whole_frames(spark, table):
 
 @pytest.mark.parametrize("block_rows,chunks", [(50, 7), (64, 1), (8192, 3)])
 def test_rolling_equals_pandas(spark, table, block_rows, chunks):
-    mine = _pandas(rolling(_numbered(spark, table, chunks), block_rows=block_rows), "series_id", "idx")
+    numbered = _numbered(spark, table, chunks)
+    mine = _pandas(rolling(numbered, dense=True, block_rows=block_rows), "series_id", "idx")
+    general = _pandas(rolling(numbered, block_rows=block_rows), "series_id", "idx")
     want = ordered(table)
     for name, fn, width in ROLLING_FEATURES:
         column = want.groupby("series_id")["y"].transform(lambda s: getattr(s.rolling(width), fn)().bfill())
         np.testing.assert_allclose(mine[name].astype(float), column, atol=1e-9, err_msg=name)
+        np.testing.assert_allclose(general[name].astype(float), column, atol=1e-9, err_msg=name)
 
 
 def test_rolling_with_nulls(spark):
@@ -86,7 +89,7 @@ def test_rolling_with_nulls(spark):
     features = [("std", "std", 3), ("mean", "mean", 3)]
     plain = _pandas(rolling(numbered, "y", features, fill=False, block_rows=3), "idx")
     assert plain["std"].isna().tolist() == [True] * 5 + [False] and plain["std"].iloc[-1] == 1.0
-    filled = _pandas(rolling(numbered, "y", features, dense=False, block_rows=3), "idx")
+    filled = _pandas(rolling(numbered, "y", features, block_rows=3), "idx")
     assert filled["mean"].tolist() == [5.0] * 6
 
 
