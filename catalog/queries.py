@@ -511,8 +511,9 @@ def make_windows(spark, sf):
 @query
 def test_windows_reloaded(spark, sf):
     path = new_path(spark, "windows")
-    sinks.write_windows(_windows(spark, sf), path)
-    windows = tables.load_windows(spark, path)
+    built = _windows(spark, sf)
+    sinks.write_windows(built, path)
+    windows = tables.load_windows(spark, path, schema=built.schema)
     return windows.select(SERIES, "split", "start_idx", "target", F.col("features")[0]["y"].alias("first_y"))
 
 

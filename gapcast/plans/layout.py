@@ -61,11 +61,13 @@ def lay_out(
     """Store ``df`` sorted by (by, order), with ``gid`` and ``chunk`` columns.
 
     Rows equal in all keys are told apart by their place in the input scan, so that
-    copies can be split over partitions too. The input should be a scan or a
+    copies can be split over partitions too. A null key is an error, as the joins
+    further on would lose its rows. The input should be a scan or a
     deterministic plan over one, as every re-run of a lost task must see it alike.
     """
     keys = [*by, *order, "_copy"]
-    salted = df.withColumn("_copy", F.monotonically_increasing_id())
+    named = {k: F.coalesce(F.col(k), F.raise_error(F.lit(f"null in key column {k}"))) for k in by}
+    salted = df.withColumns({**named, "_copy": F.monotonically_increasing_id()})
     count = chunks or _chunk_count(df)
     ranged = salted.repartitionByRange(count, *keys) if count else salted.repartitionByRange(*keys)
     ordered = ranged.sortWithinPartitions(*keys).drop("_copy")

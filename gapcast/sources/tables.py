@@ -82,9 +82,14 @@ def read_predictions(spark: SparkSession, path: str, limit: int | None = None) -
     return rows.select(*[F.col(stored).alias(shown) for stored, shown in PREDICTION_FIELDS.items()])
 
 
-def load_windows(spark: SparkSession, path: str, split: str | None = "test") -> DataFrame:
-    """Stored windows; ``split`` prunes to one partition of them."""
-    windows = spark.read.parquet(path)
+def load_windows(
+    spark: SparkSession, path: str, split: str | None = "test", schema: T.StructType | None = None
+) -> DataFrame:
+    """Stored windows; ``split`` prunes to one partition of them.
+
+    With a ``schema`` a folder without any window reads as an empty frame.
+    """
+    windows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return windows if split is None else windows.where(F.col("split") == split)
 
 

@@ -154,12 +154,17 @@ def test_attach_keeps_every_row(spark, table, limit):
 
 
 def test_window_groups_are_bounded(spark, table):
+    """No window group is a whole series: each is keyed by block or chunk too."""
     plan = rolling(_numbered(spark, table), block_rows=64)._jdf.queryExecution().optimizedPlan().toString()
-    assert "block" in plan
-    for line in plan.splitlines():
-        if line.strip(" :+-").startswith("Window"):
-            assert "block" in line.rsplit("], [", 2)[-2] or "block" in line.rsplit(", [", 1)[-1], line
+    keys = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert keys and all("block#" in line or "chunk#" in line for line in keys)
 
 
 def test_bytes_settings():
     assert [layout._bytes(t) for t in ("10485760b", "10MB", "-1", "64k", "1g")] == [10485760, 10485760, -1, 65536, 1 << 30]
+
+
+def test_a_null_key_is_an_error(spark):
+    rows = spark.createDataFrame([(None, 1.0), ("a", 2.0)], "series_id string, y double")
+    with pytest.raises(Exception, match="null in key column series_id"):
+        lay_out(rows, ["y"])
