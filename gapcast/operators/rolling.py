@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapcast.config import ROLLING_FEATURES, SERIES, Config
@@ -25,11 +27,66 @@ from gapcast.plans.layout import (
 _STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum}
 
 
-def _full_window(column: str, fn: str, width: int, by: Sequence[str], dense: bool) -> Column:
-    frame = block_window(by).rowsBetween(-(width - 1), 0)
-    # Without nulls the position alone tells whether the window is full.
-    full = F.col("idx") >= width - 1 if dense else F.count(column).over(frame) == width
-    return F.when(full, _STATISTICS[fn](column).over(frame))
+# From this width on a mean or deviation is put together from shorter windows.
+COMPOSED_FROM = 20
+
+
+def _base_width(width: int) -> int:
+    """The divisor of ``width`` for which base rows plus lags are fewest."""
+    return min((d for d in range(1, width + 1) if width % d == 0), key=lambda d: (d + width // d, -d))
+
+
+def _composed(features: Sequence[tuple[str, str, int]]) -> dict[int, int]:
+    """Width -> base width, where composing is cheaper than the plain frame."""
+    widths = {w for _, fn, w in features if fn in ("mean", "std") and w >= COMPOSED_FROM}
+    return {w: _base_width(w) for w in widths if 1 < _base_width(w) < w}
+
+
+def _with_statistics(
+    framed: DataFrame, column: str, features: Sequence[tuple[str, str, int]], by: Sequence[str], dense: bool
+) -> DataFrame:
+    """The features, null unless the window is full.
+
+    A frame of w rows costs w steps per row. The mean and the squared deviations of a
+    wide window follow from those of the windows of b rows ending 0, b, 2b, ... rows
+    before, so it costs b steps and w/b lags; sums of squares are never differenced.
+    """
+    line = block_window(by)
+    base = _composed(features)
+    over = lambda fn, w: fn(column).over(line.rowsBetween(-(w - 1), 0))
+    # Without nulls the position alone tells whether a window is full.
+    full = lambda w: F.col("idx") >= w - 1 if dense else over(F.count, w) == w
+    short = {}
+    for b in set(base.values()):
+        short[f"_mean_{b}"] = F.when(full(b), over(F.avg, b))
+        short[f"_dev_{b}"] = F.when(full(b), over(F.var_samp, b) * (b - 1))
+    plain = {
+        name: F.when(full(w), over(_STATISTICS[fn], w))
+        for name, fn, w in features
+        if not (fn in ("mean", "std") and (w in base or w in base.values()))
+    }
+    framed = framed.withColumns({**short, **plain})
+    lags = {
+        f"_{part}_{b}_{k}": F.lag(f"_{part}_{b}", k * b).over(line)
+        for w, b in base.items()
+        for part in ("mean", "dev")
+        for k in range(1, w // b)
+    }
+    framed = framed.withColumns(lags) if lags else framed
+    wide = {}
+    for name, fn, w in features:
+        if fn not in ("mean", "std") or (w not in base and w not in base.values()):
+            continue
+        b = base.get(w, w)
+        means = [F.col(f"_mean_{b}")] + [F.col(f"_mean_{b}_{k}") for k in range(1, w // b)]
+        mean = reduce(add, means) / len(means)
+        if fn == "mean":
+            wide[name] = mean
+        else:
+            inner = reduce(add, [F.col(f"_dev_{b}")] + [F.col(f"_dev_{b}_{k}") for k in range(1, w // b)])
+            between = reduce(add, [(m - mean) * (m - mean) for m in means]) * b
+            wide[name] = F.sqrt((inner + between) / (w - 1))
+    return framed.withColumns(wide).drop(*short, *lags) if wide else framed
 
 
 def rolling(
@@ -50,7 +107,7 @@ def rolling(
     """
     widest = max(width for _, _, width in features)
     framed = with_blocks(df, before=widest - 1, block_rows=max(block_rows, widest))
-    framed = framed.withColumns({name: _full_window(column, fn, width, by, dense) for name, fn, width in features})
+    framed = _with_statistics(framed, column, features, by, dense)
     if fill and dense:
         whole = Window.partitionBy(*by, "block")
         filled = {}
