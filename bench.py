@@ -40,8 +40,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus)
     registry = registered()
-    # One run of the smallest kind starts the executor threads and Python workers.
-    registry["row_count"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # One untimed run loads classes and compiles the plans all queries begin with.
+    registry["flagship_features"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         began = time.perf_counter()

@@ -70,8 +70,11 @@ def lag_features(
 
 
 def huber_regression(train: DataFrame, features: Sequence[str], target: str = "y", **params) -> PipelineModel:
-    """Linear point forecast with Huber loss over all series at once."""
-    return _fitted(LinearRegression(loss="huber", **params), train, features, target)
+    """Linear point forecast with Huber loss over all series at once.
+
+    Each iteration is one pass over the training rows; ``params`` override the limit.
+    """
+    return _fitted(LinearRegression(loss="huber", **{"maxIter": 50, **params}), train, features, target)
 
 
 def boosted_trees(train: DataFrame, features: Sequence[str], target: str = "y", **params) -> PipelineModel:

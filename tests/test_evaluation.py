@@ -131,6 +131,13 @@ def test_regression_learns_a_lag(spark):
     assert scored.select(F.avg(F.abs(F.col("y") - F.col("huber")))).first()[0] < 0.2
 
 
+def test_boosted_trees_fit_a_step(spark):
+    rows, names = forecast.lag_features(ramp(spark, {"a": [float(i % 4 == 0) * 9 for i in range(200)]}), 4)
+    model = forecast.boosted_trees(rows, names, maxIter=2, maxDepth=2)
+    got = forecast.score(rows, model, "trees")
+    assert got.select(F.max(F.abs(F.col("y") - F.col("trees")))).first()[0] < 1.0
+
+
 def test_training_run(spark):
     rng = np.random.default_rng(2)
     values = {s: [float(v) for v in 8 + 3 * np.sin(np.arange(300) / 9) + rng.normal(0, 0.3, 300)] for s in "ab"}
