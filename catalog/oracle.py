@@ -494,7 +494,7 @@ def statements() -> dict[str, str]:
             CASE WHEN idx >= 10 THEN avg(y) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS moving
             FROM parts WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
         l AS (SELECT series_id, avg(abs(y - naive)) AS a, avg(abs(y - moving)) AS b FROM f WHERE split = 'val' GROUP BY 1)
-        SELECT series_id, CASE WHEN a <= b THEN 'naive' ELSE 'moving' END AS best, round(least(a, b), 6) AS loss FROM l"""
+        SELECT series_id, CASE WHEN b IS NULL OR a <= b THEN 'naive' ELSE 'moving' END AS best, round(least(a, b), 6) AS loss FROM l"""
     )
 
     sql["csv_reloaded"] = BASE + " SELECT tie, ds AS arrival_date, duration, y AS mbt, CAST(isodow(ds) >= 6 AS INTEGER) AS dow FROM arr"
