@@ -85,6 +85,8 @@ def boosted_trees(train: DataFrame, features: Sequence[str], target: str = "y",
 def _fitted(learner, train: DataFrame, features: Sequence[str], target: str) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     learner.setParams(featuresCol="_x", labelCol=target, predictionCol="yhat")
+    if train.isEmpty():
+        raise ValueError("no training rows: no series is longer than its lags and widest window")
     rows = assembler.transform(train.select(*features, target)).select("_x", target)
     return PipelineModel([assembler, learner.fit(rows)])
 
