@@ -112,7 +112,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.n
         elif hi > lo:
             short = np.zeros(1, np.uint64)
             for k in range(hi - lo):
-                short += hashes[lo + k] * weights[k]
+                short += hashes[lo + k : lo + k + 1] * weights[k]
             yield mix(short, 100 + hi - lo)
         else:
             yield np.zeros(0, np.uint64)
