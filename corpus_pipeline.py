@@ -1,12 +1,62 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The training-data pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage but the last returns the columns of documents; repeated and null doc_ids, null
+texts and extra columns pass through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gapcast.llm import minhash, mixing, packing, suffixes, toxicity
+from gapcast.plans.scratch import store
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised model does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    judged = toxicity.score(docs, toxicity.fit(docs, labels), keep=rest)
+    return judged.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    copies = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the byte strings that stand elsewhere too; n_chars is counted anew."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffixes.dedup(docs, keep=rest).withColumn("text", F.col("kept_text"))
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for, in shuffled order."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences and offsets."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("mixing", mix),
+    ("packing", pack),
+]
+#: Sketches, suffix arrays, a fitted model and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

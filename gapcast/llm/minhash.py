@@ -18,7 +18,8 @@
    yet joined in it, at most one per document, never all pairs of a group.
 
 A null or empty text, or one of white space, has no shingle, is linked with nothing and is
-its own component. Rows with the same doc_id are taken as copies of each other if their
+its own component. A row without doc_id is linked with nothing, has no component and is kept.
+Rows with the same doc_id are taken as copies of each other if their
 sets agree; each row gives a row. Other columns are left out, whatever their names.
 """
 
@@ -235,7 +236,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     drawn = store(sketches(documents, width), "sketches")
     signature = ["n_shingles", "s1", "s2"]
-    filled = drawn.where("n_shingles > 0")
+    filled = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = filled.groupBy(*signature).agg(F.min(F.struct("doc_id", "sketch")).alias("c"))
     classes = store(least.select(*signature, F.col("c.doc_id").alias("id"), "c.sketch"), "classes")
     bands = classes.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
@@ -254,5 +255,6 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     grouped = classes.join(parts, classes.id == parts.node, "left")
     known = store(grouped.select(*signature, F.coalesce("component", "id").alias("component_id")), "class-parts")
     out = drawn.select("doc_id", *signature).join(known, signature, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
