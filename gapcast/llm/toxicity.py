@@ -205,7 +205,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_e
             yield pa.RecordBatch.from_arrays([pa.array(hits, kinds), pa.array(said, kinds), marks], names=["hits", "said", "toxic"])
 
     # Bounded by the sample: a few entry numbers and votes per row.
-    rows = sample.mapInArrow(features, "hits array<int>, said array<int>, toxic int").orderBy("toxic", "said", "hits").collect()
+    rows = sample.mapInArrow(features, "hits array<int>, said array<int>, toxic int").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["said"], r["hits"]))
     voters = len(votes("", set(), lex))
     if not rows:
         return Model(lex, index, np.zeros(len(index) + voters), -4.0)
