@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gapcast.llm import minhash, mixing, multi_index, packing, suffixes, topk, toxicity
+from gapcast.llm import minhash, mixing, multi_index, packing, suffixes, templates, topk, toxicity, url_lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.evaluate(url_lists.page_captures(pages), url_lists.page_events(pages))
+
+
 def op2_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -29,6 +34,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
@@ -54,7 +63,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op8_poisson_mixing": mixing.ORACLE_SQL}
+    sql = {"op1_url_lists": url_lists.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL is not None:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
