@@ -9,13 +9,13 @@
 2. Documents with equal shingle sets form a class; only its smallest doc_id goes on.
 3. Two classes meet where all rows of a band agree. A pair at the least similarity misses
    all ``BANDS`` bands with a probability under 4e-6.
-4. Each bucket is first compared with its smallest member. What that leaves in different
-   components is compared in full, in blocks of ``BLOCK`` x ``BLOCK``: pairs of different
-   components whose sketches agree in fewer coordinates than five standard deviations below
-   the least similarity are passed over, all others go on. No pair is left out for its
-   group's size, and a pair met in several buckets counts in the first band only.
+4. Each bucket is first compared with its smallest member. Buckets with the same smallest
+   member form a group. A group that is left in several components is compared in full, in
+   blocks of ``BLOCK`` x ``BLOCK``: pairs of different components that share a band, and
+   whose sketches do not agree in fewer coordinates than five standard deviations below the
+   least similarity. No pair is left out for its group's size.
 5. Every link is confirmed on the full sets. A block yields links that join what is not
-   yet joined in it, at most one per document, never all pairs of a group.
+   yet joined in it, at most one per document, and never its pairs.
 
 A null or empty text, or one of white space, has no shingle, is linked with nothing and is
 its own component. A row without doc_id is linked with nothing, has no component and is kept.
@@ -127,46 +127,49 @@ class Joined:
         return a != b
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(percent: int):
     """Confirms the pairs of a block on full sets; gives links that join what is apart."""
 
     def run(pairs, members):
         items = {d: np.frombuffer(b, np.uint64) for d, b in zip(members["doc_id"], members["items"])}
         joined, found = Joined(), []
-        for a, b, part_a, part_b in zip(pairs["a"], pairs["b"], pairs["part_a"], pairs["part_b"]):
-            if joined.root(part_a) == joined.root(part_b):
-                continue
-            x, y = items[a], items[b]
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                joined.join(part_a, part_b)
+        for a, b in zip(pairs["a"], pairs["b"]):
+            if joined.root(a) != joined.root(b) and _similar(items[a], items[b], percent):
+                joined.join(a, b)
                 found.append((a, b))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of ``pairs`` (block, a, b, part_a, part_b), whose parts they join; a set is sent once to each block."""
-    pairs = store(pairs, "pairs")
-    needed = pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = store(needed, "pair-members")
-    wanted = needed.select("doc_id").distinct()
-    sets = store(full_sets(documents.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
-    members = needed.join(sets, "doc_id")
+def _sets_of(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """Full sets of the documents in ``wanted`` (doc_id)."""
+    texts = documents.join(wanted.distinct(), "doc_id", "left_semi")
+    return store(full_sets(texts, width).dropDuplicates(["doc_id"]), "sets")
+
+
+def _first_links(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (block, a, b); a set is sent once to each block."""
+    needed = store(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-members")
+    members = needed.join(_sets_of(needed.select("doc_id"), documents, width), "doc_id")
     linked = pairs.groupBy("block").cogroup(members.groupBy("block")).applyInPandas(_confirm(percent), "a bigint, b bigint")
-    return store(linked, "confirmed")
+    return store(linked, "first-links")
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's smallest; a class's partners go to blocks of bounded size."""
-    pairs = rows.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = store(pairs, "star-pairs")
+    pairs = rows.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     busy = store(degree.where(F.col("n") > BLOCK), "star-hubs").select(F.col("a").alias("hub"), "n")
     count = pairs.count()
@@ -175,46 +178,51 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
     apart = F.xxhash64("a", salt)
     block = F.when(F.col("hub").isNotNull(), apart).otherwise(F.pmod(F.xxhash64("a"), F.lit(spread)))
-    return split.select(block.alias("block"), "a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b"))
+    return store(split.select(block.alias("block"), "a", "b"), "pairs")
 
 
 def _compare(percent: int):
-    """Pairs of a block of two chunks of a bucket: different components, first shared band, sketches near enough."""
+    """Links between the parts in a block of two chunks of a group: a band shared, sketches near enough, sets similar."""
     share = percent / 100
     least = share - 5 * np.sqrt(share * (1 - share) / COORDINATES)
 
-    def run(key, group):
-        band = int(group["band"].iloc[0])
+    def run(group):
         left, right = group[group["side"] != 1], group[group["side"] != 0]
+        own = group["side"].iloc[0] == 2  # a chunk with itself
         x, y = (np.stack([np.frombuffer(b, "<u2") for b in g["sketch"]]) if len(g) else np.zeros((0, COORDINATES), "<u2") for g in (left, right))
-        out = []
+        ids, parts, sizes, items = (
+            [g[c].to_numpy() for g in (left, right)] for c in ("id", "part", "n", "items")
+        )
+        sets = [[np.frombuffer(b, np.uint64) for b in side] for side in items]
+        joined, found = Joined(), []
         for i in range(0, len(x), 32):
             same = x[i : i + 32, None, :] == y[None, :, :]
-            bands = same.reshape(*same.shape[:2], BANDS, ROWS).all(3)
-            good = (same.mean(2) >= least) & (bands.argmax(2) == band) & bands.any(2)
-            part = left["part"].to_numpy()[i : i + 32, None] != right["part"].to_numpy()[None, :]
-            small = left["n"].to_numpy()[i : i + 32, None], right["n"].to_numpy()[None, :]
-            good &= part & (100 * np.minimum(*small) >= percent * np.maximum(*small))
-            out.append(np.argwhere(good) + [i, 0])
-        at = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        l, r = left.iloc[at[:, 0]], right.iloc[at[:, 1]]
-        pairs = pd.DataFrame({"a": l["id"].to_numpy(), "b": r["id"].to_numpy(), "part_a": l["part"].to_numpy(), "part_b": r["part"].to_numpy()})
-        if group["side"].iloc[0] == 2:  # a chunk with itself
-            pairs = pairs[pairs["a"] < pairs["b"]]
-        return pairs.assign(block=np.int64(key[0]))[["block", "a", "b", "part_a", "part_b"]]
+            good = (same.mean(2) >= least) & same.reshape(*same.shape[:2], BANDS, ROWS).all(3).any(2)
+            small = sizes[0][i : i + 32, None], sizes[1][None, :]
+            good &= (parts[0][i : i + 32, None] != parts[1][None, :]) & (
+                100 * np.minimum(*small) >= percent * np.maximum(*small)
+            )
+            if own:
+                good &= ids[0][i : i + 32, None] < ids[1][None, :]
+            for a, b in np.argwhere(good):
+                p, q = parts[0][i + a], parts[1][b]
+                if joined.root(p) != joined.root(q) and _similar(sets[0][i + a], sets[1][b], percent):
+                    joined.join(p, q)
+                    found.append((ids[0][i + a], ids[1][b]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _rest_pairs(rows: DataFrame, classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """All other pairs of a bucket that lie in different components and may be similar enough."""
-    placed = rows.join(parts, rows.id == parts.node, "left").withColumn("part", F.coalesce("component", "id"))
-    placed = store(placed.select("key", "band", "id", "part"), "bucket-parts")
+def _other_links(rows: DataFrame, classes: DataFrame, parts: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of a group, which is all that shares a bucket with its smallest member."""
+    groups = rows.select(F.col("least").alias("key"), "id")
+    placed = groups.join(parts, groups.id == parts.node, "left").withColumn("part", F.coalesce("component", "id"))
+    placed = store(placed.select("key", "id", "part"), "group-parts")
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size"))
-    mixed = store(mixed.where("p < q").select("key", "size"), "mixed-buckets").withColumnRenamed("key", "mixed")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = placed.join(mixed, F.col("key") == F.col("mixed")).withColumn("chunks", chunks)
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    mixed = store(mixed.where("p < q").select("key", "size"), "mixed-groups").withColumnRenamed("key", "mixed")
+    dealt = placed.join(mixed, F.col("key") == F.col("mixed")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = store(dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "group-chunks")
     sides = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda k: F.struct(
@@ -223,12 +231,12 @@ def _rest_pairs(rows: DataFrame, classes: DataFrame, parts: DataFrame, percent:
             F.when(k == F.col("chunk"), 2).when(F.col("chunk") < k, 0).otherwise(1).alias("side"),
         ),
     )
-    dealt = dealt.select("key", "band", "id", "part", F.explode(sides).alias("s"))
-    dealt = dealt.select(F.xxhash64("key", "s.i", "s.j").alias("block"), "band", "id", "part", "s.side")
-    full = dealt.join(classes.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
-    return full.groupBy("block").applyInPandas(
-        _compare(percent), "block bigint, a bigint, b bigint, part_a bigint, part_b bigint"
-    )
+    spread = dealt.select("key", "id", "part", F.explode(sides).alias("s"))
+    spread = spread.select(F.xxhash64("key", "s.i", "s.j").alias("block"), "id", "part", "s.side")
+    sets = _sets_of(dealt.select(F.col("id").alias("doc_id")), documents, width)
+    facts = classes.select("id", F.col("n_shingles").alias("n"), "sketch").join(sets, F.col("id") == F.col("doc_id")).drop("doc_id")
+    full = spread.join(store(facts, "group-members"), "id")
+    return store(full.groupBy("block").applyInPandas(_compare(percent), "a bigint, b bigint"), "other-links")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -242,14 +250,14 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     bands = classes.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     start = (F.col("band") * 2 * ROWS + 1).cast("int")
     part = F.substring(F.col("sketch"), start, F.lit(2 * ROWS))
-    bands = bands.select(F.xxhash64("band", part).alias("key"), F.col("band"), "id")
+    bands = bands.select(F.xxhash64("band", part).alias("key"), "id")
     shared = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = shared.select(F.bitwise_not("key").alias("shared"), "least")
-    rows = bands.withColumn("shared", F.bitwise_not("key")).join(shared, "shared").select("key", "band", "id", "least")
+    rows = bands.withColumn("shared", F.bitwise_not("key")).join(shared, "shared").select("id", "least").distinct()
     rows = store(rows, "buckets")
-    links = confirmed(_first_pairs(rows), documents, width, percent)
+    links = _first_links(_first_pairs(rows), documents, width, percent)
     parts = store(components(links), "parts")
-    more = confirmed(_rest_pairs(rows, classes, parts, percent), documents, width, percent)
+    more = _other_links(rows, classes, parts, documents, width, percent)
     if not more.isEmpty():
         parts = store(components(links.unionByName(more)), "parts")
     grouped = classes.join(parts, classes.id == parts.node, "left")
