@@ -6,22 +6,23 @@ import pytest
 
 import __spark_entry__ as driver
 from catalog.compare import difference
+from catalog.oracle import statements
+from catalog.queries import registered
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 FITTED = {"huber_regression", "training_run"}
 
 
 def test_contract(spark):
-    queries, statements = driver.queries(), driver.oracle_sql()
-    assert set(statements) <= set(queries)
+    assert set(driver.oracle_sql()) <= set(driver.queries()) and set(registered()) <= set(driver.queries())
     # Fitted models have no SQL form.
-    assert set(queries) - set(statements) == FITTED
+    assert set(registered()) - set(statements()) == FITTED
     table = driver.entry(spark)
     assert table.count() > 0 and "rolling_std_50" in table.columns
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there")
-@pytest.mark.parametrize("name", [name for name in driver.queries() if name not in FITTED])
+@pytest.mark.parametrize("name", [name for name in registered() if name not in FITTED])
 def test_query_agrees_with_sql(spark, name):
     assert difference(spark, SF, name) is None
 
@@ -31,4 +32,4 @@ def test_query_agrees_with_sql(spark, name):
 def test_series_too_short_to_train_on(spark, name):
     """At this size no series fills a 50-row window. The larger tables do train."""
     with pytest.raises(ValueError, match="no training rows"):
-        driver.queries()[name](spark, SF)
+        registered()[name](spark, SF)
