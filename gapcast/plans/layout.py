@@ -32,8 +32,8 @@ from gapcast.plans.scratch import store
 
 BLOCK_ROWS = Config.block_rows
 CHUNK_BYTES = 128 << 20
-MAX_CHUNKS = 200_000
-SALTS = 16
+HOT_ROWS = 1_000_000
+UNKNOWN_BYTES = 1 << 62
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -41,14 +41,25 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _chunk_count(df: DataFrame) -> int | None:
-    """More range partitions than the session default if the input is large.
+def stored_bytes(df: DataFrame) -> int:
+    """The bytes of the tables a plan reads.
 
-    None leaves the count to the session, and its coalescing to AQE.
+    Catalyst's estimate for a plan multiplies the sides of a join; the scans below it
+    have the sizes of their files. Rows that come from no table have no known size.
     """
-    wanted = math.ceil(plan_bytes(df) / CHUNK_BYTES)
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted if default < wanted <= MAX_CHUNKS else None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+
+
+def chunk_count(size: int, default: int) -> int | None:
+    """Range partitions for so many bytes; None leaves a small input to the session and AQE."""
+    wanted = math.ceil(size / CHUNK_BYTES)
+    return wanted if wanted > default else None
+
+
+def _chunk_count(df: DataFrame) -> int | None:
+    return chunk_count(stored_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lay_out(
@@ -196,20 +207,25 @@ def attach(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join per-series ``facts``, a stored table, onto rows whose key may be hot.
 
-    The file size of ``facts`` decides: under the broadcast threshold it is broadcast.
-    Beyond it both sides are shuffled, with the rows of a key spread over ``salts``
-    partitions by a hash of the ``spread`` columns.
+    If the file size of ``facts`` is under the broadcast threshold, the choice is left to
+    Spark, which knows that size and at run time the true ones. Beyond it both sides are
+    shuffled: keys are counted, and only those with more than ``hot_rows`` rows are salted,
+    each with as many salts as its count asks for, by a hash of the ``spread`` columns.
     """
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if plan_bytes(facts) <= _bytes(limit):
-        return df.join(F.broadcast(facts), list(on), how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+        return df.join(facts, list(on), how)
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    # At most one row for every ``hot_rows`` rows.
+    hot = store(counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts")), "hot_keys")
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = df.join(hot, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    copies = facts.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def _bytes(text: str) -> int:

@@ -168,3 +168,30 @@ def test_a_null_key_is_an_error(spark):
     rows = spark.createDataFrame([(None, 1.0), ("a", 2.0)], "series_id string, y double")
     with pytest.raises(Exception, match="null in key column series_id"):
         lay_out(rows, ["y"])
+
+
+def test_partitions_follow_the_stored_bytes():
+    assert layout.chunk_count(100 * 10**12, 200) == 745_059
+    assert layout.chunk_count(10**9, 200) is None and layout.chunk_count(layout.CHUNK_BYTES * 201, 200) == 201
+
+
+def test_joins_do_not_inflate_the_size(spark, table):
+    base = store(spark.createDataFrame(table), "sized")
+    alone = layout.stored_bytes(base)
+    joined = base.join(base.groupBy("series_id").count(), "series_id").join(base.select("series_id", "tie"), ["series_id", "tie"])
+    assert layout.plan_bytes(joined) > 100 * alone
+    assert layout.stored_bytes(joined) == 3 * alone
+
+
+def test_only_hot_keys_are_copied(spark, table):
+    rows = _numbered(spark, table)
+    facts = store(spark.createDataFrame([("hot", 1.0), ("mid", 2.0), ("one", 3.0)], "series_id string, fact double"), "facts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach(rows, facts, ["series_id"], ["idx"], hot_rows=400)
+        got = {r["series_id"]: (r["k"], r["f"]) for r in joined.groupBy("series_id").agg(F.count("*").alias("k"), F.max("fact").alias("f")).collect()}
+        files = [f for f in joined.inputFiles() if "hot_keys" in f]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"hot": (600, 1.0), "mid": (299, 2.0), "one": (1, 3.0)}
+    assert [tuple(r) for r in spark.read.parquet(*files).collect()] == [("hot", 2)]
