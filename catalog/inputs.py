@@ -9,6 +9,7 @@ from gapcast.config import SERIES, Config
 from gapcast.operators.rolling import with_headway
 from gapcast.plans.features import add_features, clean_arrivals
 from gapcast.plans.layout import lay_out
+from gapcast.plans.scratch import new_path
 
 # Small blocks, so that the given tables span several.
 CFG = Config(block_rows=512, lookback=24)
@@ -76,3 +77,16 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     table = events(spark, sf)
     reader = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
     return reader.parquet(sf)
+
+
+def update_files(spark: SparkSession, sf: str, files: int = 4) -> str:
+    """The events as messages in text files, each in no order, with up to a minute of one file in the next."""
+    path = new_path(spark, "messages")
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(60_000_000))
+    rows = events(spark, sf).withColumn("_at", late)
+    low, high = rows.agg(F.min("_at"), F.max("_at")).first()
+    part = F.floor((F.col("_at") - low) * files / (high - low + 1))
+    for k in range(files):
+        # One after the other: the source takes files in the order of their times.
+        as_messages(rows.where(part == k)).coalesce(1).write.text(f"{path}/{k}")
+    return f"{path}/*"

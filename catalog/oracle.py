@@ -232,6 +232,10 @@ gaps AS (SELECT series_id, ts AS ds, (epoch_us(ts) - epoch_us(lag(ts) OVER (PART
 kept AS (SELECT * FROM gaps WHERE y >= 1)"""
 )
 
+# A stream gives what the watermark has passed: all but the last two minutes, in whole milliseconds.
+PASSED = "(SELECT (epoch_us(max(ts)) // 1000 - 120000) * 1000 FROM events)"
+STREAM_GAPS = GAPS.replace("FROM obs WHERE arrival", f"FROM obs WHERE arrival AND epoch_us(ts) <= {PASSED}")
+
 
 def _padded(width: int) -> str:
     """The last ``width`` gaps, with the earliest one repeated in front if there are fewer."""
@@ -500,9 +504,9 @@ def statements() -> dict[str, str]:
     sql["csv_reloaded"] = BASE + " SELECT tie, ds AS arrival_date, duration, y AS mbt, CAST(isodow(ds) >= 6 AS INTEGER) AS dow FROM arr"
     sql["positional_reloaded"] = BASE + " SELECT CAST(tie AS DOUBLE) AS tie, duration, y AS target FROM clean"
     sql["stored_predictions"] = """SELECT event_type || '#' || event_id AS doc_id, strftime(ts, '%Y-%m-%d %H') AS time, event_type AS route,
-        CAST(user_id AS VARCHAR) AS stop, value AS pred_mbt, 'ok' AS status, ts AS created FROM events ORDER BY ts DESC LIMIT 100"""
+        CAST(user_id AS VARCHAR) AS stop, value AS pred_mbt, 'ok' AS status, ts AS created FROM events ORDER BY ts DESC, doc_id LIMIT 100"""
     sql["latest_predictions"] = """SELECT event_type AS route_id, strftime(ts, '%Y-%m-%d %H') AS timestamp_str,
-        event_type || '#' || arg_max(event_id, ts) AS doc_id, arg_max(value, ts) AS predicted_mbt FROM events GROUP BY 1, 2"""
+        event_type || '#' || arg_max(event_id, ts) AS doc_id, arg_max(value, ts) AS predicted_mbt FROM events GROUP BY event_type, user_id, 2"""
 
     sql["parse_messages"] = MESSAGES
     sql["parse_messages_for_targets"] = MESSAGES + " WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')"
@@ -541,22 +545,29 @@ def statements() -> dict[str, str]:
             min(value) AS min_eta, arg_max(value, ts) AS last_eta FROM events GROUP BY 1, 2)
         SELECT series_id, window_start, window_start + INTERVAL 1 MINUTE AS window_end, updates, min_eta, last_eta FROM s
         WHERE epoch_ms(window_start + INTERVAL 1 MINUTE) <= (SELECT epoch_ms(max(ts)) - 120000 FROM events)"""
-    sql["stream_arrivals"] = DETECTED + " SELECT series_id, ts, eta, arrival FROM obs"
-    sql["stream_headways"] = GAPS + " SELECT series_id, ds, y FROM kept"
+    sql["stream_arrivals"] = DETECTED + f" SELECT series_id, ts, eta, arrival FROM obs WHERE epoch_us(ts) <= {PASSED}"
+    sql["stream_headways"] = STREAM_GAPS + " SELECT series_id, ds, y FROM kept"
     sql["stream_features"] = (
-        GAPS
+        STREAM_GAPS
         + WEATHER
         + f""", f AS (SELECT series_id, ds, y, {_padded(10)} AS p10, {_padded(50)} AS p50, {_padded(60)} AS p60 FROM kept)
         SELECT series_id, f.ds, y, round(list_stddev_samp(p50), 5) AS rolling_std_50, list_max(p10) AS rolling_max_10, round(list_avg(p10), 9) AS rolling_mean_10,
                round(list_stddev_samp(p10), 5) AS rolling_std_10, round(list_avg(p50), 9) AS rolling_mean_50, f.ds + INTERVAL 1 HOUR AS future_ds,
-               CAST(isodow(f.ds + INTERVAL 1 HOUR) >= 6 AS INTEGER) AS dow, temp, p60[1] AS oldest
-        FROM f LEFT JOIN wx ON wx.hour = {HOUR.replace('epoch_us(ds)', 'epoch_us(f.ds + INTERVAL 1 HOUR)')}"""
+               CAST(isodow(f.ds + INTERVAL 1 HOUR) >= 6 AS INTEGER) AS dow,
+               (SELECT arg_max(temp, wx.hour) FROM wx WHERE wx.hour <= {HOUR.replace('epoch_us(ds)', 'epoch_us(f.ds + INTERVAL 1 HOUR)')}) AS temp, p60[1] AS oldest
+        FROM f"""
     )
-    stamp = "CASE WHEN epoch_us(ds) % 1000000 = 0 THEN strftime(ds, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ds, '%Y-%m-%dT%H:%M:%S.%f') END"
+    stamp = "CASE WHEN epoch_us(poll) % 1000000 = 0 THEN strftime(poll, '%Y-%m-%dT%H:%M:%S') ELSE strftime(poll, '%Y-%m-%dT%H:%M:%S.%f') END"
+    polled = STREAM_GAPS + ", polled AS (SELECT *, ds + INTERVAL 90 SECOND AS poll FROM kept)"
     sql["stream_predictions"] = (
-        GAPS
-        + f""" SELECT 'L#' || {stamp} AS doc_id, {stamp} AS timestamp_str, ds AS "timestamp", 'L' AS route_id, series_id AS stop_id,
-        y AS predicted_mbt, 'ok' AS status FROM kept"""
+        polled
+        + f""" SELECT 'L#' || series_id || '#' || {stamp} AS doc_id, {stamp} AS timestamp_str, poll AS "timestamp", 'L' AS route_id, series_id AS stop_id,
+        y AS predicted_mbt, 'ok' AS status FROM polled"""
+    )
+    sql["stream_minutes_remaining"] = (
+        polled
+        + """ SELECT series_id, ds, y AS yhat, (epoch_us(make_timestamp(epoch_us(ds) + CAST(round_even(y * 6e7, 0) AS BIGINT))) - epoch_us(poll)) / 6e7
+        AS minutes_remaining FROM polled"""
     )
     sql["stream_trip_durations"] = """SELECT o.event_id // 2 AS trip_id, o.ts AS origin_ts, t.ts AS target_ts, (epoch_us(t.ts) - epoch_us(o.ts)) / 6e7 AS duration
         FROM events o JOIN events t ON t.event_id = o.event_id + 1 AND o.event_id % 2 = 0 WHERE t.ts BETWEEN o.ts AND o.ts + INTERVAL 2 HOUR"""

@@ -16,6 +16,7 @@ from catalog.inputs import (
     events,
     featured,
     raw,
+    update_files,
     weather,
 )
 from gapcast.config import SERIES
@@ -833,7 +834,7 @@ def responses(spark, sf):
 
 
 def _updates(spark, sf):
-    return streaming.parse_stream(as_messages(event_stream(spark, sf)))
+    return streaming.parse_stream(tables.read_vehicle_updates(spark, update_files(spark, sf), files_per_batch=1))
 
 
 @query
@@ -872,9 +873,23 @@ def stream_predictions(spark, sf):
     def last_value():
         return lambda batch: batch["y"]
 
-    forecasts = streaming.score_stream(features, last_value, ["y"])
-    documents = sinks.prediction_documents(forecasts.withColumn("route", F.lit("L")), "route", SERIES)
-    return streaming.run_available(documents, "documents").drop("created_at")
+    poll = F.col("ds") + F.expr("INTERVAL 90 SECONDS")
+    forecasts = streaming.score_stream(features, last_value, ["y"], poll_time=poll).withColumn("route", F.lit("L"))
+    path = new_path(spark, "documents")
+    query = sinks.write_predictions(
+        sinks.prediction_documents(forecasts, "route", SERIES), path, new_path(spark, "documents-checkpoint", owned=False), availableNow=True
+    )
+    query.awaitTermination()
+    return spark.read.parquet(path).drop("created_at")
+
+
+@query
+def stream_minutes_remaining(spark, sf):
+    """What is left of the forecast headway 90 seconds after the arrival."""
+    features = streaming.stream_features(_updates(spark, sf), history=60)
+    poll = F.col("ds") + F.expr("INTERVAL 90 SECONDS")
+    forecasts = streaming.score_stream(features, lambda: lambda batch: batch["y"], ["y"], poll_time=poll)
+    return streaming.run_available(forecasts.select(SERIES, "ds", "yhat", "minutes_remaining"), "remaining")
 
 
 @query

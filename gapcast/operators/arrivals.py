@@ -101,7 +101,7 @@ def prediction_cells(df: DataFrame, series: str = SERIES) -> DataFrame:
 
 
 def latest_per_key(
-    predictions: DataFrame, key: Sequence[str] = ("route_id", "timestamp_str"), version: str = "created_at"
+    predictions: DataFrame, key: Sequence[str] = ("route_id", "stop_id", "timestamp_str"), version: str = "created_at"
 ) -> DataFrame:
     """The newest stored document per key; the map side keeps one row per key."""
     rest = [c for c in predictions.columns if c not in key]

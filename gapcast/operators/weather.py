@@ -25,6 +25,20 @@ def weather_hours(weather: DataFrame, tz: str = "UTC") -> DataFrame:
     return hours
 
 
+def filled_hours(weather: DataFrame, tz: str = "UTC", beyond: str = "7 days") -> DataFrame:
+    """Every hour of the table and ``beyond``, each value filled from the nearest earlier one.
+
+    One row per hour of the time span, however many arrivals.
+    """
+    hours = weather_hours(weather, tz)
+    columns = [c for c in hours.columns if c != "weather_hour"]
+    ends = hours.agg(F.min("weather_hour").alias("lo"), (F.max("weather_hour") + F.expr(f"INTERVAL {beyond}")).alias("hi"))
+    every = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("weather_hour"))
+    past = Window.partitionBy(F.lit(0)).orderBy("weather_hour").rowsBetween(Window.unboundedPreceding, 0)
+    filled = every.join(hours, "weather_hour", "left").withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
+    return store(filled, "filled_weather")
+
+
 def join_weather(
     df: DataFrame,
     weather: DataFrame | None,

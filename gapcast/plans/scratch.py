@@ -29,9 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, owned: bool = True) -> str:
+    """A path of its own in the shared folder; ``drop_stored`` deletes it only if it is ``owned``."""
     path = f"{shared_dir(spark)}/gapcast/{name}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    if owned:
+        _stored.append(path)
     return path
 
 

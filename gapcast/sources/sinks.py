@@ -33,10 +33,10 @@ def write_windows(windows: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def prediction_documents(cells: DataFrame, route: str, stop: str) -> DataFrame:
-    """Live forecasts as stored documents, keyed by route and poll time."""
+    """Live forecasts as stored documents, keyed by route, stop and poll time."""
     stamp = iso("poll_time")
     return cells.select(
-        F.concat_ws("#", F.col(route), stamp).alias("doc_id"),
+        F.concat_ws("#", F.col(route), F.col(stop), stamp).alias("doc_id"),
         stamp.alias("timestamp_str"),
         F.col("poll_time").alias("timestamp"),
         F.col(route).alias("route_id"),
@@ -47,14 +47,18 @@ def prediction_documents(cells: DataFrame, route: str, stop: str) -> DataFrame:
     )
 
 
-def write_predictions(documents: DataFrame, path: str, checkpoint: str | None = None):
-    """Append documents; for a stream, the started query with its own checkpoint."""
+def write_predictions(documents: DataFrame, path: str, checkpoint: str | None = None, **trigger):
+    """Append documents; for a stream, start it with its own checkpoint and return the query.
+
+    ``trigger`` has the options of a stream's trigger, such as ``availableNow=True``.
+    """
     if documents.isStreaming:
-        return (
+        writer = (
             documents.writeStream.format("parquet")
             .option("path", path)
             .option("checkpointLocation", checkpoint)
             .outputMode("append")
         )
+        return (writer.trigger(**trigger) if trigger else writer).start()
     documents.write.mode("append").parquet(path)
     return None

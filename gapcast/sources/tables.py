@@ -76,8 +76,8 @@ def read_weather(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def read_predictions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Stored predictions, newest first, under the review names."""
-    ordered = spark.read.parquet(path).orderBy(F.desc("timestamp"))
+    """Stored predictions, newest first and by document among those, under the review names."""
+    ordered = spark.read.parquet(path).orderBy(F.desc("timestamp"), "doc_id")
     rows = ordered if limit is None else ordered.limit(limit)
     return rows.select(*[F.col(stored).alias(shown) for stored, shown in PREDICTION_FIELDS.items()])
 

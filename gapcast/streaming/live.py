@@ -1,19 +1,22 @@
 """The live half: messages -> arrivals -> headways -> features -> forecasts.
 
-Batch and stream share the column expressions. State per series is bounded: the last
-ETA, the last arrival and at most ``history`` gaps. A micro-batch hands one series to
-one task, so its size (``files_per_batch``, ``maxOffsetsPerTrigger``) is the bound on
-what a hot station can put there.
+Batch and stream share the column expressions. Observations newer than the watermark are
+held, and taken up in time order once it has passed them, so the result does not depend
+on how files fall into micro-batches; what comes later than the watermark allows is
+dropped by Spark and counted (``freshness``). State per series is the last ETA, the last
+arrival, at most ``history`` gaps, and the observations of the watermark's span. A
+micro-batch hands one series to one task, so its size (``files_per_batch``,
+``maxOffsetsPerTrigger``) is the bound on what a hot station can put there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,13 +26,11 @@ from gapcast.functions.clock import minutes_between, parse_ts, round_hour, weeke
 from gapcast.functions.messages import parse_updates
 from gapcast.operators.arrivals import live_columns
 from gapcast.operators.forecast import score
-from gapcast.operators.weather import weather_hours
+from gapcast.operators.weather import filled_hours
 from gapcast.plans.scratch import new_path
 
 WATERMARK = "2 minutes"
 POLL = "30 seconds"
-# A series silent for this long gives up its state.
-IDLE = "7 days"
 
 _EPOCH = pd.Timestamp(0)
 
@@ -62,58 +63,66 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ((ts - _EPOCH) // pd.Timedelta(microseconds=1)).to_numpy()
 
 
-def _in_order(batches: Iterator[pd.DataFrame], seen: int | None) -> tuple[pd.DataFrame, np.ndarray]:
-    """The group's rows by time, without those older than the state's time."""
-    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-    at = _micros(rows["ts"])
-    if seen is not None:
-        rows, at = rows[at >= seen], at[at >= seen]
-    return rows, at
+def _due(
+    batches: Iterator[pd.DataFrame], held_at: Sequence[int], held_eta: Sequence[float], state: GroupState
+) -> tuple[np.ndarray, np.ndarray, list[int], list[float]]:
+    """Times and ETAs that the watermark has passed, in order, and those still held."""
+    rows = [b for b in batches if len(b)] if not state.hasTimedOut else []
+    at = np.concatenate([np.array(held_at, np.int64), *[_micros(b["ts"]) for b in rows]])
+    eta = np.concatenate([np.array(held_eta, float), *[b["eta"].to_numpy(float) for b in rows]])
+    known = ~np.isnan(eta)
+    at, eta = at[known], eta[known]
+    order = np.lexsort([eta, at])
+    at, eta = at[order], eta[order]
+    due = at <= state.getCurrentWatermarkMs() * 1000
+    return at[due], eta[due], at[~due].tolist(), eta[~due].tolist()
 
 
 def _jumps(eta: np.ndarray, last: float | None, jump: float) -> np.ndarray:
     """Where the ETA rose by more than ``jump`` over the one before."""
+    if not len(eta):
+        return np.zeros(0, bool)
     before = np.concatenate([[np.nan if last is None else last], eta[:-1]])
     return eta > before + jump
 
 
-def _keep_until_idle(state: GroupState, last_micros: int, idle_ms: int) -> None:
-    if state.getCurrentWatermarkMs() >= 0:
-        due = last_micros // 1000 + idle_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+def _wake(state: GroupState, held: Sequence[int], last: int | None, idle: str | None) -> None:
+    """Ask for a call when the watermark passes the first held row, or else after the idle time."""
+    watermark = state.getCurrentWatermarkMs()
+    if held:
+        state.setTimeoutTimestamp(max(held[0] // 1000 - 1, watermark + 1))
+    elif idle is not None and last is not None:
+        state.setTimeoutTimestamp(max(last // 1000 + int(pd.Timedelta(idle).total_seconds() * 1000), watermark + 1))
 
 
-def _idle_ms(text: str) -> int:
-    return int(pd.Timedelta(text).total_seconds() * 1000)
-
-
-def detect_arrivals_stream(updates: DataFrame, jump: float = Config.eta_jump, idle: str = IDLE) -> DataFrame:
-    """Each ETA observation with ``arrival``; state: last ETA and its time.
+def detect_arrivals_stream(
+    updates: DataFrame, jump: float = Config.eta_jump, idle: str | None = None
+) -> DataFrame:
+    """Each ETA observation that the watermark has passed, with ``arrival``.
 
-    Rows of a micro-batch are put in time order; a row older than the state is
-    ignored.
+    State: the last ETA, its time, and the held observations. A series silent for ``idle``
+    loses its state, and with it the first comparison afterwards; by default none does.
     """
-    idle_ms = _idle_ms(idle)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, seen, held_at, held_eta = state.get if state.exists else (None, None, [], [])
+        if state.hasTimedOut and not held_at:
             state.remove()
             return
-        last, seen = state.get if state.exists else (None, None)
-        rows, at = _in_order(batches, seen)
-        rows = rows[rows["eta"].notna().to_numpy()]
-        if len(rows):
-            eta = rows["eta"].to_numpy(float)
-            hit = _jumps(eta, last, jump)
-            at = _micros(rows["ts"])
-            state.update((float(eta[-1]), int(at[-1])))
-            _keep_until_idle(state, int(at[-1]), idle_ms)
-            yield pd.DataFrame({SERIES: key[0], "ts": rows["ts"], "eta": eta, "arrival": hit})
+        at, eta, held_at, held_eta = _due(batches, held_at, held_eta, state)
+        before = last
+        if len(eta):
+            last, seen = float(eta[-1]), int(at[-1])
+        state.update((last, seen, held_at, held_eta))
+        _wake(state, held_at, seen, idle)
+        if len(eta):
+            times = _EPOCH + pd.to_timedelta(at, unit="us")
+            yield pd.DataFrame({SERIES: key[0], "ts": times, "eta": eta, "arrival": _jumps(eta, before, jump)})
 
     return updates.groupBy(SERIES).applyInPandasWithState(
         step,
         f"{SERIES} string, ts timestamp, eta double, arrival boolean",
-        "last_eta double, last_micros long",
+        "last_eta double, last_micros long, held_at array<long>, held_eta array<double>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -133,28 +142,23 @@ def stream_features(
     history: int = Config.lookback,
     min_gap: float = Config.min_gap,
     jump: float = Config.eta_jump,
-    idle: str = IDLE,
+    idle: str | None = None,
 ) -> DataFrame:
     """One row per kept headway: time, headway, rolling statistics, padded history.
 
     Detection, accumulation, the headway rule, padding and rolling run in one stateful
-    step: last ETA, last arrival and the last ``history`` gaps are the state. A short
-    history is padded in front with its earliest gap.
+    step: last ETA, last arrival, the last ``history`` gaps and the held observations are
+    the state. A short history is padded in front with its earliest gap.
     """
-    idle_ms, pad = _idle_ms(idle), max(history, *[w for _, _, w in ROLLING_FEATURES])
+    pad = max(history, *[w for _, _, w in ROLLING_FEATURES])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, seen, arrived_at, gaps, held_at, held_eta = state.get if state.exists else (None, None, None, [], [], [])
+        if state.hasTimedOut and not held_at:
             state.remove()
             return
-        last, seen, arrived_at, gaps = state.get if state.exists else (None, None, None, [])
         gaps = np.array(gaps if gaps is not None else [], float)
-        rows, at = _in_order(batches, seen)
-        known = rows["eta"].notna().to_numpy()
-        rows, at = rows[known], at[known]
-        if not len(rows):
-            return
-        eta = rows["eta"].to_numpy(float)
+        at, eta, held_at, held_eta = _due(batches, held_at, held_eta, state)
         times = at[_jumps(eta, last, jump)]
         if arrived_at is not None:
             times = np.concatenate([[arrived_at], times])
@@ -163,8 +167,10 @@ def stream_features(
         everything = np.concatenate([gaps, new])
         kept = everything[-history:]
         arrived_at = int(times[-1]) if len(times) else arrived_at
-        state.update((float(eta[-1]), int(at[-1]), arrived_at, kept.tolist()))
-        _keep_until_idle(state, int(at[-1]), idle_ms)
+        if len(eta):
+            last, seen = float(eta[-1]), int(at[-1])
+        state.update((last, seen, arrived_at, kept.tolist(), held_at, held_eta))
+        _wake(state, held_at, seen, idle)
         if len(new):
             front = np.full(pad, everything[0])
             padded = np.concatenate([front, everything])
@@ -175,15 +181,14 @@ def stream_features(
             }
             for name, fn, width in ROLLING_FEATURES:
                 out[name] = _rolling_last(padded, fn, width, len(new))
-            stops = range(len(padded) - len(new) + 1, len(padded) + 1)
-            out["history"] = [padded[stop - history : stop].tolist() for stop in stops]
+            out["history"] = list(np.lib.stride_tricks.sliding_window_view(padded, history)[-len(new) :])
             yield pd.DataFrame(out)
 
     stats = ", ".join(f"{name} double" for name, _, _ in ROLLING_FEATURES)
     return updates.groupBy(SERIES).applyInPandasWithState(
         step,
         f"{SERIES} string, ds timestamp, y double, {stats}, history array<double>",
-        "last_eta double, last_micros long, arrival_micros long, gaps array<double>",
+        "last_eta double, last_micros long, arrival_micros long, gaps array<double>, held_at array<long>, held_eta array<double>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -199,20 +204,23 @@ def with_future_row(
 ) -> DataFrame:
     """The row to be predicted beside each feature row: time, calendar and weather.
 
-    Weather is a static side, joined on the nearest hour.
+    Weather is a static side, joined on the nearest hour, filled forward as in the batch form.
     """
     ahead = features.withColumn("future_ds", F.col("ds") + F.expr(f"INTERVAL {freq}"))
     ahead = ahead.withColumn("dow", weekend_flag("future_ds"))
     if weather is None:
         return ahead
-    hours = weather_hours(weather, tz)
+    hours = filled_hours(weather, tz)
     return ahead.withColumn("weather_hour", round_hour("future_ds")).join(hours, "weather_hour", "left").drop("weather_hour")
 
 
-def score_stream(features: DataFrame, model, columns: list[str] | None = None) -> DataFrame:
-    """Live forecasts of the next headway: ``yhat`` and the minutes-remaining columns."""
+def score_stream(
+    features: DataFrame, model, columns: list[str] | None = None, poll_time: Column | None = None
+) -> DataFrame:
+    """Live forecasts of the next headway: ``yhat`` and the minutes that remain at the poll time, by default now."""
     scored = score(features, model, "yhat", columns)
-    return live_columns(scored.withColumn("last_arrival", F.col("ds")), F.col("ds"))
+    now = F.current_timestamp() if poll_time is None else poll_time
+    return live_columns(scored.withColumn("last_arrival", F.col("ds")), now)
 
 
 def trip_durations_stream(
@@ -234,9 +242,12 @@ def trip_durations_stream(
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all data there is and return its output table."""
+    """Run a stream over all data there is and return its output table.
+
+    ``drop_stored`` deletes the output, so call it when no such stream runs; the checkpoint stays.
+    """
     spark: SparkSession = stream.sparkSession
-    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
+    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint", owned=False)
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
