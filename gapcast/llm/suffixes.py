@@ -116,53 +116,89 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[list[int], int, int]]:
-    """Groups (members, l, r): l bytes before and r bytes from the anchor that all members share, l + r >= length.
-
-    ``rights`` are sorted suffixes, ``lefts`` what stands before them, read backwards. Each
-    group is as long as its members allow; groups come from the longest prefix down.
-    """
-    prefixes = [_common(a, b) for a, b in zip(rights, rights[1:])] + [-1]
+def intervals(texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """The common-prefix interval tree of sorted texts: (first, last, depth), inner ones before outer."""
     stack: list[tuple[int, int]] = []
-    for i, depth in enumerate(prefixes):
+    for i, depth in enumerate([_common(a, b) for a, b in zip(texts, texts[1:])] + [-1]):
         start = i
         while stack and stack[-1][0] > depth:
-            r, start = stack.pop()
-            for members, l in _left_groups(range(start, i + 1), lefts, max(0, length - r)):
-                # Rights are sorted: what the outer two share, all share.
-                if _common(rights[min(members)], rights[max(members)]) == r:
-                    yield members, l, r
-        if depth > 0 and (not stack or stack[-1][0] < depth):
+            inner, start = stack.pop()
+            yield start, i, inner
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
             stack.append((depth, start))
 
 
-def _left_groups(members: range, lefts: list[bytes], need: int) -> Iterator[tuple[list[int], int]]:
-    """Members that share at least ``need`` bytes to the left and differ beyond, by another stack scan."""
-    order = sorted((lefts[i], i) for i in members if len(lefts[i]) >= need)
-    heights = [_common(a, b) for (a, _), (b, _) in zip(order, order[1:])] + [-1]
-    stack: list[tuple[int, int]] = []
-    for k, depth in enumerate(heights):
-        start = k
-        while stack and stack[-1][0] > depth:
-            l, start = stack.pop()
-            yield [i for _, i in order[start : k + 1]], l
-        if depth >= need and (not stack or stack[-1][0] < depth):
-            stack.append((depth, start))
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[list[int], int, int]]:
+    """Groups (members, l, r): l bytes before and r bytes from the anchor that all members share, l + r >= length.
+
+    ``rights`` are sorted suffixes, ``lefts`` what stands before them, read backwards. Groups
+    are told from shorter ones by diversity: members differ right after and right before.
+    """
+    for first, last, r in intervals(rights):
+        order = sorted((lefts[i], i) for i in range(first, last + 1) if len(lefts[i]) >= length - r)
+        for low, high, l in intervals([text for text, _ in order]):
+            members = [i for _, i in order[low : high + 1]]
+            # Rights are sorted: what the outer two share, all share.
+            if l + r >= length and _common(rights[min(members)], rights[max(members)]) == r:
+                yield members, l, r
+
+
+def _near(texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """The order of the texts, and for each the longest beginning it shares with any other."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    shared = [0, *(_common(texts[a], texts[b]) for a, b in zip(order, order[1:])), 0]
+    near = [0] * len(texts)
+    for k, i in enumerate(order):
+        near[i] = max(shared[k], shared[k + 1])
+    return order, near
+
+
+def _furthest(texts: list[bytes], order: list[int], others: list[bytes], near: list[int], length: int) -> list[int]:
+    """For each text the depth of the innermost interval with a member whose other side agrees too; 0 if none.
+
+    The other sides of an interval of depth d must share ``length`` - d bytes; ``near`` is
+    the most that one shares with any other. What has been found inside is only a partner further out.
+    """
+    best = [0] * len(texts)
+    for first, last, depth in intervals([texts[i] for i in order]):
+        need = max(0, length - depth)
+        members = [i for i in order[first : last + 1] if near[i] >= need]
+        if len(members) < 2 or all(best[i] for i in members):
+            continue
+        sides: dict[bytes, list[int]] = {}
+        for i in members:
+            sides.setdefault(others[i][:need], []).append(i)
+        for group in sides.values():
+            if len(group) > 1:
+                for i in group:
+                    best[i] = best[i] or depth
+    return best
+
+
+def reaches(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[list[int], list[int]]:
+    """How far the repeats of ``length`` or more over one anchor reach to the left and right of each context."""
+    by_left, near_left = _near(lefts)
+    by_right, near_right = _near(rights)
+    after = _furthest(rights, by_right, lefts, near_left, length)
+    before = _furthest(lefts, by_left, rights, near_right, length)
+    return before, after
+
+
+def _by_key(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each key."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    yield from np.split(order, cuts) if len(order) else ()
 
 
 def _grow(length: int):
     """One cell: for each context how far its longest repeats reach to the left and right."""
 
     def run(cell):
-        cell = cell.sort_values(["key", "right"], kind="stable").reset_index(drop=True)
-        before, after = cell["before"].to_numpy().copy(), cell["after"].to_numpy().copy()
-        lefts, rights = cell["left"].tolist(), cell["right"].tolist()
-        key = cell["key"].to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(cell)]])
-        for low, high in zip(edges[:-1], edges[1:]):
-            for members, l, r in maximal_repeats(rights[low:high], lefts[low:high], length):
-                at = low + np.array(members)
-                before[at], after[at] = np.maximum(before[at], l), np.maximum(after[at], r)
+        before, after = np.zeros(len(cell), np.int32), np.zeros(len(cell), np.int32)
+        lefts, rights = cell["left"].to_numpy(), cell["right"].to_numpy()
+        for at in _by_key(cell["key"].to_numpy()):
+            before[at], after[at] = reaches([lefts[i] for i in at], [rights[i] for i in at], length)
         return cell.assign(before=before, after=after)
 
     return run
@@ -172,19 +208,17 @@ def _scan(side: str, length: int):
     """One part of the order by ``side``: as ``_grow``, and the longest prefix shared with a neighbour."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell = pd.concat(list(batches))
-        if not len(cell):
+        parts = [b for b in batches if len(b)]
+        if not parts:
             return
-        cell = cell.sort_values(["key", side], kind="stable").reset_index(drop=True)
-        key, text = cell["key"].tolist(), cell[side].tolist()
-        shared = [_common(a, b) if j == k else 0 for a, b, j, k in zip(text, text[1:], key, key[1:])]
-        near = np.maximum([0, *shared], [*shared, 0])
-        place = np.arange(len(cell))
-        out = grow(cell).sort_values(["k1", "k2", "pos"]).reset_index(drop=True)
-        marks = cell.assign(near=near, head=place == 0, tail=place == len(cell) - 1, side=side)
-        marks["part"] = TaskContext.get().partitionId()
-        marks = marks.sort_values(["k1", "k2", "pos"]).reset_index(drop=True)
-        yield marks.assign(before=out["before"], after=out["after"]).drop(columns=["left", "right", "key"])
+        cell = pd.concat(parts)
+        keys, texts = cell["key"].tolist(), cell[side].tolist()
+        order = sorted(range(len(cell)), key=lambda i: (keys[i], texts[i]))
+        shared = [_common(texts[a], texts[b]) if keys[a] == keys[b] else 0 for a, b in zip(order, order[1:])]
+        near, place = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
+        near[order], place[order] = np.maximum([0, *shared], [*shared, 0]), np.arange(len(cell))
+        marks = grow(cell).assign(near=near, head=place == 0, tail=place == len(cell) - 1, side=side)
+        yield marks.assign(part=TaskContext.get().partitionId()).drop(columns=["left", "right", "key"])
 
     grow = _grow(length)
     return run
@@ -215,7 +249,7 @@ def _contexts(fetch: DataFrame, documents: DataFrame, length: int, gram: int) ->
 
 
 def _split_groups(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """How far repeats of contexts in large groups reach; the anchors where that may be too little."""
+    """How far repeats of contexts in large groups reach, and contexts of anchors where that may be too little."""
     parts, scans = max(1, -(-hot.count() // CELL)), []
     kinds = "k1 bigint, k2 bigint, pos int, anchor bigint, before int, after int, near bigint, head boolean, tail boolean, side string, part int"
     for side in ("right", "left"):
@@ -235,27 +269,61 @@ def _split_groups(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     possible = (F.col("near_left") + F.col("near_right") >= length) & (
         (F.col("near_right") > F.col("after")) | (F.col("near_left") > F.col("before"))
     )
-    return known.select(*KEY, "pos", "before", "after"), known.where(possible).select(F.col("anchor").alias("a")).distinct()
+    # The windows that could reach further, by their start before the anchor, for each anchor:
+    # to the right those up to ``length - after - 1``, to the left those from ``before + 1``.
+    least = F.greatest(length - F.col("near_right"), F.lit(0))
+    to_right = F.col("near_right") > F.col("after")
+    to_left = F.col("near_left") > F.col("before")
+    unsure = known.where(possible).groupBy("anchor").agg(
+        F.min(F.when(to_right, least)).alias("right_low"),
+        F.max(F.when(to_right, F.least(length - F.col("after") - 1, F.col("near_left")))).alias("right_high"),
+        F.min(F.when(to_left, F.greatest(F.col("before") + 1, least))).alias("left_low"),
+        F.max(F.when(to_left, F.col("near_left"))).alias("left_high"),
+    )
+    unsure = store(unsure.withColumnRenamed("anchor", "a"), "open-anchors")
+    # All contexts of such an anchor take part: a partner may be settled itself.
+    facts = known.drop("anchor").withColumnsRenamed({"before": "found_before", "after": "found_after"})
+    open_ = hot.join(unsure, F.col("anchor") == F.col("a")).join(facts, [*KEY, "pos"])
+    return known.select(*KEY, "pos", "before", "after"), open_
 
 
 def _windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of windows over the anchors of ``rows`` that occur twice, by counting their hashes."""
+    """Spans of windows over the anchors of ``rows`` that occur twice, by counting their hashes.
+
+    A window that reaches further to a side than any neighbour shares can't occur twice.
+    """
     reach = length - gram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k1, k2, pos, anchor, left, right in zip(*(batch[c] for c in (*KEY, "pos", "anchor", "left", "right"))):
-                text, n = left[::-1] + right, len(left)
-                sums = prefix_hash(np.frombuffer(text, np.uint8))
-                start = np.arange(0, len(text) - length + 1)
-                start = start[(start <= n) & (start >= n - reach)]
-                hashes = mix(span_hash(sums, start, start + length), 9) + U64(anchor & 0xFFFFFFFFFFFFFFFF)
-                yield pd.DataFrame({"hash": hashes.view(np.int64), "anchor": anchor, "k1": k1, "k2": k2, "start": (pos - n + start).astype(np.int32)})
-
-    found = store(rows.mapInPandas(run, "hash bigint, anchor bigint, k1 bigint, k2 bigint, start int").distinct(), "windows")
-    twice = found.groupBy("hash", "anchor").agg(F.count("*").alias("n")).where("n > 1")
+            for k in range(0, len(batch), 2000):
+                part = batch.iloc[k : k + 2000]
+                before = part["left"].map(len).to_numpy()
+                after = part["right"].map(len).to_numpy()
+                buffer = np.frombuffer(b"".join(a[::-1] + b for a, b in zip(part["left"], part["right"])), np.uint8)
+                base = np.cumsum(before + after) - after  # where the anchors stand
+                low = np.maximum(0, length - np.minimum(after, part["near_right"].to_numpy()))
+                high = np.minimum(np.minimum(before, reach), part["near_left"].to_numpy())
+                many = np.maximum(high - low + 1, 0)
+                at = np.repeat(np.arange(len(part)), many)
+                back = low[at] + np.arange(len(at)) - (np.cumsum(many) - many)[at]
+                limits = {c: part[c].fillna(-1).to_numpy(np.int64)[at] for c in ("right_low", "right_high", "left_low", "left_high")}
+                wanted = (back >= limits["right_low"]) & (back <= limits["right_high"])
+                wanted |= (back >= limits["left_low"]) & (back <= limits["left_high"]) & (limits["left_low"] >= 0)
+                at, back = at[wanted], back[wanted]
+                start = base[at] - back
+                anchor = part["anchor"].to_numpy()[at]
+                hashes = mix(span_hash(prefix_hash(buffer), start, start + length), 9) + anchor.view(np.uint64)
+                columns = {"hash": hashes.view(np.int64), "anchor": anchor}
+                columns |= {c: part[c].to_numpy()[at] for c in KEY}
+                columns["new"] = (back > part["found_before"].to_numpy()[at]) | (length - back > part["found_after"].to_numpy()[at])
+                yield pd.DataFrame({**columns, "start": (part["pos"].to_numpy()[at] - back).astype(np.int32)})
+
+    found = store(rows.mapInPandas(run, "hash bigint, anchor bigint, k1 bigint, k2 bigint, new boolean, start int").distinct(), "windows")
+    places = found.select("hash", "anchor", *KEY, "start").distinct()
+    twice = places.groupBy("hash", "anchor").agg(F.count("*").alias("n")).where("n > 1")
     twice = twice.select(F.bitwise_not("hash").alias("same"), F.col("anchor").alias("of"))
-    hit = found.join(twice, (F.bitwise_not("hash") == F.col("same")) & (F.col("anchor") == F.col("of")))
+    hit = found.where("new").join(twice, (F.bitwise_not("hash") == F.col("same")) & (F.col("anchor") == F.col("of")))
     return hit.select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
@@ -282,11 +350,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     if not sizes.isEmpty():
         known, unsure = _split_groups(store(hot, "large-groups"), length)
         reached = reached.unionByName(known)
-        unsure = store(unsure, "open-anchors")
-        if not unsure.isEmpty():
-            # All contexts of an open anchor take part: a partner may be settled itself.
-            groups = hot.join(unsure, F.col("anchor") == F.col("a"), "left_semi")
-            spans = spans.unionByName(_windows(groups, length, gram))
+        spans = spans.unionByName(_windows(unsure, length, gram))
     grown = reached.where("after > 0")
     ends = (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end")
     return spans.unionByName(grown.select(*KEY, *ends))
