@@ -6,8 +6,8 @@
    several kinds and halves, and patterns.
 3. ``LabelModel`` is generative: a hidden label, and votes that depend on it and on at
    most one other vote each (a tree of the strongest correlations given the label). EM
-   estimates prevalence, accuracies and correlations from vote patterns; the labels of
-   the training rows are one more voter.
+   estimates prevalence, accuracies and correlations from vote patterns. The given labels
+   of the training rows are one more voter, of a known accuracy (``TRUST``).
 4. A logistic regression on the presence of lexicon entries and votes is fitted to the
    posterior labels. Its sigmoid is the score.
 
@@ -34,6 +34,11 @@ from gapcast.plans.scratch import store
 MAX_ROWS = 24_000  # labelled rows the model is fitted on
 MAX_ENTRIES = 6_000  # lexicon entries, the strongest first
 THRESHOLD = 0.3
+TRUST = 0.995  # accuracy of the given labels
+RARE = 0.002  # share of the toxic sample rows that an entry must stand in, three rows at least
+ODDS, STRONG = 2.5, 3.5
+RIDGE = 3.0
+COMMON = 0.02  # share of the toxic sample rows from which an entry counts as a strong one
 PREFIXES = (4, 5, 6)
 GENERAL = frozenset(
     "idiot idiots stupid moron dumb loser losers trash scum pathetic disgusting worthless clown garbage "
@@ -64,8 +69,8 @@ def labelled(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return store(documents.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic"), "toxic-sample")
 
 
-def lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
-    """Entries with the log-odds of a toxic document that has them, from document counts."""
+def lexicon(sample: DataFrame, max_entries: int) -> dict[str, bool]:
+    """Entries that mark toxic documents, by document counts; true for strong ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -77,19 +82,21 @@ def lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays(columns, names=["entry", "toxic", "clean"])
 
     sums = sample.mapInArrow(count, "entry string, toxic bigint, clean bigint").groupBy("entry")
-    counts = sums.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 2")
+    counts = sums.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = {int(r["t"]): int(r["n"]) for r in sample.groupBy((F.col("toxic") != 0).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()}
-    odds = F.log(((F.col("toxic") + 0.1) / (rows.get(1, 0) + 1.0)) / ((F.col("clean") + 0.1) / (rows.get(0, 0) + 1.0)))
-    best = counts.withColumn("odds", odds).where("odds > 2").orderBy(F.desc("odds"), F.desc("toxic"), "entry").limit(max_entries)
-    return {r["entry"]: float(r["odds"]) for r in best.collect()}
+    toxic = rows.get(1, 0)
+    odds = F.log((F.col("toxic") / (toxic + 1.0)) / ((F.col("clean") + 1.0) / (rows.get(0, 0) + 1.0)))
+    often = counts.where(F.col("toxic") >= max(3, RARE * toxic)).withColumn("odds", odds).where(F.col("odds") > ODDS)
+    best = often.orderBy(F.desc("odds"), F.desc("toxic"), "entry").limit(max_entries)
+    return {r["entry"]: bool(r["odds"] > STRONG and r["toxic"] >= COMMON * toxic) for r in best.collect()}
 
 
-def votes(text: str, found: set[str], lex: dict[str, float]) -> list[int]:
+def votes(text: str, found: set[str], lex: dict[str, bool]) -> list[int]:
     """What each voter says: 1 toxic, 0 not."""
     hits = [e for e in found if e in lex]
     whole = [e for e in hits if e[-1] != "-"]
     starts = [e for e in hits if e[-1] == "-"]
-    strong = sum(lex[e] > 4 for e in hits)
+    strong = sum(lex[e] for e in hits)
     return [
         int(len(found & GENERAL) >= 1),
         int(len(whole) >= 1),
@@ -105,15 +112,18 @@ def votes(text: str, found: set[str], lex: dict[str, float]) -> list[int]:
 
 
 class LabelModel:
-    """Hidden label, votes in a tree given it; fitted by EM to counted vote patterns."""
+    """Hidden label, votes in a tree given it; fitted by EM to counted vote patterns.
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, gold: int, rounds: int = 30):
-        n, m = patterns.shape
-        known = patterns[:, gold]
-        self.p = np.where(known == 1, 0.98, 0.02)
+    The votes in column ``gold`` are right with the probability ``trust``, whatever the others say.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, gold: int, rounds: int = 30, trust: float = TRUST):
+        given, votes = patterns[:, gold], np.delete(patterns, gold, axis=1)
+        self.gold = np.log(np.where(given == [[0], [1]], trust, 1 - trust))
+        self.p = np.where(given == 1, trust, 1 - trust)
         for _ in range(rounds):
-            self._estimate(patterns, counts)
-            new = self.posterior(patterns)
+            self._estimate(votes, counts)
+            new = self.posterior(votes)
             done = np.abs(new - self.p).max() < 1e-6
             self.p = new
             if done:
@@ -149,7 +159,7 @@ class LabelModel:
                 self.table.append(smooth / smooth.sum(2, keepdims=True))
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        log = np.log(self.prior)[:, None].repeat(len(x), 1)
+        log = np.log(self.prior)[:, None] + self.gold
         for j, i in enumerate(self.parent):
             t = np.log(self.table[j])
             log += t[:, x[:, j]] if i < 0 else t[:, x[:, i], x[:, j]]
@@ -158,7 +168,7 @@ class LabelModel:
 
 @dataclass
 class Model:
-    lex: dict[str, float]
+    lex: dict[str, bool]
     index: dict[str, int]  # lexicon entry to weight
     weights: np.ndarray  # entries, then votes
     bias: float
@@ -170,8 +180,9 @@ class Model:
         return float(self.bias + self.weights[hit].sum() + self.weights[len(self.index) :] @ said)
 
 
-def _regression(rows: list[list[int]], target: np.ndarray, size: int, steps: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def _regression(rows: list[list[int]], target: np.ndarray, size: int, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on presence features to soft targets, by full gradients with momentum."""
+    ridge = RIDGE / len(rows)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
     owner = np.repeat(np.arange(len(rows)), lengths)

@@ -182,7 +182,7 @@ def test_label_model_weighs_correlated_votes():
     noisy = flip(0.35)
     votes = np.stack([noisy, noisy, noisy, flip(0.1), flip(0.12), flip(0.05)], 1)
     patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    soft = toxicity.LabelModel(patterns, counts.astype(float), gold=5).p[at.ravel()]
+    soft = toxicity.LabelModel(patterns, counts.astype(float), gold=5, trust=0.95).p[at.ravel()]
     assert ((soft > 0.5) == truth).mean() > ((votes.mean(1) > 0.5) == truth).mean() + 0.02
 
 
