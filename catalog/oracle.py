@@ -534,9 +534,9 @@ def statements() -> dict[str, str]:
     sql["requests_round_trip"] = (
         BASE + """ SELECT series_id, idx, least(n, 165) AS n, series_id AS unique_id, ds, duration, y FROM clean WHERE idx < 165"""
     )
-    sql["request_errors"] = """SELECT event_id AS request_id, 'Input must be a list of records or {''instances'': [...]}' AS error FROM events"""
+    sql["request_errors"] = """SELECT event_id AS request_id, 'no rows: send a JSON list of rows, alone or under the name instances' AS error FROM events"""
     sql["short_requests"] = """SELECT user_id, count(*) AS rows,
-        'Input length (' || count(*) || ') must be greater than horizon (60) when using future exogenous variables.' AS error
+        count(*) || ' rows are too few: a forecast of 60 needs more rows than that' AS error
         FROM events GROUP BY 1 HAVING count(*) <= 60"""
     sql["responses"] = BASE + " SELECT series_id, idx, y FROM clean WHERE idx >= n - 2"
 

@@ -15,9 +15,9 @@ def _holds(rule: Column) -> Column:
 
 
 def cleaning_rules(cfg: Config = Config(), weather: bool = False) -> dict[str, Column]:
-    """The filters in the order they apply. Null fails every comparison."""
+    """The filters in the order they apply. Null and NaN fail the first one that names their column."""
     rules = {
-        "duration_min": F.col("duration") >= cfg.min_duration,
+        "duration_min": (F.col("duration") >= cfg.min_duration) & (F.col("duration") < float("inf")),
         "duration_max": F.col("duration") <= cfg.max_duration,
         "headway_max": F.col("mbt") <= cfg.max_headway,
     }
@@ -91,8 +91,7 @@ def reject_short(df: DataFrame, horizon: int = 1, by: Sequence[str] = (SERIES,))
     """One row per request that is not longer than the horizon, with an error text."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
     text = F.format_string(
-        f"Input length (%d) must be greater than horizon ({horizon}) "
-        "when using future exogenous variables.",
+        f"%d rows are too few: a forecast of {horizon} needs more rows than that",
         F.col("rows"),
     )
     return counts.where(F.col("rows") <= horizon).withColumn("error", text)

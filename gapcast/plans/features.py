@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapcast.config import ROLLING_FEATURES, SERIES, WEATHER_COLUMNS, Config
 from gapcast.functions.clock import weekend_flag
+from gapcast.functions.numbers import nan_to_null
 from gapcast.operators.clean import clean, cleaning_rules
 from gapcast.operators.columns import default_column, rename_canonical, require_columns, with_series_id
 from gapcast.operators.rolling import rolling
@@ -61,7 +62,7 @@ def feature_table(
     rows; all windows after it share one exchange by (series, block).
     """
     require_columns(arrivals, ("arrival_date", "duration", "mbt"))
-    numbered = clean_arrivals(arrivals, cfg, weather is not None, order, chunks)
+    numbered = clean_arrivals(nan_to_null(arrivals, ["duration", "mbt"]), cfg, weather is not None, order, chunks)
     featured = add_features(numbered, weather, cfg, dense=True)
     shown = [c for c in FEATURE_COLUMNS if c in featured.columns]
     return featured.select(SERIES, "idx", "n", *shown)

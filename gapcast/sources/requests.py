@@ -14,7 +14,7 @@ from gapcast.functions.clock import strip_zone
 # Fixed value: six digits; the default JSON format cuts to milliseconds.
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-NOT_A_LIST = "Input must be a list of records or {'instances': [...]}"
+NOT_A_LIST = "no rows: send a JSON list of rows, alone or under the name instances"
 
 INSTANCE = T.StructType(
     [
@@ -27,20 +27,22 @@ INSTANCE = T.StructType(
 
 
 def decode_requests(
-    df: DataFrame, payload: str = "payload", key: Sequence[str] = ("request_id",)
+    df: DataFrame, payload: str = "payload", key: Sequence[str] = ("request_id",), extra: T.StructType | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of request payloads: {"instances": [...]} or a bare list.
 
     Rows keep their place in the request as ``idx`` and the request's length as ``n``,
-    so they count as a numbered frame with ``by=key``. ``ds`` loses its zone. Errors
-    have ``error``.
+    so they count as a numbered frame with ``by=key``. ``ds`` loses its zone. Besides
+    the known columns, those of ``extra`` are read. Errors have ``error``.
     """
+    known = {f.name for f in INSTANCE}
+    fields = T.StructType([*INSTANCE, *[f for f in extra or () if f.name not in known]])
     data = F.try_parse_json(F.col(payload))
     inner = F.try_variant_get(data, "$.instances", "array<variant>")
     bare = F.try_variant_get(data, "$", "array<variant>")
     listed = F.coalesce(F.when(F.size(inner) > 0, inner), bare)
     read = df.select(*key, F.to_json(listed.cast("variant")).alias("_list"))
-    typed = read.withColumn("_rows", F.from_json("_list", T.ArrayType(INSTANCE)))
+    typed = read.withColumn("_rows", F.from_json("_list", T.ArrayType(fields)))
     rows = (
         typed.where(F.col("_rows").isNotNull())
         .select(*key, F.size("_rows").cast("long").alias("n"), F.posexplode("_rows").alias("idx", "_r"))

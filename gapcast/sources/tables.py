@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapcast.config import REQUIRED_COLUMNS, WEATHER_COLUMNS
+from gapcast.functions.numbers import nan_to_null
 from gapcast.operators.columns import require_columns
 
 # Fixed value: the default extract query.
@@ -43,10 +44,14 @@ def extract(spark: SparkSession, query: str | None = None, table: str = "arrival
 
 
 def _headed(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
-    """CSV with a header; columns by name, in any order, with the wanted types."""
-    text = spark.read.option("header", True).csv(path)
+    """CSV with a header; columns by name, in any order, with the wanted types; NaN is null.
+
+    All files of a folder must have the same header: one that differs is an error.
+    """
+    text = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     types = {f.name: f.dataType for f in wanted}
-    return text.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in text.columns])
+    typed = text.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in text.columns])
+    return nan_to_null(typed, [f.name for f in typed.schema if isinstance(f.dataType, T.DoubleType)])
 
 
 def read_arrivals_csv(spark: SparkSession, path: str, schema: T.StructType = ARRIVALS) -> DataFrame:

@@ -167,7 +167,7 @@ def test_decode_requests(spark):
 
 def test_short_requests(spark):
     got = clean.reject_short(ramp(spark, {"a": [1.0], "b": [1.0, 2.0]}), 1).collect()
-    assert [(r.series_id, r.rows) for r in got] == [("a", 1)] and "(1) must be greater than horizon (1)" in got[0].error
+    assert [(r.series_id, r.rows) for r in got] == [("a", 1)] and got[0].error.startswith("1 rows are too few")
 
 
 def test_request_and_response_json(spark):
@@ -207,3 +207,21 @@ def test_arrivals_before_the_weather_range_are_dropped_only_with_weather(spark,
     rows = [("2023-12-31 23:00:00", 1.0, 1.0), ("2024-01-01 01:00:00", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "arrival_date string, duration double, mbt double").withColumn("arrival_date", F.col("arrival_date").cast("timestamp"))
     assert clean_arrivals(df).count() == 2 and clean_arrivals(df, weather=True).count() == 1
+
+
+def test_not_a_number_is_missing(spark, tmp_path):
+    (tmp_path / "nan.csv").write_text("arrival_date,duration,mbt,dow\n2024-01-01T00:00:00,NaN,5.0,0\n2024-01-01T00:10:00,3.0,nan,0\n")
+    rows = sorted(tables.read_arrivals_csv(spark, str(tmp_path / "nan.csv")).collect(), key=lambda r: r.arrival_date)
+    assert rows[0].duration is None and rows[0].mbt == 5.0 and rows[1].duration == 3.0
+    frame = spark.createDataFrame([(float("nan"), 5.0), (3.0, 5.0)], "duration double, mbt double")
+    report = {r.rule: r.removed for r in clean.clean_report(frame, clean.cleaning_rules()).collect()}
+    assert report["duration_min"] == 1 and report["duration_max"] == 0
+
+
+def test_a_request_keeps_further_columns(spark):
+    from pyspark.sql import types as T
+
+    payload = '{"instances": [{"ds": "2024-01-01T00:00:00", "unique_id": "a", "y": 1.0, "crowd": 4}]}'
+    frame = spark.createDataFrame([(1, payload)], "request_id int, payload string")
+    rows, _ = requests.decode_requests(frame, extra=T.StructType([T.StructField("crowd", T.IntegerType())]))
+    assert rows.first().crowd == 4 and rows.first().y == 1.0
