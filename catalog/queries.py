@@ -532,6 +532,20 @@ def shuffled_members(spark, sf):
     return places.select(SERIES, "start_idx", "target")
 
 
+@query
+def shuffle_order(spark, sf):
+    """Places are a permutation, and not the order of the series."""
+    rows = _windows(spark, sf, splits=("train",)).drop("features")
+    shuffled = split.shuffle_batches(rows, seed=7).select(SERIES, "start_idx", "place")
+    plain = split.ordered_batches(rows).select(SERIES, "start_idx", F.col("place").alias("plain"))
+    moved = F.avg((F.col("place") != F.col("plain")).cast("int")) > 0.5
+    return shuffled.join(plain, [SERIES, "start_idx"]).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("place").alias("places"),
+        F.coalesce(F.min("place"), F.lit(0)).alias("first"), F.coalesce(F.max("place"), F.lit(-1)).alias("last"),
+        F.coalesce(moved, F.lit(True)).alias("moved"),
+    )
+
+
 @query
 def ordered_batches(spark, sf):
     places = split.ordered_batches(_windows(spark, sf, splits=("val", "test")).drop("features"))

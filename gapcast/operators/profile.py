@@ -47,8 +47,11 @@ def hourly_means(
 def heatmap(
     df: DataFrame, value: str = "y", time: str = "ds", tz: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean by hour (rows) and day name (columns, Monday first)."""
-    cells = hourly_means(df, value, time, tz, by)
+    """Mean by hour (rows) and day name (columns, Monday first).
+
+    The at most 168 cells of a group are stored, so what follows does not run the plan again.
+    """
+    cells = store(hourly_means(df, value, time, tz, by), "heat_cells")
     return cells.groupBy(*by, "hour").pivot("day_name", list(DAY_NAMES)).agg(F.first("mean"))
 
 
