@@ -24,6 +24,7 @@ HEADLINE = (
     "periodogram",
     "autopower",
     "standard_scale",
+    "robust_scale",
     "rolling_origin_cv",
     "evaluate",
     "seasonal_quantile_forecast",

@@ -21,6 +21,11 @@ def test_contract(spark):
     assert table.count() > 0 and "rolling_std_50" in table.columns
 
 
+def test_contract_without_the_corpus_operators(monkeypatch):
+    monkeypatch.setattr("importlib.util.find_spec", lambda name: None)
+    assert set(driver.queries()) == set(registered()) and set(driver.oracle_sql()) == set(statements())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there")
 @pytest.mark.parametrize("name", [name for name in registered() if name not in FITTED])
 def test_query_agrees_with_sql(spark, name):
