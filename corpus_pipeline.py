@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import minhash, mixing, packing, suffixes, toxicity
+from gapcast.llm.textbytes import bounded_batches
 from gapcast.plans.scratch import store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised model does not reject."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = tuple(c for c in docs.columns if c != "doc_id")
     judged = toxicity.score(docs, toxicity.fit(docs, labels), keep=rest)
@@ -23,12 +25,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
+    bounded_batches(spark)
     copies = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the byte strings that stand elsewhere too; n_chars is counted anew."""
+    bounded_batches(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = suffixes.dedup(docs, keep=rest).withColumn("text", F.col("kept_text"))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
@@ -41,6 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -31,7 +31,7 @@ from gapcast.plans.scratch import store
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 VOCABULARY = "byte_bpe_50k"
 
 _encoders: dict[str, "Words"] = {}

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gapcast.llm import maxent, minhash, mixing, multi_index, packing, suffixes, templates, topk, toxicity, url_lists
+from gapcast.llm.textbytes import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

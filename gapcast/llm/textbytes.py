@@ -11,8 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -31,7 +32,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> U64(31))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse."""
     both = []
@@ -46,6 +47,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(max(2 * SLICE_BYTES, 1 << (n + 1).bit_length()))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Sends texts to Python in smaller batches than the default 10,000 rows.
+
+    Executors then hold a few MB of text at a time, where texts are as long as web pages.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if pa.types.is_null(column.type):
