@@ -24,10 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    """One row of each group of near-duplicates, one with the smallest doc_id; rows without doc_id count as well."""
     bounded_batches(spark)
-    copies = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("of")), "rows")
+    texts = rows.select("row", F.col("of.doc_id").cast("bigint").alias("doc_id"), F.col("of.text").alias("text"))
+    copies = minhash.judged(texts).where("NOT kept").select("row")
+    return rows.join(copies, "row", "left_anti").select("of.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@
    so a document stops at the round that fills its last bin, and two sets agree in a
    coordinate with the probability of their similarity, with the concentration of
    independent hashes. Short sets fill all bins too.
-2. Documents with equal shingle sets form a class; only its smallest doc_id goes on.
+2. Documents with equal shingle sets form a class, whose id is a hash of the set's signature;
+   one row of it goes on.
 3. Two classes meet where all rows of a band agree. A pair at the least similarity misses
    all ``BANDS`` bands with a probability under 4e-6.
 4. Each bucket is first compared with its smallest member. Buckets with the same smallest
@@ -18,9 +19,11 @@
    yet joined in it, at most one per document, and never its pairs.
 
 A null or empty text, or one of white space, has no shingle, is linked with nothing and is
-its own component. A row without doc_id is linked with nothing, has no component and is kept.
-Rows with the same doc_id are taken as copies of each other if their
-sets agree; each row gives a row. Other columns are left out, whatever their names.
+its own component. A row without doc_id is linked with nothing, has no component and is kept;
+``judged`` can take it like the others. Rows with the same doc_id are told apart by their sets,
+so two texts under one doc_id are two documents; each row gives a row, and one row of a
+component is kept. A component is shown by its smallest doc_id. Other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapcast.llm.links import components
@@ -42,6 +45,7 @@ PERCENT = 80
 ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
 BLOCK = 256
+SIGNATURE = ["n_shingles", "s1", "s2"]
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,42 +75,50 @@ def _sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
         yield list(shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width))
 
 
+def _signs(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The sizes of the sets and their 128-bit signatures."""
+    signs = [np.array([mix(s, k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (11, 12)]
+    return [pa.array(np.array([len(s) for s in sets], np.int64)), *map(pa.array, signs)]
+
+
+def _content() -> Column:
+    """By what a row's text is found again."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit signature (s1, s2), and 16 bits of each coordinate."""
+    """row, content, doc_id, n_shingles, the set's 128-bit signature (s1, s2), and 16 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for sets in _sets(batch.column(1), width):
-                size = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(size)
-                signs = [np.array([mix(s, k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (11, 12)]
+            for sets in _sets(batch.column(3), width):
+                full = [k for k, s in enumerate(sets) if len(s)]
                 coordinates: list[bytes | None] = [None] * len(sets)
                 low = mix(fill([sets[k] for k in full]), 5).astype("<u2")
                 for k, row in zip(full, low):
                     coordinates[k] = row.tobytes()
-                ids = batch.column(0).slice(at, len(sets))
-                arrays = [ids, pa.array(size), *map(pa.array, signs), pa.array(coordinates, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
+                own = [batch.column(i).slice(at, len(sets)) for i in range(3)]
+                arrays = [*own, *_signs(sets), pa.array(coordinates, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "content", "doc_id", "n_shingles", "s1", "s2", "sketch"])
                 at += len(sets)
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch binary"
+    return documents.select("row", _content().alias("content"), "doc_id", "text").mapInArrow(
+        run, "row bigint, content bigint, doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch binary"
     )
 
 
 def full_sets(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, items): the sorted shingle hashes of each text as bytes."""
+    """(id, items): the class of each text and its sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for sets in _sets(batch.column(1), width):
+            for sets in _sets(batch.column(0), width):
                 items = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), items], names=["doc_id", "items"])
-                at += len(sets)
+                yield pa.RecordBatch.from_arrays([*_signs(sets), items], names=[*SIGNATURE, "items"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, items binary")
+    found = documents.select("text").mapInArrow(run, "n_shingles bigint, s1 bigint, s2 bigint, items binary")
+    return found.select(F.xxhash64(*SIGNATURE).alias("id"), "items")
 
 
 class Joined:
@@ -142,7 +154,7 @@ def _confirm(percent: int):
     """Confirms the pairs of a block on full sets; gives links that join what is apart."""
 
     def run(pairs, members):
-        items = {d: np.frombuffer(b, np.uint64) for d, b in zip(members["doc_id"], members["items"])}
+        items = {d: np.frombuffer(b, np.uint64) for d, b in zip(members["id"], members["items"])}
         joined, found = Joined(), []
         for a, b in zip(pairs["a"], pairs["b"]):
             if joined.root(a) != joined.root(b) and _similar(items[a], items[b], percent):
@@ -153,16 +165,17 @@ def _confirm(percent: int):
     return run
 
 
-def _sets_of(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """Full sets of the documents in ``wanted`` (doc_id)."""
-    texts = documents.join(wanted.distinct(), "doc_id", "left_semi")
-    return store(full_sets(texts, width).dropDuplicates(["doc_id"]), "sets")
+def _sets_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """Full sets of the classes in ``wanted`` (id)."""
+    places = classes.join(wanted.distinct(), "id", "left_semi").select("content")
+    texts = documents.withColumn("content", _content()).join(places, "content", "left_semi")
+    return store(full_sets(texts, width).dropDuplicates(["id"]), "sets")
 
 
-def _first_links(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+def _first_links(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) among ``pairs`` (block, a, b); a set is sent once to each block."""
-    needed = store(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-members")
-    members = needed.join(_sets_of(needed.select("doc_id"), documents, width), "doc_id")
+    needed = store(pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-members")
+    members = needed.join(_sets_of(needed.select("id"), classes, documents, width), "id")
     linked = pairs.groupBy("block").cogroup(members.groupBy("block")).applyInPandas(_confirm(percent), "a bigint, b bigint")
     return store(linked, "first-links")
 
@@ -233,20 +246,22 @@ def _other_links(rows: DataFrame, classes: DataFrame, parts: DataFrame, document
     )
     spread = dealt.select("key", "id", "part", F.explode(sides).alias("s"))
     spread = spread.select(F.xxhash64("key", "s.i", "s.j").alias("block"), "id", "part", "s.side")
-    sets = _sets_of(dealt.select(F.col("id").alias("doc_id")), documents, width)
-    facts = classes.select("id", F.col("n_shingles").alias("n"), "sketch").join(sets, F.col("id") == F.col("doc_id")).drop("doc_id")
+    sets = _sets_of(dealt.select("id"), classes, documents, width)
+    facts = classes.select("id", F.col("n_shingles").alias("n"), "sketch").join(sets, "id")
     full = spread.join(store(facts, "group-members"), "id")
     return store(full.groupBy("block").applyInPandas(_compare(percent), "a bigint, b bigint"), "other-links")
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def judged(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, unnamed: bool = True) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept for every row of ``documents`` (row, doc_id, text).
+
+    Rows are told apart by ``row`` alone. With ``unnamed``, rows without doc_id are linked like the others.
+    """
     drawn = store(sketches(documents, width), "sketches")
-    signature = ["n_shingles", "s1", "s2"]
-    filled = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = filled.groupBy(*signature).agg(F.min(F.struct("doc_id", "sketch")).alias("c"))
-    classes = store(least.select(*signature, F.col("c.doc_id").alias("id"), "c.sketch"), "classes")
+    taken = F.col("n_shingles") > 0 if unnamed else (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "content", "row", "sketch")
+    least = drawn.where(taken).groupBy(*SIGNATURE).agg(F.min(order).alias("c"))
+    classes = store(least.select(*SIGNATURE, F.xxhash64(*SIGNATURE).alias("id"), "c.doc_id", "c.content", "c.row", "c.sketch"), "classes")
     bands = classes.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     start = (F.col("band") * 2 * ROWS + 1).cast("int")
     part = F.substring(F.col("sketch"), start, F.lit(2 * ROWS))
@@ -255,14 +270,26 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     shared = shared.select(F.bitwise_not("key").alias("shared"), "least")
     rows = bands.withColumn("shared", F.bitwise_not("key")).join(shared, "shared").select("id", "least").distinct()
     rows = store(rows, "buckets")
-    links = _first_links(_first_pairs(rows), documents, width, percent)
+    links = _first_links(_first_pairs(rows), classes, documents, width, percent)
     parts = store(components(links), "parts")
     more = _other_links(rows, classes, parts, documents, width, percent)
     if not more.isEmpty():
         parts = store(components(links.unionByName(more)), "parts")
-    grouped = classes.join(parts, classes.id == parts.node, "left")
-    known = store(grouped.select(*signature, F.coalesce("component", "id").alias("component_id")), "class-parts")
-    out = drawn.select("doc_id", *signature).join(known, signature, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    grouped = classes.select(*SIGNATURE, "id", "doc_id", "row").join(parts, F.col("id") == F.col("node"), "left")
+    grouped = store(grouped.withColumn("component", F.coalesce("component", "id")), "class-parts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "row")).alias("c")
+    tops = grouped.where("node IS NOT NULL").groupBy("component").agg(first)
+    tops = store(tops.select(F.bitwise_not("component").alias("key"), F.col("c.doc_id").alias("shown"), F.col("c.row").alias("top")), "tops")
+    known = grouped.withColumn("key", F.bitwise_not("component")).join(tops, "key", "left")
+    known = known.select(*SIGNATURE, F.coalesce("shown", "doc_id").alias("shown"), F.coalesce("top", "row").alias("top"))
+    out = drawn.join(store(known, "class-tops"), SIGNATURE, "left")
+    named = F.lit(True) if unnamed else F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("shown", "doc_id"))
+    kept = ~named | F.coalesce(F.col("top") == F.col("row"), F.lit(True))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return judged(rows, width, percent, unnamed=False).drop("row")

@@ -51,6 +51,16 @@ def test_near_copies_match_all_pairs(spark, monkeypatch):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (size, component, i == component)
 
 
+def test_rows_with_one_doc_id_are_told_apart(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(80)) for k in "abc")
+    rows = [(1, a), (1, a), (7, a), (2, b), (2, c), (0, b + " end"), (5, c + " end"), (9, c + " end"), (None, a), (None, b)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(texts).where("doc_id IS NOT NULL").collect())
+    n, m = 77, 78
+    assert got == [(0, m, 0, True), (1, n, 1, False), (1, n, 1, True), (2, n, 0, False), (2, n, 2, True), (5, m, 2, False), (7, n, 1, False), (9, m, 2, False)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 900).astype(np.uint64)

@@ -67,6 +67,20 @@ def test_stages_do_what_plain_versions_do(spark, corpus):
     assert sum(r["length"] for r in packed) == sum(len(packing.encoder().ids(r["text"])) + 1 for r in mixed)
 
 
+def test_near_copies_leave_one_row_of_each_group(spark):
+    """Repeated rows, copies without doc_id, and two texts under one doc_id, one of them a copy."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(150)) for k in "abcd")
+    rows = [(1, a, "x"), (1, a, "x"), (2, b, "x"), (3, b, "x"), (3, c, "y"), (None, d, "z"), (None, d, "z"), (None, a, "x"), (None, None, "n"), (None, None, "n")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "v") for i, t, s in rows], f"{COLUMNS}, row string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a, "x"), (2, b, "x"), (3, c, "y"), (None, d, "z"), (None, None, "n"), (None, None, "n")], key=str)
+    left = corpus_pipeline.cut_repeats(spark, kept, "").where("text <> ''").collect()
+    assert {r["text"] for r in left} == {a, b, c, d}
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     result = corpus_pipeline.run(spark, corpus[0])
     assert result.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and result.count() > 0
