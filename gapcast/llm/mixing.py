@@ -3,7 +3,8 @@
 A source's target weight and its size give the mean repetition rate of its documents.
 A document's count is the inverse of the Poisson distribution with that mean at a number
 in (0, 1) taken from a hash of seed and doc_id, so a rerun or a lost executor gives the
-same copies. Each copy has a shuffle key, another hash, and the result is in its order.
+same copies. Above ``LARGEST``, where exp(-rate) nears the least double, the count is the sum
+of several such draws of equal mean. Each copy has a shuffle key, another hash, and the result is in its order.
 
 Null sources are one source of their own. Null texts have size 0; a source without any
 text keeps one copy of each document. Rows with the same doc_id get the same count. Other
@@ -19,6 +20,7 @@ from gapcast.plans.scratch import store
 
 HEX_DIGITS = 13
 SPAN = float(16**HEX_DIGITS)
+LARGEST = 700.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -28,7 +30,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(documents: DataFrame, weights: dict[str, float] | None, power: float, size: float) -> DataFrame:
-    """source, rate and the cumulative Poisson probabilities up to where they no longer change.
+    """source, the number of draws, the rate of each, and its cumulative Poisson probabilities up to where they no longer change.
 
     ``weights`` are the sources' target shares of the text; without them a source's share
     goes with its size to ``power``. ``size`` is the size of the result as a multiple of the input.
@@ -46,6 +48,8 @@ def rates(documents: DataFrame, weights: dict[str, float] | None, power: float,
     share = size * F.col("weight") / F.lit(totals["weight"]) * F.lit(totals["chars"]) / F.col("chars")
     rate = F.when(F.col("chars") > 0, share)
     rated = wanted.select("source", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+    draws = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("int")
+    rated = rated.withColumn("draws", draws).withColumn("rate", F.col("rate") / F.col("draws"))
     top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
 
@@ -65,8 +69,15 @@ def mix_sources(
     table = store(rates(documents, weights, power, size), "mixing-rates").withColumnRenamed("source", "rate_source")
     doc_key = F.col("doc_id").cast("string")
     drawn = documents.join(table, F.col("source").eqNullSafe(F.col("rate_source")))
-    spot = uniform(F.lit(str(seed)), doc_key)
-    drawn = drawn.withColumn("count", F.size(F.filter("cdf", lambda c: c < spot)))
+
+    def draw(*more: Column) -> Column:
+        spot = uniform(F.lit(str(seed)), doc_key, *more)
+        return F.size(F.filter("cdf", lambda c: c < spot))
+
+    # Each further draw has a hash of its own.
+    further = F.sequence(F.lit(2), F.col("draws"))
+    several = F.aggregate(further, draw(), lambda n, k: n + draw(F.concat(F.lit("draw "), k.cast("string"))))
+    drawn = drawn.withColumn("count", F.when(F.col("draws") > 1, several).otherwise(draw()))
     copies = drawn.where("count > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), doc_key, F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")

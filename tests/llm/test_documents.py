@@ -166,6 +166,13 @@ def test_mixing_counts_follow_poisson(spark):
         assert abs(shares[k] - np.exp(-1.5) * 1.5**k / [1, 1, 2, 6][k]) < 0.015
 
 
+def test_large_mixing_rates_follow_poisson(spark):
+    documents = spark.range(200).selectExpr("id AS doc_id", "'x' AS text", "'a' AS source")
+    rows = mixing.mix_sources(documents, size=2000.0).groupBy("doc_id").count().collect()
+    counts = np.array([r["count"] for r in rows])
+    assert len(counts) == 200 and abs(counts.mean() - 2000) < 20 and 1200 < counts.var() < 2800
+
+
 def test_toxicity_finds_held_out_insults(spark):
     rng = random.Random(1)
     texts, marks = [], []
