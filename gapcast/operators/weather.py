@@ -25,20 +25,31 @@ def weather_hours(weather: DataFrame, tz: str = "UTC") -> DataFrame:
     return hours
 
 
-def filled_hours(weather: DataFrame, tz: str = "UTC", beyond: str = "7 days") -> DataFrame:
-    """Every hour of the table and ``beyond``, each value filled from the nearest earlier one.
+def filled_hours(weather: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Every hour of the table, each value filled from the nearest earlier one.
 
-    One row per hour of the time span, however many arrivals.
+    One row per hour of the time span, however many arrivals. ``join_filled`` also serves later hours.
     """
     hours = weather_hours(weather, tz)
     columns = [c for c in hours.columns if c != "weather_hour"]
-    ends = hours.agg(F.min("weather_hour").alias("lo"), (F.max("weather_hour") + F.expr(f"INTERVAL {beyond}")).alias("hi"))
+    ends = hours.agg(F.min("weather_hour").alias("lo"), F.max("weather_hour").alias("hi"))
     every = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("weather_hour"))
     past = Window.partitionBy(F.lit(0)).orderBy("weather_hour").rowsBetween(Window.unboundedPreceding, 0)
     filled = every.join(hours, "weather_hour", "left").withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
     return store(filled, "filled_weather")
 
 
+def join_filled(df: DataFrame, filled: DataFrame) -> DataFrame:
+    """Left join of ``filled_hours`` on ``weather_hour``; hours after the table's end take its last row, however late."""
+    columns = [c for c in filled.columns if c != "weather_hour"]
+    ending = F.max(F.struct("weather_hour", *columns)).alias("ending")
+    last = store(filled.agg(ending), "last_weather")
+    joined = df.join(filled, "weather_hour", "left").join(F.broadcast(last), F.lit(True), "left")
+    late = F.col("weather_hour") > F.col("ending.weather_hour")
+    known = {c: F.when(late, F.col(f"ending.{c}")).otherwise(F.col(c)) for c in columns}
+    return joined.withColumns(known).drop("ending")
+
+
 def join_weather(
     df: DataFrame,
     weather: DataFrame | None,

@@ -26,7 +26,7 @@ from gapcast.functions.clock import minutes_between, parse_ts, round_hour, weeke
 from gapcast.functions.messages import parse_updates
 from gapcast.operators.arrivals import live_columns
 from gapcast.operators.forecast import score
-from gapcast.operators.weather import filled_hours
+from gapcast.operators.weather import filled_hours, join_filled
 from gapcast.plans.scratch import new_path
 
 WATERMARK = "2 minutes"
@@ -211,7 +211,7 @@ def with_future_row(
     if weather is None:
         return ahead
     hours = filled_hours(weather, tz)
-    return ahead.withColumn("weather_hour", round_hour("future_ds")).join(hours, "weather_hour", "left").drop("weather_hour")
+    return join_filled(ahead.withColumn("weather_hour", round_hour("future_ds")), hours).drop("weather_hour")
 
 
 def score_stream(

@@ -182,3 +182,11 @@ def test_future_weather_is_filled_forward(spark, folder):
     # Rounding to the hour moves the border by half an hour.
     border = pd.Timestamp("2024-01-02 08:30:00")
     assert rows and all(r.temp == (50.0 if r.future_ds > border else 40.0) for r in rows if abs(r.future_ds - border) > pd.Timedelta(minutes=1))
+
+
+def test_weather_lasts_however_late_the_events(spark, folder):
+    sky = spark.createDataFrame([("2023-11-01 00:00:00", 40.0), ("2023-11-01 03:00:00", None)], "datetime string, temp double")
+    sky = sky.withColumn("datetime", F.col("datetime").cast("timestamp"))
+    ahead = live.with_future_row(live.stream_features(_stream(spark, folder), history=5), sky)
+    rows = live.run_available(ahead.select("future_ds", "temp"), "late").collect()
+    assert rows and all(r.temp == 40.0 for r in rows)
