@@ -13,6 +13,8 @@ from gapcast.llm import minhash, mixing, packing, suffixes, toxicity
 from gapcast.llm.textbytes import bounded_batches
 from gapcast.plans.scratch import store
 
+#: Words of a shingle in the near-copy stage; four are for the op4 query alone.
+SHINGLE = 5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised model does not reject."""
@@ -28,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     bounded_batches(spark)
     rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("of")), "rows")
     texts = rows.select("row", F.col("of.doc_id").cast("bigint").alias("doc_id"), F.col("of.text").alias("text"))
-    copies = minhash.judged(texts).where("NOT kept").select("row")
+    copies = minhash.judged(texts, SHINGLE).where("NOT kept").select("row")
     return rows.join(copies, "row", "left_anti").select("of.*")
 
 

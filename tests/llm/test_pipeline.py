@@ -81,6 +81,21 @@ def test_near_copies_leave_one_row_of_each_group(spark):
     assert {r["text"] for r in left} == {a, b, c, d}
 
 
+def test_near_copies_are_told_by_five_words(spark):
+    """Scattered edits that leave 0.8 of the four-word shingles, but not of the five-word ones."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(6):
+        words = [f"{k}w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        edits = set(range(20, 300, 35)) if k % 2 else {50, 150}
+        texts.append(" ".join("other" + w if i in edits else w for i, w in enumerate(words)))
+    loose, strict = ({i for i, (_, c) in enumerate(brute.near_copies(texts, width=w)) if i == c} for w in (4, 5))
+    assert len(loose) == 6 and len(strict) == 9
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == strict
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     result = corpus_pipeline.run(spark, corpus[0])
     assert result.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and result.count() > 0
