@@ -182,10 +182,10 @@ def test_trip_durations(spark):
 def test_latest_and_staleness(spark):
     at = lambda m: START.to_pydatetime() + dt.timedelta(minutes=m)
     df = spark.createDataFrame(
-        [("L", "t1", at(1), 5.0), ("L", "t1", at(3), 6.0), ("L", "t2", at(2), 7.0)],
-        "route_id string, timestamp_str string, created_at timestamp, predicted_mbt double",
+        [("L", "s", "t1", at(1), 5.0), ("L", "s", "t1", at(3), 6.0), ("L", "s", "t2", at(2), 7.0), ("L", "r", "t1", at(2), 8.0)],
+        "route_id string, stop_id string, timestamp_str string, created_at timestamp, predicted_mbt double",
     )
-    newest = arrivals.latest_per_key(df).select("timestamp_str", "predicted_mbt")
-    assert collect(newest, "timestamp_str") == [("t1", 6.0), ("t2", 7.0)]
+    newest = arrivals.latest_per_key(df).select("stop_id", "timestamp_str", "predicted_mbt")
+    assert collect(newest, "stop_id", "timestamp_str") == [("r", "t1", 8.0), ("s", "t1", 6.0), ("s", "t2", 7.0)]
     stale = arrivals.staleness(df, F.lit("2024-01-01 00:10:00").cast("timestamp"), "created_at", ["route_id"])
     assert stale.first().minutes_stale == 7.0
