@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gapcast.llm import maxent, minhash, mixing, multi_index, packing, suffixes, templates, topk, toxicity, url_lists
+from gapcast.llm import maxent, minhash, mixing, multi_index, packing, periodic_runs, suffixes, templates, topk, toxicity, url_lists
 from gapcast.llm.textbytes import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return {**found, "pipeline": corpus_pipeline.run}
