@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gapcast.llm import maxent, minhash, mixing, multi_index, packing, periodic_runs, suffixes, templates, topk, toxicity, url_lists
+from gapcast.llm import maxent, minhash, mixing, multi_index, onebit, packing, periodic_runs, prefix_trie, suffixes, templates, topk, toxicity, url_lists
 from gapcast.llm.textbytes import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,13 +68,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(table(spark, sf_dir, "documents"))
 
 
+def op12_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return {**found, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_url_lists": url_lists.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL}
+    sql = {"op1_url_lists": url_lists.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL is not None:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
