@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.config import SERIES, Config
 from gapcast.operators.rolling import with_headway
 from gapcast.plans.features import add_features, clean_arrivals
-from gapcast.plans.layout import lay_out
+from gapcast.plans.layout import CHUNK_BYTES, lay_out, stored_bytes
 from gapcast.plans.scratch import new_path
 
 # Small blocks, so that the given tables span several.
@@ -79,14 +82,34 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return reader.parquet(sf)
 
 
-def update_files(spark: SparkSession, sf: str, files: int = 4) -> str:
-    """The events as messages in text files, each in no order, with up to a minute of one file in the next."""
+def slight_part(files: int, low: int, high: int) -> Column:
+    """The file of an event: by time, with up to a minute of one file in the next."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(60_000_000))
+    return F.floor((at - low) * files / (high + 60_000_000 - low))
+
+
+def planted_part(files: int, low: int, high: int) -> Column:
+    """By time, but one event in 40 comes two files later, and one in 40 a file later."""
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * files / (high - low + 1))
+    later = F.when(F.col("event_id") % 40 == 7, 2).when(F.col("event_id") % 40 == 9, 1).otherwise(0)
+    return F.least(part + later, F.lit(files - 1))
+
+
+def update_files(
+    spark: SparkSession, sf: str, parts: int = 4, disorder: Callable[[int, int, int], Column] = slight_part
+) -> tuple[str, int]:
+    """The events as messages in text files, each in no order, and the files that make up a part.
+
+    ``disorder`` says which part has an event. A part has as many files as its bytes ask for.
+    """
     path = new_path(spark, "messages")
-    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(60_000_000))
-    rows = events(spark, sf).withColumn("_at", late)
-    low, high = rows.agg(F.min("_at"), F.max("_at")).first()
-    part = F.floor((F.col("_at") - low) * files / (high - low + 1))
-    for k in range(files):
+    rows = events(spark, sf)
+    ends = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("low", "high")]
+    low, high = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(*ends).first()
+    part = disorder(parts, low or 0, high or 0)
+    files = max(1, math.ceil(stored_bytes(rows) / parts / CHUNK_BYTES))
+    for k in range(parts):
         # One after the other: the source takes files in the order of their times.
-        as_messages(rows.where(part == k)).coalesce(1).write.text(f"{path}/{k}")
-    return f"{path}/*"
+        dealt = rows.where(part == k).repartition(files, "event_id")
+        as_messages(dealt).write.text(f"{path}/{k}")
+    return f"{path}/*", files

@@ -243,6 +243,48 @@ def _padded(width: int) -> str:
     return f"list_concat([first(y) OVER (PARTITION BY series_id ORDER BY ds) for x in range({width} - len({rows}))], {rows})"
 
 
+def _huber(rounds: int = 15, lags: int = 12, delta: float = 1.0, ridge: float = 1e-3) -> str:
+    """CTEs up to ``hu(series_id, idx, n, ds, y, split, naive, huber)``: reweighted least squares, one CTE a round.
+
+    The equations of a round are a list of rows, solved by elimination in a list_reduce whose
+    further elements are the numbers of the pivots.
+    """
+    last = ("rolling_mean_10", "rolling_std_10", "rolling_mean_50", "rolling_std_50", "rolling_max_10", "duration")
+    taken = [f"lag(y, {k}) OVER w" for k in range(1, lags + 1)] + [f"lag({c}) OVER w" for c in last] + ["dow"]
+    size = len(taken)
+    x, z = [f"x{i}" for i in range(size)], ["1", *[f"z{i}" for i in range(size)]]
+    middle = ", ".join(f"avg({c}) AS m{i}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s{i}" for i, c in enumerate(x))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in x)
+    rolled = ", ".join(f"{_back(name)} AS {name}" for name, _, _ in ROLLING)
+    text = (
+        SPLIT
+        + ", hr AS (SELECT *, "
+        + ", ".join(f"{_full(fn, w)} AS {name}" for name, fn, w in ROLLING)
+        + f""" FROM parts),
+hb AS (SELECT series_id, idx, n, ds, y, split, duration, CAST(isodow(ds) >= 6 AS INTEGER) AS dow, {rolled} FROM hr),
+hx AS (SELECT series_id, idx, n, ds, y, split, {', '.join(f'CAST({t} AS DOUBLE) AS x{i}' for i, t in enumerate(taken))}
+       FROM hb WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+hf AS MATERIALIZED (SELECT * FROM hx WHERE idx >= {lags} AND {known}),
+hm AS (SELECT {middle} FROM hf WHERE split = 'train'),
+hz AS MATERIALIZED (SELECT series_id, idx, n, ds, y, split, x0 AS naive, {', '.join(f'(x{i} - m{i}) / s{i} AS z{i}' for i in range(size))} FROM hf, hm)"""
+    )
+    fitted = lambda r: " + ".join(f"b{r}[{i + 1}] * {c}" for i, c in enumerate(z))
+    for r in range(1, rounds + 1):
+        weight = f"1 / greatest(1.0, abs(y - ({fitted(r - 1)})) / {delta})" if r > 1 else "1.0::DOUBLE"
+        source = f"hz, hs{r - 1}" if r > 1 else "hz"
+        sums = [f"sum(w * {a} * {b}) AS g{i}_{j}" for i, a in enumerate(z) for j, b in enumerate([*z, "y"]) if j >= i]
+        entry = lambda i, j: f"g{min(i, j)}_{max(i, j)}" + (f" + {ridge}::DOUBLE * g0_0" if i == j > 0 else "")
+        matrix = "[" + ", ".join("[" + ", ".join(entry(i, j) for j in range(size + 2)) + "]" for i in range(size + 1)) + "]"
+        pivots = ", ".join(f"[[{p}.0::DOUBLE]]" for p in range(1, size + 2))
+        step = """lambda m, p: list_transform(m, lambda q, i: CASE WHEN i = p[1][1] THEN list_transform(q, lambda v: v / q[i])
+            ELSE list_transform(q, lambda v, j: v - q[CAST(p[1][1] AS INTEGER)] * m[CAST(p[1][1] AS INTEGER)][j] / m[CAST(p[1][1] AS INTEGER)][CAST(p[1][1] AS INTEGER)]) END)"""
+        text += f""",
+hg{r} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT *, {weight} AS w FROM {source} WHERE split = 'train')),
+hs{r} AS MATERIALIZED (SELECT list_transform(list_reduce([{matrix}, {pivots}], {step}), lambda q: q[{size + 2}]) AS b{r} FROM hg{r})"""
+    return text + f""",
+hu AS (SELECT series_id, idx, n, ds, y, split, naive, {fitted(rounds)} AS huber FROM hz, hs{rounds})"""
+
+
 DECEMBER = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -264,6 +306,8 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 3, 'headway_max', c2, c3, c2 - c3 FROM c
         UNION ALL SELECT 4, 'weather_range', c3, c4, c3 - c4 FROM c"""
     )
+    sql["clean_report_observed"] = sql["clean_report"]
+    sql["stream_clean_report"] = sql["clean_report"]
     sql["drop_nulls"] = BASE + " SELECT series_id, ds AS arrival_date, duration, y AS mbt FROM arr WHERE y IS NOT NULL AND duration IS NOT NULL"
     sql["year_filter"] = "SELECT event_type AS series_id, ts AS arrival_date, value AS duration FROM events WHERE year(ts) IN (2024, 2025)"
     sql["date_floor_filter"] = (
@@ -295,7 +339,17 @@ def statements() -> dict[str, str]:
 
     weather = "SELECT series_id, idx, temp, precip, snow, windspeed FROM wrows"
     sql["weather_join"] = BASE + _weather_rows() + " " + weather
+    sql["weather_from_file"] = BASE + _weather_rows() + " SELECT series_id, idx, temp, precip, snow FROM wrows"
     sql["weather_join_forward_only"] = BASE + _weather_rows(back=False) + " " + weather
+    sql["weather_asof"] = (
+        BASE
+        + WEATHER
+        + """, known AS (SELECT hour, temp FROM wx), drops AS (SELECT hour, precip FROM wx WHERE snow > 1)
+        SELECT series_id, idx, known.temp, drops.precip FROM clean
+        ASOF LEFT JOIN known ON clean.ds >= known.hour ASOF LEFT JOIN drops ON clean.ds >= drops.hour"""
+    )
+    sql["last_value_by_user"] = """SELECT e.event_id, k.value FROM events e
+        ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type <> 'view') k ON e.user_id = k.user_id AND e.ts >= k.ts"""
     gappy = BASE + ", g AS (SELECT *, CASE WHEN duration <= 20 THEN duration END AS k FROM clean)"
     sql["forward_fill"] = (
         gappy + " SELECT series_id, tie, last_value(k IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx) AS known FROM g"
@@ -408,6 +462,7 @@ def statements() -> dict[str, str]:
     sql["standard_scale"] = (
         SCALER + " SELECT series_id, idx, round((duration - dm) / dsd, 6) AS duration, round((y - ym) / ysd, 6) AS y FROM parts JOIN sc USING (series_id)"
     )
+    sql["scaler_reloaded"] = sql["standard_scale"]
     sql["inverse_scale"] = BASE + " SELECT series_id, idx, round(duration, 9) AS duration, round(y, 9) AS y FROM clean"
     sql["robust_scale"] = (
         SPLIT
@@ -504,10 +559,33 @@ def statements() -> dict[str, str]:
         SELECT series_id, CASE WHEN b IS NULL OR a <= b THEN 'naive' ELSE 'moving' END AS best, round(least(a, b), 6) AS loss FROM l"""
     )
 
+    sql["huber_regression"] = _huber() + " SELECT series_id, idx, y, round(huber, 5) AS huber FROM hu WHERE split = 'test'"
+    scored = " UNION ALL ".join(
+        f"SELECT {key} AS series_id, '{m}' AS model, '{name}' AS metric, round({f.format(m=m)}, 6) AS value FROM tt {group}"
+        for m in ("naive", "seasonal", "huber")
+        for name, f in (("mae", "avg(abs(y - {m}))"), ("rmse", "sqrt(avg((y - {m}) * (y - {m})))"))
+        for key, group in (("series_id", "GROUP BY series_id"), ("'ALL'", ""))
+    )
+    sql["training_run"] = (
+        _huber()
+        + """,
+        tq AS (SELECT series_id, isodow(ds) >= 6 AS we, hour(ds) AS hr, quantile_cont(y, 0.5) AS q FROM hu WHERE split = 'train' GROUP BY 1, 2, 3),
+        tg AS (SELECT series_id, quantile_cont(y, 0.5) AS g FROM hu WHERE split = 'train' GROUP BY 1),
+        tt AS (SELECT h.series_id, h.y, h.naive, h.huber, coalesce(q, g) AS seasonal FROM hu h JOIN tg USING (series_id)
+               LEFT JOIN tq ON tq.series_id = h.series_id AND tq.we = (isodow(h.ds) >= 6) AND tq.hr = hour(h.ds)
+               WHERE idx >= n - floor(0.2::DOUBLE * n)) """
+        + scored
+    )
+
     sql["csv_reloaded"] = BASE + " SELECT tie, ds AS arrival_date, duration, y AS mbt, CAST(isodow(ds) >= 6 AS INTEGER) AS dow FROM arr"
     sql["positional_reloaded"] = BASE + " SELECT CAST(tie AS DOUBLE) AS tie, duration, y AS target FROM clean"
     sql["stored_predictions"] = """SELECT event_type || '#' || event_id AS doc_id, strftime(ts, '%Y-%m-%d %H') AS time, event_type AS route,
         CAST(user_id AS VARCHAR) AS stop, value AS pred_mbt, 'ok' AS status, ts AS created FROM events ORDER BY ts DESC, doc_id LIMIT 100"""
+    sql["prediction_store"] = """WITH v AS (
+          SELECT event_type AS route, CAST(user_id AS VARCHAR) AS stop, strftime(ts, '%Y-%m-%d %H') AS time, ts, event_id, value AS v FROM events WHERE event_id % 2 = 0
+          UNION ALL SELECT event_type, CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d %H'), ts, event_id, -1.0 FROM events WHERE event_id % 3 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY route, stop, time ORDER BY ts DESC, route || '#' || event_id DESC, v DESC) AS k FROM v)
+        SELECT route || '#' || event_id AS doc_id, time, route, stop, v AS pred_mbt, 'ok' AS status, ts + INTERVAL 1 HOUR AS created FROM r WHERE k = 1"""
     sql["latest_predictions"] = """SELECT event_type AS route_id, strftime(ts, '%Y-%m-%d %H') AS timestamp_str,
         event_type || '#' || arg_max(event_id, ts) AS doc_id, arg_max(value, ts) AS predicted_mbt FROM events GROUP BY event_type, user_id, 2"""
 
@@ -548,6 +626,17 @@ def statements() -> dict[str, str]:
             min(value) AS min_eta, arg_max(value, ts) AS last_eta FROM events GROUP BY 1, 2)
         SELECT series_id, window_start, window_start + INTERVAL 1 MINUTE AS window_end, updates, min_eta, last_eta FROM s
         WHERE epoch_ms(window_start + INTERVAL 1 MINUTE) <= (SELECT epoch_ms(max(ts)) - 120000 FROM events)"""
+    for name, behind in (("stream_late_rows", 2), ("stream_late_counts", 1)):
+        sql[name] = f"""WITH e AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events),
+        p AS (SELECT CAST(user_id AS VARCHAR) AS series_id, ts, value AS eta, CAST(least(3, (epoch_us(ts) - low) * 4 // (high - low + 1)
+                + CASE event_id % 40 WHEN 7 THEN 2 WHEN 9 THEN 1 ELSE 0 END) AS INTEGER) AS batch FROM events, e),
+        b AS (SELECT batch, count(*) AS rows, max(ts) AS high FROM p GROUP BY 1),
+        m AS (SELECT a.batch, any_value(a.rows) AS rows, any_value(a.high) AS high,
+                     make_timestamp((epoch_us(max(c.high)) // 1000 - 120000) * 1000) AS watermark
+              FROM b a LEFT JOIN b c ON c.batch <= a.batch - {behind} GROUP BY 1)"""
+    sql["stream_late_rows"] += " SELECT series_id, ts, eta, p.batch, watermark FROM p JOIN m USING (batch) WHERE ts <= watermark"
+    sql["stream_late_counts"] += """ SELECT m.batch, m.rows, count(p.ts) AS late_rows, watermark, high
+        FROM m LEFT JOIN p ON p.batch = m.batch AND p.ts <= m.watermark GROUP BY ALL"""
     sql["stream_arrivals"] = DETECTED + f" SELECT series_id, ts, eta, arrival FROM obs WHERE epoch_us(ts) <= {PASSED}"
     sql["stream_headways"] = STREAM_GAPS + " SELECT series_id, ds, y FROM kept"
     sql["stream_features"] = (

@@ -15,6 +15,7 @@ from catalog.inputs import (
     event_stream,
     events,
     featured,
+    planted_part,
     raw,
     update_files,
     weather,
@@ -37,6 +38,7 @@ from gapcast.functions.messages import parse_updates
 from gapcast.functions.numbers import as_text, metric_text, row_key, safe_double
 from gapcast.operators import arrivals as live
 from gapcast.operators import clean, columns, fill, forecast, metrics, profile, scaling, slices, spectral, split
+from gapcast.operators.asof import asof_join
 from gapcast.operators.quantiles import quantiles
 from gapcast.operators.rolling import headways, naive_forecast, rolling, rolling_plain
 from gapcast.operators.weather import join_monthly_static, join_weather
@@ -45,7 +47,9 @@ from gapcast.plans.layout import positions
 from gapcast.plans.scratch import new_path, store
 from gapcast.plans.training import train_and_evaluate, with_point_forecasts
 from gapcast.sources import requests, sinks, tables
+from gapcast.streaming import late
 from gapcast.streaming import live as streaming
+from gapcast.streaming.cleaned import live_report, write_cleaned
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -106,6 +110,15 @@ def clean_report(spark, sf):
     return clean.clean_report(raw(spark, sf), clean.cleaning_rules(CFG, weather=True))
 
 
+@query
+def clean_report_observed(spark, sf):
+    """The report as counted while the cleaned rows are stored."""
+    rules = clean.cleaning_rules(CFG, weather=True)
+    kept, counts = clean.clean_observed(raw(spark, sf), rules)
+    store(kept, "cleaned")
+    return clean.observed_report(spark, counts, rules)
+
+
 @query
 def drop_nulls(spark, sf):
     return clean.drop_nulls(raw(spark, sf)).select(SERIES, "arrival_date", "duration", "mbt")
@@ -217,6 +230,32 @@ def weather_join(spark, sf):
     )
 
 
+@query
+def weather_asof(spark, sf):
+    """The last signup hour that had begun, whatever the gap; a value unknown there comes from the hours before."""
+    hours = weather(spark, sf).withColumn("precip", F.when(F.col("snow") > 1, F.col("precip")))
+    joined = asof_join(cleaned(spark, sf).select(*KEY, "ds"), hours, "ds", "datetime", ["temp", "precip"])
+    return joined.select(*KEY, "temp", "precip")
+
+
+@query
+def last_value_by_user(spark, sf):
+    """Each arrival with its user's last value before it, by an as-of join per user."""
+    rows = events(spark, sf).select("event_id", "user_id", F.col("ts").alias("at"))
+    known = events(spark, sf).where("event_type <> 'view'").select("user_id", F.col("ts").alias("seen"), "value")
+    return asof_join(rows, known, "at", "seen", ["value"], ["user_id"]).select("event_id", "value")
+
+
+@query
+def weather_from_file(spark, sf):
+    """The weather read from a CSV file of whichever columns it has, helpers dropped after the join."""
+    path = new_path(spark, "weather-csv")
+    sinks.write_table(weather(spark, sf).drop("windspeed"), path, "csv")
+    rows = cleaned(spark, sf).withColumn("datetime", F.col("ds"))
+    joined = columns.drop_helpers(join_weather(rows, tables.read_weather(spark, path)))
+    return joined.select(*[c for c in joined.columns if c in (*KEY, "datetime", "temp", "precip", "snow", "windspeed")])
+
+
 @query
 def weather_join_forward_only(spark, sf):
     joined = join_weather(cleaned(spark, sf), weather(spark, sf), back=False)
@@ -475,6 +514,15 @@ def scaler(spark, sf):
     return _rounded(scaling.fit_scaler(split.split(cleaned(spark, sf)), SCALED), 6, "mean", "std")
 
 
+@query
+def scaler_reloaded(spark, sf):
+    """Rows scaled by a scaler that was written and read again."""
+    rows, path = split.split(cleaned(spark, sf)), new_path(spark, "scaler")
+    sinks.write_scaler(scaling.fit_scaler(rows, SCALED), path)
+    scaled = scaling.apply_scaler(rows, tables.load_scaler(spark, path), SCALED)
+    return _rounded(scaled.select(*KEY, *SCALED), 6, *SCALED)
+
+
 @query
 def standard_scale(spark, sf):
     rows = split.split(cleaned(spark, sf))
@@ -638,7 +686,7 @@ def residual_frame(spark, sf):
 
 @query
 def naive_mae(spark, sf):
-    return _rounded(metrics.naive_mae(_windows(spark, sf)), 6, "mae")
+    return _rounded(metrics.naive_mae(cleaned(spark, sf), 24, block_rows=CFG.block_rows), 6, "mae")
 
 
 @query
@@ -688,12 +736,13 @@ def best_by_validation(spark, sf):
 @query
 def huber_regression(spark, sf):
     scored = with_point_forecasts(store(featured(spark, sf, False), "features"), CFG, lags=12)
-    return scored.where("split = 'test'").select(*KEY, "y", "huber")
+    return _rounded(scored.where("split = 'test'").select(*KEY, "y", "huber"), 5, "huber")
 
 
 @query
 def training_run(spark, sf):
-    return train_and_evaluate(store(featured(spark, sf, False), "features"), CFG, lags=12).scores
+    run = train_and_evaluate(store(featured(spark, sf, False), "features"), CFG, lags=12)
+    return _rounded(run.scores, 6, "value")
 
 
 # ---- files ----------------------------------------------------------------------
@@ -719,6 +768,7 @@ def positional_reloaded(spark, sf):
 
 def _documents(spark, sf):
     return events(spark, sf).select(
+        "event_id",
         F.concat_ws("#", "event_type", F.col("event_id").cast("string")).alias("doc_id"),
         F.date_format("ts", "yyyy-MM-dd HH").alias("timestamp_str"),
         F.col("ts").cast("timestamp").alias("timestamp"),
@@ -733,13 +783,24 @@ def _documents(spark, sf):
 @query
 def stored_predictions(spark, sf):
     path = new_path(spark, "predictions")
-    sinks.write_predictions(_documents(spark, sf), path)
-    return tables.read_predictions(spark, path, limit=100)
+    sinks.write_predictions(_documents(spark, sf).drop("event_id"), path)
+    return tables.read_predictions(spark, path, limit=100, versions=True)
+
+
+@query
+def prediction_store(spark, sf):
+    """Two writers, one of whose batches runs twice; the reader sees each key once."""
+    path = new_path(spark, "prediction-store")
+    documents = _documents(spark, sf).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR"))
+    for _ in range(2):
+        sinks.replace_batch(documents.where("event_id % 2 = 0").drop("event_id"), path, "even", 3)
+    sinks.write_predictions(documents.where("event_id % 3 = 0").drop("event_id").withColumn("predicted_mbt", F.lit(-1.0)), path)
+    return tables.read_predictions(spark, path)
 
 
 @query
 def latest_predictions(spark, sf):
-    newest = live.latest_per_key(_documents(spark, sf))
+    newest = live.latest_per_key(_documents(spark, sf).drop("event_id"))
     return newest.select("route_id", "timestamp_str", "doc_id", "predicted_mbt")
 
 
@@ -847,8 +908,9 @@ def responses(spark, sf):
 # ---- streams --------------------------------------------------------------------
 
 
-def _updates(spark, sf):
-    return streaming.parse_stream(tables.read_vehicle_updates(spark, update_files(spark, sf), files_per_batch=1))
+def _updates(spark, sf, **options):
+    path, files = update_files(spark, sf, **options)
+    return streaming.parse_stream(tables.read_vehicle_updates(spark, path, files_per_batch=files))
 
 
 @query
@@ -861,6 +923,37 @@ def stream_snapshots(spark, sf):
     return streaming.run_available(streaming.tumbling_snapshots(_updates(spark, sf)), "snapshots")
 
 
+@query
+def stream_clean_report(spark, sf):
+    """What the rules removed from a stream of arrivals, over several micro-batches."""
+    table = raw(spark, sf).select(SERIES, "arrival_date", "duration", "mbt")
+    arrived, path = new_path(spark, "arrived"), new_path(spark, "cleaned")
+    table.repartition(4, "arrival_date").write.parquet(arrived)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    rules = clean.cleaning_rules(CFG, weather=True)
+    run = write_cleaned(stream, rules, path, new_path(spark, "cleaned-checkpoint", owned=False), availableNow=True)
+    run.awaitTermination()
+    return live_report(spark, path)
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Rows of a planted disorder that come after the watermark has passed them, with that watermark."""
+    updates = _updates(spark, sf, disorder=planted_part)
+    path = new_path(spark, "late")
+    late.split_late(updates, path, new_path(spark, "late-checkpoint", owned=False), availableNow=True).awaitTermination()
+    return late.late_rows(spark, path).select(SERIES, "ts", "eta", "batch", "watermark")
+
+
+@query
+def stream_late_counts(spark, sf):
+    updates = _updates(spark, sf, disorder=planted_part)
+    path = new_path(spark, "late-counts")
+    run = late.split_late(updates, path, new_path(spark, "late-checkpoint", owned=False), behind=1, availableNow=True)
+    run.awaitTermination()
+    return late.late_counts(spark, path)
+
+
 @query
 def stream_arrivals(spark, sf):
     return streaming.run_available(streaming.detect_arrivals_stream(_updates(spark, sf)), "arrivals")
@@ -894,7 +987,7 @@ def stream_predictions(spark, sf):
         sinks.prediction_documents(forecasts, "route", SERIES), path, new_path(spark, "documents-checkpoint", owned=False), availableNow=True
     )
     query.awaitTermination()
-    return spark.read.parquet(path).drop("created_at")
+    return tables.stored_documents(spark, path).drop("created_at")
 
 
 @query

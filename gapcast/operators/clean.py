@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.config import SERIES, Config
@@ -52,12 +52,16 @@ def clean(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df
 
 
-def clean_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """step, rows_before, rows_after, removed per rule, from one pass over the rows."""
+def _rule_counts(rules: dict[str, Column]) -> list[Column]:
+    """Rows in all (``_0``) and rows that pass the first rule, the first two, and so on."""
     passed, counts = F.lit(True), [F.count(F.lit(1)).alias("_0")]
     for at, rule in enumerate(rules.values(), 1):
         passed = passed & _holds(rule)
         counts.append(F.count_if(passed).alias(f"_{at}"))
+    return counts
+
+
+def _report_rows(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
     steps = F.array(
         *[
             F.struct(
@@ -70,7 +74,29 @@ def clean_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
             for at, name in enumerate(rules, 1)
         ]
     )
-    return df.agg(*counts).select(F.inline(steps))
+    return counts.select(F.inline(steps))
+
+
+def clean_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """step, rule, rows_before, rows_after, removed per rule, from one pass over the rows."""
+    return _report_rows(df.agg(*_rule_counts(rules)), rules)
+
+
+def clean_observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The cleaned rows, and an observation that counts for the report while they are computed.
+
+    ``observed_report`` reads it after the first action over the rows, without another pass.
+    """
+    counts = Observation()
+    return clean(df.observe(counts, *_rule_counts(rules)), rules), counts
+
+
+def observed_report(spark: SparkSession, counts: Observation, rules: dict[str, Column]) -> DataFrame:
+    """The rows of ``clean_report``; waits for the action that the observation is in."""
+    known = counts.get
+    names = [f"_{at}" for at in range(len(rules) + 1)]
+    row = spark.createDataFrame([tuple(known[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
+    return _report_rows(row, rules)
 
 
 def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

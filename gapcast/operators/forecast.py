@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,21 +72,86 @@ def lag_features(
     return shifted(df, wanted, by, block_rows).where(F.col("idx") >= lags).dropna(subset=names), names
 
 
-def huber_regression(train: DataFrame, features: Sequence[str], target: str = "y", **params) -> PipelineModel:
-    """Linear point forecast with Huber loss over all series at once.
+@dataclass(frozen=True)
+class LinearModel:
+    """A fitted linear forecast; ``column`` is it as an expression, evaluated inside Spark's generated code."""
 
-    Each iteration is one pass over the training rows; ``params`` override the limit.
+    features: tuple[str, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
+
+    def column(self) -> Column:
+        total = F.lit(self.intercept)
+        for name, weight in zip(self.features, self.coefficients):
+            total = total + F.col(name) * weight
+        return total
+
+
+def _normal_equations(rows: DataFrame, middle: np.ndarray, scale: np.ndarray, weights: np.ndarray | None, delta: float) -> np.ndarray:
+    """Sums of w u u' over all rows, for u = (1, scaled features, target).
+
+    Each task adds up its own rows and sends on one matrix. A row's weight is 1 as long as its error
+    under ``weights`` is at most ``delta``, and falls as delta / error beyond.
+    """
+    width = len(middle) + 2
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            u = np.column_stack([np.ones(len(table)), (table[:, :-1] - middle) / scale, table[:, -1]])
+            if weights is not None:
+                error = np.abs(u[:, -1] - u[:, :-1] @ weights)
+                total += (u / np.maximum(1.0, error / delta)[:, None]).T @ u
+            else:
+                total += u.T @ u
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    partial = rows.mapInArrow(add_up, "sums array<double>").select(F.posexplode("sums").alias("at", "sum"))
+    total = np.zeros(width * width)
+    for at, value in partial.groupBy("at").agg(F.sum("sum").alias("sum")).collect():
+        total[at] = value
+    return total.reshape(width, width)
+
+
+def huber_regression(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str = "y",
+    delta: float = 1.0,
+    rounds: int = 15,
+    ridge: float = 1e-3,
+) -> LinearModel:
+    """Linear point forecast with Huber loss over all series at once, by reweighted least squares.
+
+    Every round is one pass: the weighted normal equations of (features + 2)^2 sums are added up in
+    the tasks and solved on the driver. Features are scaled to unit deviation; ``ridge`` times the
+    sum of weights is added to their diagonal, as lags and the rolling means of them depend on each
+    other. A feature that never varies gets no weight. The number of rounds is fixed, so the
+    result does not hang on a tolerance. Rows with a null in any of the columns are left out.
     """
-    return _fitted(LinearRegression(loss="huber", **{"maxIter": 50, **params}), train, features, target)
+    if train.isEmpty():
+        raise ValueError("no training rows: no series is longer than its lags and widest window")
+    names = list(features)
+    rows = train.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(target).cast("double").alias("_target"))
+    rows = rows.dropna()
+    facts = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    middle = np.array([facts[f"m_{c}"] for c in names], float)
+    spread = np.array([facts[f"s_{c}"] for c in names], float)
+    scale = np.where(spread > 0, spread, 1.0)
+    weights = None
+    for _ in range(rounds):
+        sums = _normal_equations(rows, middle, scale, weights, delta)
+        left = sums[:-1, :-1] + np.diag([0.0] + [ridge * sums[0, 0]] * len(names))
+        weights = np.linalg.solve(left, sums[:-1, -1])
+    coefficients = weights[1:] / scale
+    return LinearModel(tuple(names), tuple(coefficients.tolist()), float(weights[0] - coefficients @ middle))
 
 
 def boosted_trees(train: DataFrame, features: Sequence[str], target: str = "y", **params) -> PipelineModel:
     """The non-linear candidate."""
-    return _fitted(GBTRegressor(lossType="absolute", **params), train, features, target)
-
-
-def _fitted(learner, train: DataFrame, features: Sequence[str], target: str) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    learner = GBTRegressor(lossType="absolute", **params)
     learner.setParams(featuresCol="_x", labelCol=target, predictionCol="yhat")
     if train.isEmpty():
         raise ValueError("no training rows: no series is longer than its lags and widest window")
@@ -93,17 +161,19 @@ def _fitted(learner, train: DataFrame, features: Sequence[str], target: str) ->
 
 def score(
     df: DataFrame,
-    model: Transformer | Callable[[], Callable[[pd.DataFrame], pd.Series]] | None,
+    model: LinearModel | Transformer | Callable[[], Callable[[pd.DataFrame], pd.Series]] | None,
     output: str = "yhat",
     features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Forecasts by a fitted Spark model, or by any model a worker can load.
+    """Forecasts by a linear or a fitted Spark model, or by any model a worker can load.
 
     A callable is run once per Python worker task and must return a function from a
     batch of feature columns to a series of forecasts.
     """
     if model is None:
         raise ValueError("model not initialised: fit or load one first")
+    if isinstance(model, LinearModel):
+        return df.withColumn(output, model.column())
     if isinstance(model, Transformer):
         scored = model.transform(df).drop("_x")
         return scored if output == "yhat" else scored.withColumnRenamed("yhat", output)

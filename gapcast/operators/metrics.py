@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapcast.config import SERIES
+from gapcast.config import SERIES, Config
 from gapcast.functions.numbers import huber_loss, metric_text, pinball_loss, unscale
-from gapcast.plans.layout import attach
+from gapcast.operators.split import window_split
+from gapcast.plans.layout import BLOCK_ROWS, attach, shifted
 from gapcast.plans.scratch import store
 
 Metric = Callable[[Column, Column], Column]
@@ -113,10 +114,22 @@ def coverage(
     )
 
 
-def naive_mae(windows: DataFrame, target: str = "y", by: Sequence[str] = (SERIES,)) -> DataFrame:
-    """MAE of 'same as the last row of the window', per split of a window frame."""
-    last = F.element_at("features", -1)[target]
-    return windows.groupBy(*by, "split").agg(mae(F.col("target"), last).alias("mae"))
+def naive_mae(
+    df: DataFrame,
+    length: int,
+    target: str = "y",
+    train: float = Config.train_share,
+    val: float = Config.val_share,
+    by: Sequence[str] = (SERIES,),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """MAE of 'same as the row before', per split, over the targets that windows of ``length`` rows have.
+
+    Takes a numbered frame: the last row of a window is a lag, so no window is built.
+    """
+    lagged = shifted(df, {"_last": (target, 1)}, by, block_rows)
+    placed = lagged.withColumn("split", window_split(F.col("idx") - 1, length, train, val)).where("split IS NOT NULL")
+    return placed.groupBy(*by, "split").agg(mae(F.col(target), F.col("_last")).alias("mae"))
 
 
 def attach_target_dates(

@@ -1,18 +1,97 @@
-"""Exact quantiles by rank, with no group held in one task.
+"""Exact quantiles by selection: no sort of the rows, no group held in one task.
 
-Values are laid out in order and the two rows around each wanted rank are picked; the
-built-in exact percentile would build a map of every distinct value of a group.
+The wanted ranks of a group are narrowed down by counting:
+
+1. One aggregation counts each group and sketches it (``percentile_approx``, mergeable). The
+   sketch only proposes pivots around the wanted levels; nothing rests on its accuracy.
+2. A second one counts the rows below, at and between the pivots, exactly. A rank that falls
+   on a pivot is found; hot values and ties end here.
+3. The others lie in known gaps between pivots, about 2 in ``ACCURACY`` of the rows on either
+   side of a level. The distinct values of those gaps are counted and the ranks picked among
+   them. A gap of more than ``limit`` rows is a group of its own and goes through 1 and 2 again
+   with evenly spaced pivots, which cut it by about ``EVEN`` each time.
+
+Each pass is a partial aggregation, so what is shuffled is counts and not rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapcast.config import QUANTILE_LEVELS, SERIES
-from gapcast.plans.layout import positions
+from gapcast.plans.layout import attach
+from gapcast.plans.scratch import store
+
+ACCURACY = 10_000
+EVEN = 64
+LIMIT = 1_000_000
+
+
+def _sketch(percentages: Sequence[float]) -> Column:
+    """Pivots, ascending; NaN, which sorts last, is left to the counting."""
+    number = F.when(~F.isnan(F.col("_v").cast("double")), F.col("_v"))
+    return F.percentile_approx(number, sorted(set(percentages)), ACCURACY).alias("_p")
+
+
+def _cell(pivots: int) -> Column:
+    """2 i + 1 for a value equal to pivot i, 2 i for one between pivots i - 1 and i."""
+    below, equal = F.lit(0), F.lit(False)
+    for i in range(pivots):
+        pivot = F.get("_p", F.lit(i))
+        below = below + F.coalesce((pivot < F.col("_v")).cast("int"), F.lit(0))
+        equal = equal | F.coalesce(pivot == F.col("_v"), F.lit(False))
+    return 2 * below + equal.cast("int")
+
+
+def _within(ranks: Column, start: Column, count: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < start + count))
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], by: str, start: Column) -> DataFrame:
+    """keys, ``by``, ``_count`` and ``_start``: rows of the group before it in the order of ``by``."""
+    counts = rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_start", start + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+
+
+def _select(
+    rows: DataFrame, keys: list[str], wanted: DataFrame, pivots: int, limit: int, before: int | None = None
+) -> DataFrame:
+    """keys, ``_rank``, ``_value`` for the ranks of ``wanted``: keys, ``_ranks``, ``_p``; stored.
+
+    ``rows`` has the keys, ``_v`` and ``_spread``; no gap was wider than ``before`` a round earlier.
+    """
+    cell = f"_cell{len(keys)}"
+    placed = attach(rows, wanted, keys, ["_spread"], "inner").withColumn(cell, _cell(pivots))
+    placed = placed.select(*keys, cell, "_v", "_spread")
+    counts = _counted(placed, keys, cell, F.lit(0)).join(wanted, keys)
+    counts = counts.withColumn("_hits", _within(F.col("_ranks"), F.col("_start"), F.col("_count")))
+    hits = store(counts.where(F.size("_hits") > 0).drop("_ranks"), "quantile_cells")
+    at_pivot = F.get("_p", F.shiftright(F.col(cell), 1))
+    solved = hits.where(F.col(cell) % 2 == 1).select(*keys, F.explode("_hits").alias("_rank"), at_pivot.alias("_value"))
+    gaps = hits.where(F.col(cell) % 2 == 0).select(*keys, cell, "_start", "_count", "_hits")
+    widest = gaps.agg(F.max("_count")).first()[0]
+    if widest is None:
+        return solved
+    inner = [*keys, cell]
+    gaps = gaps.withColumnsRenamed({"_start": "_first", "_count": "_size"})
+    inside = attach(placed, store(gaps.select(*inner), "quantile_gaps"), inner, ["_spread"], "inner")
+    if widest <= limit or widest == before:
+        # Few enough for one window, or integers that no pivot, being a double, can part.
+        values = _counted(inside, inner, "_v", F.lit(0)).join(gaps, inner)
+        picked = _within(F.col("_hits"), F.col("_first") + F.col("_start"), F.col("_count"))
+        found = values.select(*keys, F.explode(picked).alias("_rank"), F.col("_v").alias("_value"))
+    else:
+        steps = [(k + 0.5) / EVEN for k in range(EVEN)]
+        further = inside.groupBy(*inner).agg(_sketch(steps)).join(gaps, inner)
+        own = F.transform("_hits", lambda r: r - F.col("_first")).alias("_ranks")
+        narrower = store(further.select(*inner, own, "_p"), "quantile_pivots")
+        deeper = _select(inside, inner, narrower, EVEN, limit, widest).join(gaps, inner)
+        found = deeper.select(*keys, (F.col("_rank") + F.col("_first")).alias("_rank"), "_value")
+    return solved.unionByName(found)
 
 
 def quantiles(
@@ -21,42 +100,47 @@ def quantiles(
     levels: Sequence[float] = QUANTILE_LEVELS,
     by: Sequence[str] = (SERIES,),
     exact: bool = True,
-    chunks: int | None = None,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """by, ``level``, ``quantile`` (linear interpolation). Nulls are left out.
 
     ``exact=False`` uses the mergeable sketch, a different definition that returns an
-    observed value.
+    observed value. ``limit`` bounds the rows of a gap that one window goes through.
     """
     column = F.col(value) if isinstance(value, str) else value
-    known = df.select(*by, column.alias("_v")).where(F.col("_v").isNotNull())
-    wanted = F.array(*[F.lit(float(p)) for p in levels])
     if not exact:
+        known = df.select(*by, column.alias("_v")).where(F.col("_v").isNotNull())
+        wanted = F.array(*[F.lit(float(p)) for p in levels])
         sketch = known.groupBy(*by).agg(F.percentile_approx("_v", [float(p) for p in levels]).alias("_q"))
         pairs = F.arrays_zip(wanted.alias("level"), F.col("_q").alias("quantile"))
         return sketch.select(*by, F.inline(pairs))
-    ranked = positions(known, ["_v"], by, chunks)
-    spot = lambda p: p * (F.col("n") - 1)
-    hits = F.filter(wanted, lambda p: F.col("idx").isin(F.floor(spot(p)), F.ceil(spot(p))))
-    rows = ranked.withColumn("level", F.explode(hits))
-    share = spot(F.col("level")) - F.floor(spot(F.col("level")))
-    low, high = F.min("_v"), F.max("_v")
-    return (
-        rows.groupBy(*by, "level")
-        .agg(low.alias("_low"), high.alias("_high"), F.max(share).alias("_share"))
-        .select(*by, "level", (F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low"))).alias("quantile"))
-    )
+    keys = list(by) or ["_all"]
+    # Only read where a group is too hot to be met by a broadcast.
+    spread = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+    every = df if by else df.withColumn("_all", F.lit(1))
+    known = every.select(*keys, column.alias("_v"), spread.alias("_spread")).where(F.col("_v").isNotNull())
+    around = [min(1.0, max(0.0, p + e)) for p in levels for e in (-2 / ACCURACY, 0.0, 2 / ACCURACY)]
+    summary = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _sketch(around))
+    spot = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    ends = [end(spot(p)) for p in levels for end in (F.floor, F.ceil)]
+    summary = store(summary.withColumn("_ranks", F.array_distinct(F.array(*ends))), "quantile_summary")
+    found = _select(known, keys, summary.drop("_n"), len(set(around)), limit)
+    # At most two rows for each level.
+    pairs = F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
+    named = summary.select(*keys, "_n").join(found.groupBy(*keys).agg(pairs), keys)
+    low, high = (lambda p: F.col("_at")[F.floor(spot(p))]), (lambda p: F.col("_at")[F.ceil(spot(p))])
+    share = lambda p: spot(p) - F.floor(spot(p))
+    # Infinite neighbours that are equal have no difference.
+    between = lambda p: F.when(low(p) == high(p), low(p).cast("double")).otherwise(low(p) + share(p) * (high(p) - low(p)))
+    each = [F.struct(F.lit(float(p)).alias("level"), between(p).alias("quantile")) for p in dict.fromkeys(levels)]
+    return named.select(*by, F.inline(F.array(*each)))
 
 
 def quantile_columns(
-    df: DataFrame,
-    value: Column | str,
-    names: dict[str, float],
-    by: Sequence[str] = (SERIES,),
-    chunks: int | None = None,
+    df: DataFrame, value: Column | str, names: dict[str, float], by: Sequence[str] = (SERIES,), limit: int = LIMIT
 ) -> DataFrame:
     """The same, one row per group and one column per named level."""
-    long = quantiles(df, value, list(names.values()), by, chunks=chunks)
+    long = quantiles(df, value, list(names.values()), by, limit=limit)
     return long.groupBy(*by).agg(
         *[F.max(F.when(F.col("level") == float(p), F.col("quantile"))).alias(c) for c, p in names.items()]
     )

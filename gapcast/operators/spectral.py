@@ -3,14 +3,18 @@
 Generalised form with floating mean, standard normalisation (Zechmeister & Kuerster
 2009). The rows are first reduced to power moments of short time cells, an ordinary
 partial aggregation; trigonometric sums at any frequency follow from those, exact to
-about 1e-13. A group in the last step is the cells of one series: some 300 per day
-for 24 cycles per day, however many rows they sum up.
+about 1e-13. There are some 300 cells per day for 24 cycles per day, however many rows.
+
+A series is not one group: its cells are dealt to parts that sum at all frequencies, and the
+parts' sums are added per block of frequencies. For a list of frequencies a part is a stretch
+of cells. For the automatic grid it is the cells whose number leaves one remainder, so that
+each part is a shorter transform and the whole work that of one (decimation in time).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,9 @@ SAMPLES_PER_PEAK = 5
 # first term left out is below 0.5**13 / 13! = 2e-14.
 ORDER = 12
 CELL_PHASE = 0.5
+# Cells of a part, and frequencies of a block.
+PART_CELLS = 1 << 14
+BLOCK = 4096
 
 
 def _centred(df: DataFrame, value: str, time: str, by: Sequence[str], spread: Sequence[str]) -> DataFrame:
@@ -87,49 +94,65 @@ def _listed_sums(moments: np.ndarray, places: np.ndarray, cell: float, frequenci
     return total
 
 
-def _grid_sums(
-    moments: np.ndarray, first: float, step: float, count: int, cell: float, size: int, stride: int = 1
-) -> np.ndarray:
-    """The same at f = stride * (first + k step) for k < count, by fast transforms.
+class _Part:
+    """The cells ``rest``, ``rest`` + ``parts``, ... of a grid whose step times the cell is one over ``size``."""
+
+    def __init__(self, moments: np.ndarray, places: np.ndarray, cell: float, size: int, parts: int, rest: int):
+        self.cell, self.size, self.parts, self.rest = cell, size, parts, rest
+        self.places = places
+        self.table = np.zeros((ORDER + 1, int(places.max() // parts) + 1))
+        self.table[:, places // parts] = moments
+        self.wave: dict[float, np.ndarray] = {}
+
+    def _transformed(self, first: float) -> np.ndarray:
+        if first not in self.wave:
+            cells = self.rest + self.parts * np.arange(self.table.shape[1])
+            turn = np.exp(2j * np.pi * first * cells * self.cell)
+            length = self.size // self.parts
+            self.wave[first] = np.fft.ifft(self.table * turn, length, axis=1) * length
+        return self.wave[first]
+
+    def sums(self, first: float, step: float, numbers: np.ndarray, stride: int = 1) -> np.ndarray:
+        """Sum of m(t) exp(2 pi i f t) at f = stride * (first + k step) for the numbers k."""
+        wave = self._transformed(first * stride)
+        k = numbers * stride
+        half = 1j * np.pi * stride * (first + step * numbers) * self.cell
+        total, factor = np.zeros(len(k), complex), np.ones(len(k), complex)
+        for p in range(ORDER + 1):
+            total += factor * wave[p, k % wave.shape[1]]
+            factor = factor * half / (p + 1)
+        return total * np.exp(half + 2j * np.pi * k * self.rest / self.size)
 
-    Column j of ``moments`` is cell j; ``step * cell`` is one over ``size``.
-    """
-    first, step = first * stride, step * stride
-    j = np.arange(moments.shape[1])
-    turn = np.exp(2j * np.pi * first * j * cell)
-    half = 1j * np.pi * (first + step * np.arange(count)) * cell
-    total, factor = np.zeros(count, complex), np.ones(count, complex)
-    for p in range(ORDER + 1):
-        total += factor * (np.fft.ifft(moments[p] * turn, size) * size)[: count * stride : stride]
-        factor = factor * half / (p + 1)
-    return total * np.exp(half)
-
-
-def _power_frame(
-    group: pd.DataFrame, by: Sequence[str], frequencies: np.ndarray, one: np.ndarray, two: np.ndarray, sig: np.ndarray
-) -> pd.DataFrame:
-    """The result rows of a series from its sums at f, at 2f, and of the signal at f."""
-    n = group["m0"].sum()
-    one, two, sig = one / n, two / n, sig / n
-    values = power(
-        one.real,
-        one.imag,
-        sig.real,
-        sig.imag,
-        (1 + two.real) / 2,
-        two.imag / 2,
-        group["yy"].sum() / n,
-        group["y0"].sum() / n,
-    )
-    out = pd.DataFrame({"frequency": frequencies, "power": values})
-    for k in by:
-        out[k] = group[k].iloc[0]
-    return out[[*by, "frequency", "power"]]
+
+def _sent(group: pd.DataFrame, by: Sequence[str], block: int, sums: Sequence[np.ndarray], span: float = 0.0) -> pd.DataFrame:
+    """A part's share of one block of frequencies: its sums at f, at 2f and of the signal at f."""
+    flat = np.concatenate([x for z in sums for x in (z.real, z.imag)])
+    row = {k: group[k].iloc[0] for k in by}
+    row |= {"block": block, "span": span, "n": group["m0"].sum(), "y0": group["y0"].sum(), "yy": group["yy"].sum(), "sums": flat}
+    return pd.DataFrame([row])
+
+
+def _finished(parts: DataFrame, by: Sequence[str], result: str, frequencies: Callable[[int, int, float], np.ndarray]) -> DataFrame:
+    """Power per series and block from the shares of all parts; ``frequencies`` gives those of a block."""
+    keys = list(by)
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        n = group["n"].sum()
+        total = np.sum(np.stack(group["sums"].tolist()), axis=0).reshape(6, -1) / n
+        c, s, c2, s2, yc, ys = total
+        values = power(c, s, yc, ys, (1 + c2) / 2, s2 / 2, group["yy"].sum() / n, group["y0"].sum() / n)
+        at = frequencies(int(group["block"].iloc[0]), len(c), float(group["span"].iloc[0]))
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "frequency": at, "power": values})
+
+    return parts.groupBy(*keys, "block").applyInPandas(finish, result)
 
 
-def _result_type(df: DataFrame, by: Sequence[str]) -> str:
+def _types(df: DataFrame, by: Sequence[str]) -> tuple[str, str]:
+    """Of the shares of a part and of the result."""
     types = dict(df.dtypes)
-    return ", ".join([*[f"`{k}` {types[k]}" for k in by], "frequency double", "power double"])
+    keys = [f"`{k}` {types[k]}" for k in by]
+    share = "block bigint, span double, n double, y0 double, yy double, sums array<double>"
+    return ", ".join([*keys, share]), ", ".join([*keys, "frequency double", "power double"])
 
 
 def periodogram(
@@ -139,6 +162,7 @@ def periodogram(
     time: str = "ds",
     by: Sequence[str] = (SERIES,),
     spread: Sequence[str] = ("idx",),
+    part_cells: int = PART_CELLS,
 ) -> DataFrame:
     """by, ``frequency``, ``power`` at the given frequencies.
 
@@ -153,14 +177,19 @@ def periodogram(
     rows = _centred(df, value, time, by, spread).withColumn("_cell", F.lit(cell))
     keys = list(by)
 
-    def spectrum(group: pd.DataFrame) -> pd.DataFrame:
-        places, m = group["cell"].to_numpy(), _moments(group, "m")
-        one = _listed_sums(m, places, cell, wanted)
-        two = _listed_sums(m, places, cell, 2 * wanted)
-        sig = _listed_sums(_moments(group, "y"), places, cell, wanted)
-        return _power_frame(group, keys, wanted, one, two, sig)
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        places, m, y = group["cell"].to_numpy(), _moments(group, "m"), _moments(group, "y")
+        out = []
+        for at in range(0, len(wanted), BLOCK):
+            f = wanted[at : at + BLOCK]
+            sums = [_listed_sums(x, places, cell, w) for x, w in ((m, f), (m, 2 * f), (y, f))]
+            out.append(_sent(group, keys, at // BLOCK, sums))
+        return pd.concat(out)
 
-    return _cell_moments(rows, by, ()).groupBy(*keys).applyInPandas(spectrum, _result_type(df, keys))
+    sent, result = _types(df, keys)
+    cells = _cell_moments(rows, by, ()).withColumn("_part", F.floor(F.col("cell") / part_cells))
+    parts = cells.groupBy(*keys, "_part").applyInPandas(share, sent)
+    return _finished(parts, keys, result, lambda block, count, span: wanted[block * BLOCK : block * BLOCK + count])
 
 
 def _fast_size(least: Column) -> Column:
@@ -180,6 +209,7 @@ def autopower(
     time: str = "ds",
     by: Sequence[str] = (SERIES,),
     spread: Sequence[str] = ("idx",),
+    part_cells: int = PART_CELLS,
 ) -> DataFrame:
     """by, ``frequency``, ``power`` on the automatic grid of each series.
 
@@ -192,22 +222,28 @@ def autopower(
     rows = rows.withColumn("_cell", F.col("_span") * samples_per_peak / F.col("_size"))
     keys = list(by)
 
-    def spectrum(group: pd.DataFrame) -> pd.DataFrame:
-        size, cell = int(group["_size"].iloc[0]), float(group["_cell"].iloc[0])
-        step = 1 / (samples_per_peak * float(group["_span"].iloc[0]))
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        size, cell, span = int(group["_size"].iloc[0]), float(group["_cell"].iloc[0]), float(group["_span"].iloc[0])
+        step = 1 / (samples_per_peak * span)
         count = 1 + int(round((max_frequency - min_frequency) / step))
-        places = group["cell"].to_numpy()
-        tables = {}
-        for name in "my":
-            tables[name] = np.zeros((ORDER + 1, int(places.max()) + 1))
-            tables[name][:, places] = _moments(group, name)
-        one = _grid_sums(tables["m"], min_frequency, step, count, cell, size)
-        two = _grid_sums(tables["m"], min_frequency, step, count, cell, size, stride=2)
-        sig = _grid_sums(tables["y"], min_frequency, step, count, cell, size)
-        return _power_frame(group, keys, min_frequency + step * np.arange(count), one, two, sig)
-
-    cells = _cell_moments(rows, by, ("_span", "_size"))
-    return cells.groupBy(*keys).applyInPandas(spectrum, _result_type(df, keys))
+        layout = group["cell"].to_numpy(), cell, size, int(group["_parts"].iloc[0]), int(group["_part"].iloc[0])
+        m, y = (_Part(_moments(group, name), *layout) for name in "my")
+        out = []
+        for at in range(0, count, BLOCK):
+            k = np.arange(at, min(count, at + BLOCK))
+            sums = m.sums(min_frequency, step, k), m.sums(min_frequency, step, k, 2), y.sums(min_frequency, step, k)
+            out.append(_sent(group, keys, at // BLOCK, sums, span))
+        return pd.concat(out)
+
+    def grid(block: int, count: int, span: float) -> np.ndarray:
+        return min_frequency + (1 / (samples_per_peak * span)) * np.arange(block * BLOCK, block * BLOCK + count)
+
+    sent, result = _types(df, keys)
+    # A power of two, which the transform size is a multiple of.
+    number = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("_size") / max(part_cells, 8))), F.lit(0))).cast("long")
+    cells = _cell_moments(rows, by, ("_span", "_size")).withColumn("_parts", number)
+    parts = cells.withColumn("_part", F.pmod(F.col("cell"), F.col("_parts"))).groupBy(*keys, "_part").applyInPandas(share, sent)
+    return _finished(parts, keys, result, grid)
 
 
 def peaks(spectrum: DataFrame, top: int = 3, by: Sequence[str] = (SERIES,)) -> DataFrame:

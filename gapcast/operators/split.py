@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapcast.config import SERIES, Config
+from gapcast.operators.permute import place_of, ranked
 from gapcast.plans.layout import (
     BLOCK_ROWS,
     block_window,
     own_rows,
-    positions,
     shifted,
     with_blocks,
 )
@@ -37,6 +37,20 @@ def split(
     return df.withColumn("split", name)
 
 
+def window_split(
+    end: Column, length: int, train: float = Config.train_share, val: float = Config.val_share
+) -> Column:
+    """The split that a window of ``length`` rows up to position ``end`` lies in, null where it is in none."""
+    n_train, n_val = _share(train), _share(val)
+    start = end - (length - 1)
+    inside = (
+        F.when((start >= 0) & (end < n_train), "train")
+        .when((start >= n_train) & (end < n_train + n_val), "val")
+        .when(start >= n_train + n_val, "test")
+    )
+    return F.when(end < F.col("n") - length, inside)
+
+
 def make_windows(
     df: DataFrame,
     features: Sequence[str],
@@ -62,13 +76,8 @@ def make_windows(
     w = block_window(by)
     rows = F.collect_list(F.struct(*features)).over(w.rowsBetween(-(length - 1), 0))
     start = F.col("idx") - (length - 1)
-    inside = (
-        F.when((start >= 0) & (F.col("idx") < n_train), "train")
-        .when((start >= n_train) & (F.col("idx") < n_train + n_val), "val")
-        .when(start >= n_train + n_val, "test")
-    )
-    first = F.when(inside == "train", 0).when(inside == "val", n_train).otherwise(n_train + n_val)
-    framed = framed.withColumn("split", F.when(F.col("idx") < F.col("n") - length, inside))
+    framed = framed.withColumn("split", window_split(F.col("idx"), length, train, val))
+    first = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", n_train).otherwise(n_train + n_val)
     chosen = F.col("split").isin(*splits) & ((start - first) % stride == 0)
     if set(splits) != {"train", "val", "test"} or stride > 1:
         framed = framed.withColumn("features", F.when(chosen, rows))
@@ -91,18 +100,22 @@ def shuffle_batches(
     key: Sequence[str] = (SERIES, "start_idx"),
     chunks: int | None = None,
 ) -> DataFrame:
-    """Repeatable shuffle: ``place`` 0..N-1 over all rows, and ``batch`` = place / size."""
-    mixed = df.withColumn("_mix", F.xxhash64(*key, F.lit(seed)))
-    placed = positions(mixed, ["_mix", *key], by=(), chunks=chunks).drop("_mix", "chunk", "n")
-    return placed.withColumnRenamed("idx", "place").withColumn("batch", F.floor(F.col("place") / batch))
+    """Repeatable shuffle: ``place`` 0..N-1 over all rows, and ``batch`` = place / size.
+
+    Rows stay where they are: their number in the order of ``key`` goes through a permutation
+    fixed by ``seed`` (operators/permute.py), so the place depends on keys and seed alone.
+    """
+    numbered = ranked(df, key, chunks)
+    placed = numbered.withColumn("place", place_of(F.col("rank"), F.col("_total"), seed)).drop("rank", "_total")
+    return placed.withColumn("batch", F.floor(F.col("place") / batch))
 
 
 def ordered_batches(
     df: DataFrame, batch: int = Config.batch_size, key: Sequence[str] = (SERIES, "start_idx")
 ) -> DataFrame:
     """Batches in series order, as validation and test use them."""
-    placed = positions(df, list(key), by=()).drop("chunk", "n")
-    return placed.withColumnRenamed("idx", "place").withColumn("batch", F.floor(F.col("place") / batch))
+    placed = ranked(df, key).drop("_total").withColumnRenamed("rank", "place")
+    return placed.withColumn("batch", F.floor(F.col("place") / batch))
 
 
 def rolling_origin(

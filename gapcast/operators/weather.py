@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapcast.config import SERIES, WEATHER_COLUMNS
 from gapcast.functions.clock import from_zone, month_key, round_hour
+from gapcast.operators.asof import asof_join
 from gapcast.plans.layout import attach
 from gapcast.plans.scratch import store
 
@@ -26,17 +27,18 @@ def weather_hours(weather: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def filled_hours(weather: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Every hour of the table, each value filled from the nearest earlier one.
+    """Every hour of the table, each value as of the nearest earlier one that is known.
 
-    One row per hour of the time span, however many arrivals. ``join_filled`` also serves later hours.
+    One row per hour of the time span, however many arrivals; days are spread before their
+    hours are listed. ``join_filled`` also serves later hours.
     """
     hours = weather_hours(weather, tz)
     columns = [c for c in hours.columns if c != "weather_hour"]
-    ends = hours.agg(F.min("weather_hour").alias("lo"), F.max("weather_hour").alias("hi"))
-    every = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("weather_hour"))
-    past = Window.partitionBy(F.lit(0)).orderBy("weather_hour").rowsBetween(Window.unboundedPreceding, 0)
-    filled = every.join(hours, "weather_hour", "left").withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
-    return store(filled, "filled_weather")
+    ends = hours.agg(F.min("weather_hour").alias("lo"), F.max("weather_hour").alias("hi")).where("lo IS NOT NULL")
+    days = ends.select("*", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 24 HOURS"))).alias("day")).repartition("day")
+    listed = F.explode(F.sequence("day", F.col("day") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR")))
+    every = days.select(listed.alias("weather_hour"), "hi").where("weather_hour <= hi").select("weather_hour")
+    return store(asof_join(every, hours, "weather_hour", "weather_hour", columns), "filled_weather")
 
 
 def join_filled(df: DataFrame, filled: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gapcast.functions.clock import iso
 
@@ -47,18 +52,34 @@ def prediction_documents(cells: DataFrame, route: str, stop: str) -> DataFrame:
     )
 
 
-def write_predictions(documents: DataFrame, path: str, checkpoint: str | None = None, **trigger):
-    """Append documents; for a stream, start it with its own checkpoint and return the query.
+def stream_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Start a stream whose micro-batches go to ``write(batch, number)``, which must bear a second run.
 
     ``trigger`` has the options of a stream's trigger, such as ``availableNow=True``.
     """
-    if documents.isStreaming:
-        writer = (
-            documents.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-        )
-        return (writer.trigger(**trigger) if trigger else writer).start()
-    documents.write.mode("append").parquet(path)
-    return None
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def replace_batch(documents: DataFrame, path: str, writer: str, number: int) -> None:
+    """The documents of one micro-batch, in place of those of an earlier run of it."""
+    documents.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={number}")
+
+
+def write_predictions(documents: DataFrame, path: str, checkpoint: str | None = None, **trigger):
+    """Add documents to the store; for a stream, start it with its own checkpoint and return the query.
+
+    Each micro-batch has a folder named by its checkpoint and number and replaces that folder,
+    so a batch that runs again after a crash leaves its documents once. Documents that come with
+    another checkpoint, or a second batch write, are further versions of their keys, of which
+    ``read_predictions`` takes the newest.
+    """
+    if not documents.isStreaming:
+        replace_batch(documents, path, uuid.uuid4().hex, 0)
+        return None
+    if checkpoint is None:
+        raise ValueError("a stream of predictions needs a checkpoint folder")
+    writer = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:32]
+    return stream_batches(documents, lambda batch, number: replace_batch(batch, path, writer, number), checkpoint, **trigger)

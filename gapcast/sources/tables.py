@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gapcast.config import REQUIRED_COLUMNS, WEATHER_COLUMNS
 from gapcast.functions.numbers import nan_to_null
+from gapcast.operators.arrivals import latest_per_key
 from gapcast.operators.columns import require_columns
 
 # Fixed value: the default extract query.
@@ -80,13 +81,27 @@ def read_weather(spark: SparkSession, path: str | None) -> DataFrame | None:
     return table.select(*[c for c in WEATHER.names if c in table.columns])
 
 
-def read_predictions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Stored predictions, newest first and by document among those, under the review names."""
-    ordered = spark.read.parquet(path).orderBy(F.desc("timestamp"), "doc_id")
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored version of every prediction document."""
+    return spark.read.parquet(path).drop("writer", "batch")
+
+
+def read_predictions(spark: SparkSession, path: str, limit: int | None = None, versions: bool = False) -> DataFrame:
+    """Stored predictions, newest first and by document among those, under the review names.
+
+    One document per route, stop and time: the newest. ``versions`` shows all that were stored.
+    """
+    documents = stored_documents(spark, path)
+    ordered = (documents if versions else latest_per_key(documents)).orderBy(F.desc("timestamp"), "doc_id")
     rows = ordered if limit is None else ordered.limit(limit)
     return rows.select(*[F.col(stored).alias(shown) for stored, shown in PREDICTION_FIELDS.items()])
 
 
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    """The stored mean and std of each feature, as ``fit_scaler`` returned them."""
+    return require_columns(spark.read.parquet(path), ("feature", "mean", "std"))
+
+
 def load_windows(
     spark: SparkSession, path: str, split: str | None = "test", schema: T.StructType | None = None
 ) -> DataFrame:

@@ -3,15 +3,16 @@
 Batch and stream share the column expressions. Observations newer than the watermark are
 held, and taken up in time order once it has passed them, so the result does not depend
 on how files fall into micro-batches; what comes later than the watermark allows is
-dropped by Spark and counted (``freshness``). State per series is the last ETA, the last
-arrival, at most ``history`` gaps, and the observations of the watermark's span. A
+dropped by Spark, counted (``freshness``) and kept apart (``late.py``). State per series is the
+last ETA, the last arrival, at most twice ``history`` gaps, and the observations of the
+watermark's span, in state tables that are appended to, with a timer for the next row due. A
 micro-batch hands one series to one task, so its size (``files_per_batch``,
 ``maxOffsetsPerTrigger``) is the bound on what a hot station can put there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gapcast.config import ROLLING_FEATURES, SERIES, Config
 from gapcast.functions.clock import minutes_between, parse_ts, round_hour, weekend_flag
@@ -31,6 +32,7 @@ from gapcast.plans.scratch import new_path
 
 WATERMARK = "2 minutes"
 POLL = "30 seconds"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _EPOCH = pd.Timestamp(0)
 
@@ -63,21 +65,6 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ((ts - _EPOCH) // pd.Timedelta(microseconds=1)).to_numpy()
 
 
-def _due(
-    batches: Iterator[pd.DataFrame], held_at: Sequence[int], held_eta: Sequence[float], state: GroupState
-) -> tuple[np.ndarray, np.ndarray, list[int], list[float]]:
-    """Times and ETAs that the watermark has passed, in order, and those still held."""
-    rows = [b for b in batches if len(b)] if not state.hasTimedOut else []
-    at = np.concatenate([np.array(held_at, np.int64), *[_micros(b["ts"]) for b in rows]])
-    eta = np.concatenate([np.array(held_eta, float), *[b["eta"].to_numpy(float) for b in rows]])
-    known = ~np.isnan(eta)
-    at, eta = at[known], eta[known]
-    order = np.lexsort([eta, at])
-    at, eta = at[order], eta[order]
-    due = at <= state.getCurrentWatermarkMs() * 1000
-    return at[due], eta[due], at[~due].tolist(), eta[~due].tolist()
-
-
 def _jumps(eta: np.ndarray, last: float | None, jump: float) -> np.ndarray:
     """Where the ETA rose by more than ``jump`` over the one before."""
     if not len(eta):
@@ -86,46 +73,100 @@ def _jumps(eta: np.ndarray, last: float | None, jump: float) -> np.ndarray:
     return eta > before + jump
 
 
-def _wake(state: GroupState, held: Sequence[int], last: int | None, idle: str | None) -> None:
-    """Ask for a call when the watermark passes the first held row, or else after the idle time."""
-    watermark = state.getCurrentWatermarkMs()
-    if held:
-        state.setTimeoutTimestamp(max(held[0] // 1000 - 1, watermark + 1))
-    elif idle is not None and last is not None:
-        state.setTimeoutTimestamp(max(last // 1000 + int(pd.Timedelta(idle).total_seconds() * 1000), watermark + 1))
-
-
-def detect_arrivals_stream(
-    updates: DataFrame, jump: float = Config.eta_jump, idle: str | None = None
-) -> DataFrame:
-    """Each ETA observation that the watermark has passed, with ``arrival``.
+class _Observations(StatefulProcessor):
+    """Holds a series' observations until the watermark has passed them, then takes them up in order.
 
-    State: the last ETA, its time, and the held observations. A series silent for ``idle``
-    loses its state, and with it the first comparison afterwards; by default none does.
+    State tables: ``held`` is a list that new rows are appended to and that is read only when its
+    first row is due; ``seen`` has the last ETA taken up, its time and the timer that is set.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, held_at, held_eta = state.get if state.exists else (None, None, [], [])
-        if state.hasTimedOut and not held_at:
-            state.remove()
-            return
-        at, eta, held_at, held_eta = _due(batches, held_at, held_eta, state)
-        before = last
-        if len(eta):
-            last, seen = float(eta[-1]), int(at[-1])
-        state.update((last, seen, held_at, held_eta))
-        _wake(state, held_at, seen, idle)
-        if len(eta):
-            times = _EPOCH + pd.to_timedelta(at, unit="us")
-            yield pd.DataFrame({SERIES: key[0], "ts": times, "eta": eta, "arrival": _jumps(eta, before, jump)})
-
-    return updates.groupBy(SERIES).applyInPandasWithState(
-        step,
-        f"{SERIES} string, ts timestamp, eta double, arrival boolean",
-        "last_eta double, last_micros long, held_at array<long>, held_eta array<double>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    def __init__(self, idle: str | None):
+        self.idle = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "micros long, eta double")
+        self.seen = handle.getValueState("seen", "last_eta double, last_micros long, first_held long, timer long")
+
+    def take(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None) -> Iterator[pd.DataFrame]:
+        """What follows from observations in order, after one with ETA ``last``."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.seen.clear()
+
+    def _in_order(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None, micros: int | None):
+        """``take`` for each stretch without an idle time in it, whichever batches its rows came in."""
+        cuts = np.zeros(0, np.int64)
+        if self.idle is not None:
+            before = np.concatenate([[at[0] if micros is None else micros], at[:-1]])
+            cuts = np.flatnonzero(at - before >= self.idle * 1000)
+        for start, end in zip([0, *cuts], [*cuts, len(at)]):
+            if start in cuts:
+                self.forget()
+                last = None
+            if end > start:
+                yield from self.take(key, at[start:end], eta[start:end], last)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [b for b in rows if len(b)]
+        at = np.concatenate([np.zeros(0, np.int64), *[_micros(b["ts"]) for b in parts]])
+        eta = np.concatenate([np.zeros(0), *[b["eta"].to_numpy(float) for b in parts]])
+        known = ~np.isnan(eta)
+        yield from self._step(key, at[known], eta[known], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        yield from self._step(key, *nothing, timerValues.getCurrentWatermarkInMs())
+
+    def _step(self, key: tuple, at: np.ndarray, eta: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        last, micros, first, timer = self.seen.get() if self.seen.exists() else (None, None, None, None)
+        earliest = min([*at.tolist(), *([first] if first is not None else [])], default=None)
+        if earliest is None or earliest > watermark * 1000:
+            # Nothing is due: what is held need not be read.
+            if len(at):
+                self.held.appendList(list(zip(at.tolist(), eta.tolist())))
+            first = earliest
+            if first is None and self.idle is not None and micros is not None and micros // 1000 + self.idle <= watermark:
+                self.forget()
+                return
+        else:
+            if first is not None:
+                held = list(self.held.get())
+                at = np.concatenate([at, np.array([h[0] for h in held], np.int64)])
+                eta = np.concatenate([eta, np.array([h[1] for h in held], float)])
+            order = np.lexsort([eta, at])
+            at, eta = at[order], eta[order]
+            due = at <= watermark * 1000
+            rest = list(zip(at[~due].tolist(), eta[~due].tolist()))
+            if rest:
+                self.held.put(rest)
+            elif first is not None:
+                self.held.clear()
+            first = rest[0][0] if rest else None
+            yield from self._in_order(key, at[due], eta[due], last, micros)
+            last, micros = float(eta[due][-1]), int(at[due][-1])
+        wake = None
+        if first is not None:
+            wake = max(first // 1000 - 1, watermark + 1)
+        elif self.idle is not None and micros is not None:
+            wake = max(micros // 1000 + self.idle, watermark + 1)
+        if wake != timer:
+            if timer is not None and timer > watermark:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        self.seen.update((last, micros, first, wake))
+
+
+class _Detect(_Observations):
+    def __init__(self, jump: float, idle: str | None):
+        super().__init__(idle)
+        self.jump = jump
+
+    def take(self, key, at, eta, last):
+        times = _EPOCH + pd.to_timedelta(at, unit="us")
+        yield pd.DataFrame({SERIES: key[0], "ts": times, "eta": eta, "arrival": _jumps(eta, last, self.jump)})
 
 
 def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.ndarray:
@@ -137,6 +178,75 @@ def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.nda
     return np.concatenate(parts)
 
 
+class _Features(_Observations):
+    """Detection, accumulation, the headway rule, padding and rolling.
+
+    Further state tables: ``arrival``, the last arrival and how many gaps are listed, and ``gaps``,
+    a list that gaps are appended to; it is cut to the last ``history`` when it has twice as many.
+    """
+
+    def __init__(self, history: int, min_gap: float, jump: float, idle: str | None):
+        super().__init__(idle)
+        self.history, self.min_gap, self.jump = history, min_gap, jump
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.arrival = handle.getValueState("arrival", "micros long, listed int")
+        self.gaps = handle.getListState("gaps", "gap double")
+
+    def forget(self) -> None:
+        super().forget()
+        self.arrival.clear()
+        self.gaps.clear()
+
+    def take(self, key, at, eta, last):
+        arrived, listed = self.arrival.get() if self.arrival.exists() else (None, 0)
+        times = at[_jumps(eta, last, self.jump)]
+        if not len(times):
+            return
+        line = times if arrived is None else np.concatenate([[arrived], times])
+        new, ends = np.diff(line) / 6e7, line[1:]
+        ends, new = ends[new >= self.min_gap], new[new >= self.min_gap]
+        if not len(new):
+            self.arrival.update((int(line[-1]), listed))
+            return
+        before = np.array([g[0] for g in self.gaps.get()] if listed else [], float)[-self.history :]
+        everything = np.concatenate([before, new])
+        if listed + len(new) >= 2 * self.history:
+            kept = everything[-self.history :]
+            self.gaps.put([(g,) for g in kept.tolist()])
+            listed = len(kept)
+        else:
+            self.gaps.appendList([(g,) for g in new.tolist()])
+            listed += len(new)
+        self.arrival.update((int(line[-1]), listed))
+        pad = max(self.history, *[w for _, _, w in ROLLING_FEATURES])
+        padded = np.concatenate([np.full(pad, everything[0]), everything])
+        out: dict[str, Any] = {SERIES: key[0], "ds": _EPOCH + pd.to_timedelta(ends, unit="us"), "y": new}
+        for name, fn, width in ROLLING_FEATURES:
+            out[name] = _rolling_last(padded, fn, width, len(new))
+        out["history"] = list(np.lib.stride_tricks.sliding_window_view(padded, self.history)[-len(new) :])
+        yield pd.DataFrame(out)
+
+
+def _with_state(updates: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``processor`` over each series. State tables need the RocksDB store, which this sets for the session."""
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return updates.groupBy(SERIES).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+def detect_arrivals_stream(
+    updates: DataFrame, jump: float = Config.eta_jump, idle: str | None = None
+) -> DataFrame:
+    """Each ETA observation that the watermark has passed, with ``arrival``.
+
+    State: the last ETA, its time, and the held observations. After ``idle`` without an
+    observation a series starts anew: its state goes, and the next one is compared with nothing.
+    By default none does.
+    """
+    return _with_state(updates, _Detect(jump, idle), f"{SERIES} string, ts timestamp, eta double, arrival boolean")
+
+
 def stream_features(
     updates: DataFrame,
     history: int = Config.lookback,
@@ -147,51 +257,12 @@ def stream_features(
     """One row per kept headway: time, headway, rolling statistics, padded history.
 
     Detection, accumulation, the headway rule, padding and rolling run in one stateful
-    step: last ETA, last arrival, the last ``history`` gaps and the held observations are
-    the state. A short history is padded in front with its earliest gap.
+    step: last ETA, last arrival, the last gaps and the held observations are the state.
+    A short history is padded in front with its earliest gap.
     """
-    pad = max(history, *[w for _, _, w in ROLLING_FEATURES])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, arrived_at, gaps, held_at, held_eta = state.get if state.exists else (None, None, None, [], [], [])
-        if state.hasTimedOut and not held_at:
-            state.remove()
-            return
-        gaps = np.array(gaps if gaps is not None else [], float)
-        at, eta, held_at, held_eta = _due(batches, held_at, held_eta, state)
-        times = at[_jumps(eta, last, jump)]
-        if arrived_at is not None:
-            times = np.concatenate([[arrived_at], times])
-        new, ends = np.diff(times) / 6e7, times[1:]
-        ends, new = ends[new >= min_gap], new[new >= min_gap]
-        everything = np.concatenate([gaps, new])
-        kept = everything[-history:]
-        arrived_at = int(times[-1]) if len(times) else arrived_at
-        if len(eta):
-            last, seen = float(eta[-1]), int(at[-1])
-        state.update((last, seen, arrived_at, kept.tolist(), held_at, held_eta))
-        _wake(state, held_at, seen, idle)
-        if len(new):
-            front = np.full(pad, everything[0])
-            padded = np.concatenate([front, everything])
-            out: dict[str, Any] = {
-                SERIES: key[0],
-                "ds": _EPOCH + pd.to_timedelta(ends, unit="us"),
-                "y": new,
-            }
-            for name, fn, width in ROLLING_FEATURES:
-                out[name] = _rolling_last(padded, fn, width, len(new))
-            out["history"] = list(np.lib.stride_tricks.sliding_window_view(padded, history)[-len(new) :])
-            yield pd.DataFrame(out)
-
     stats = ", ".join(f"{name} double" for name, _, _ in ROLLING_FEATURES)
-    return updates.groupBy(SERIES).applyInPandasWithState(
-        step,
-        f"{SERIES} string, ds timestamp, y double, {stats}, history array<double>",
-        "last_eta double, last_micros long, arrival_micros long, gaps array<double>, held_at array<long>, held_eta array<double>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    schema = f"{SERIES} string, ds timestamp, y double, {stats}, history array<double>"
+    return _with_state(updates, _Features(history, min_gap, jump, idle), schema)
 
 
 def stream_headways(updates: DataFrame, **options) -> DataFrame:

@@ -73,7 +73,7 @@ def test_target_dates_join_by_position(spark):
 
 def test_naive_mae_of_windows(spark):
     values = [float((i * 7) % 11) for i in range(60)]
-    got = {r.split: r.mae for r in metrics.naive_mae(split.make_windows(ramp(spark, {"a": values}), ["y"], length=5)).collect()}
+    got = {r.split: r.mae for r in metrics.naive_mae(ramp(spark, {"a": values}), 5, block_rows=7).collect()}
     targets = range(36 + 12 + 5, 60 - 1 + 1)
     usable = [t for t in targets if t - 1 < 60 - 5]
     assert got["test"] == pytest.approx(np.mean([abs(values[t] - values[t - 1]) for t in usable]))
@@ -124,13 +124,35 @@ def test_regression_learns_a_lag(spark):
     rows, names = forecast.lag_features(ramp(spark, {"a": y}), 2)
     # Outliers in the target, which the loss must shrug off.
     rows = rows.withColumn("y", F.when(F.col("idx") % 50 == 7, 500.0).otherwise(F.col("y")))
-    model = forecast.huber_regression(rows, names, maxIter=60)
-    weights = model.stages[-1].coefficients
+    model = forecast.huber_regression(rows, names)
+    weights = model.coefficients
     assert weights[0] == pytest.approx(0.6, abs=0.1) and weights[1] == pytest.approx(-0.2, abs=0.1)
     scored = forecast.score(rows, model, "huber").where("idx % 50 <> 7")
     assert scored.select(F.avg(F.abs(F.col("y") - F.col("huber")))).first()[0] < 0.2
 
 
+def test_regression_finds_the_least_loss(spark):
+    """No small step from the solution lowers the Huber loss; a flat and a repeated feature do no harm."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 2, (500, 2))
+    y = 1 + x @ [0.5, -2.0] + rng.standard_t(2, 500)
+    table = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 1], "flat": 7.0, "y": y})
+    table.loc[499, "b"] = None
+    df = spark.createDataFrame(table).withColumn("b", F.when(~F.isnan("b"), F.col("b"))).repartition(5)
+    model = forecast.huber_regression(df, ["a", "b", "c", "flat"], rounds=40, ridge=1e-9)
+    assert model.coefficients[3] == 0.0
+    got = np.array([model.coefficients[0], model.coefficients[1] + model.coefficients[2], model.intercept])
+    u = np.column_stack([x, np.ones(500)])[:499]
+
+    def loss(w):
+        e = np.abs(y[:499] - u @ w)
+        return np.where(e <= 1, e * e / 2, e - 0.5).sum()
+
+    assert all(loss(got) <= loss(got + step * axis) + 1e-6 for step in (-0.01, 0.01) for axis in np.eye(3))
+    with pytest.raises(ValueError, match="no training rows"):
+        forecast.huber_regression(df.limit(0), ["a"])
+
+
 def test_boosted_trees_fit_a_step(spark):
     rows, names = forecast.lag_features(ramp(spark, {"a": [float(i % 4 == 0) * 9 for i in range(200)]}), 4)
     model = forecast.boosted_trees(rows, names, maxIter=2, maxDepth=2)

@@ -1,10 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gapcast.operators import slices, split
+from gapcast.operators import permute, slices, split
 from gapcast.plans.layout import positions
 from tests.helpers import START, collect, lopsided, ordered, ramp
 
@@ -77,6 +78,34 @@ def test_shuffled_batches_repeat(numbered):
     assert [(r.series_id, r.start_idx) for r in in_order] == sorted((r.series_id, r.start_idx) for r in in_order)
 
 
+def test_network_is_a_permutation():
+    for total in [1, 2, 3, 5, 8, 9, 10, 97, 1000, 4097]:
+        seen = [permute.permuted(np.arange(total), total, seed) for seed in range(4)]
+        assert all(sorted(s.tolist()) == list(range(total)) for s in seen)
+    big = permute.permuted(np.arange(10_000), 10**12 + 7, 3)
+    assert len(set(big.tolist())) == 10_000 and big.min() >= 0 and big.max() < 10**12 + 7
+    # Neighbours part, and places are even over the range.
+    moved = permute.permuted(np.arange(20_000), 20_000, 5)
+    assert abs(np.corrcoef(np.arange(20_000), moved)[0, 1]) < 0.03
+    assert np.abs(np.histogram(moved[:2_000], 10, (0, 20_000))[0] - 200).max() < 60
+
+
+@pytest.mark.parametrize("keys", [range(40), range(7, 700, 9), [0, 2, 3], [5, 5, 7], [4], [0, 1, 1, 3], [0, 0, 2, 2]])
+def test_ranks_are_the_order_of_the_keys(spark, keys):
+    rows = [(s, k, k * 10) for s in "cab" for k in keys] + [("d", 3, 0)]
+    got = permute.ranked(spark.createDataFrame(rows, "series_id string, k int, v int").repartition(5), ["series_id", "k"])
+    out = got.collect()
+    assert sorted(r["rank"] for r in out) == list(range(len(rows))) and {r._total for r in out} == {len(rows)}
+    assert [(r.series_id, r.k, r.v) for r in sorted(out, key=lambda r: r["rank"])] == sorted(rows)
+    assert permute.ranked(got.select("series_id", "k").limit(0), ["series_id", "k"]).count() == 0
+
+
+def test_shuffled_rows_are_not_sorted(numbered):
+    windows = split.make_windows(numbered, ["y"], length=4, splits=["train"]).drop("features")
+    plan = split.shuffle_batches(windows, 1)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
+
+
 @pytest.mark.parametrize("horizon,step", [(1, 1), (3, 1), (2, 4)])
 def test_rolling_origin(spark, horizon, step):
     n = 23

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapcast.functions.messages import parse_updates
+from gapcast.operators import clean
 from gapcast.operators.arrivals import detect_arrivals
 from gapcast.operators.rolling import headways
-from gapcast.sources.sinks import prediction_documents, write_predictions
-from gapcast.sources.tables import read_predictions, read_vehicle_updates
-from gapcast.streaming import live
+from gapcast.sources.polled import read_polled_updates
+from gapcast.sources.sinks import prediction_documents, replace_batch, write_predictions
+from gapcast.sources.tables import read_predictions, read_vehicle_updates, stored_documents
+from gapcast.streaming import cleaned, late, live
 from tests.helpers import collect
 
 BATCHES = 5
@@ -44,6 +46,22 @@ def folder(tmp_path_factory):
     return str(where)
 
 
+def _put(folder, name, rows):
+    """A file of messages (station, time, ETA), later than those before it."""
+    import os
+
+    lines = [json.dumps({"station_id": s, "timestamp": f"2024-01-01 {t}", "minutes_until_arrival": e}) for s, t, e in rows]
+    (folder / name).write_text("\n".join(lines))
+    at = 1_700_000_000 + len(list(folder.glob("*.json")))
+    os.utime(folder / name, (at, at))
+
+
+def _run(stream, path, checkpoint):
+    query = stream.writeStream.format("parquet").option("path", str(path)).option("checkpointLocation", str(checkpoint))
+    query = query.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def _stream(spark, folder):
     return live.parse_stream(read_vehicle_updates(spark, folder, files_per_batch=1))
 
@@ -190,3 +208,104 @@ def test_weather_lasts_however_late_the_events(spark, folder):
     ahead = live.with_future_row(live.stream_features(_stream(spark, folder), history=5), sky)
     rows = live.run_available(ahead.select("future_ds", "temp"), "late").collect()
     assert rows and all(r.temp == 40.0 for r in rows)
+
+
+def test_state_survives_a_restart(spark, folder, tmp_path):
+    """Half of the files, a stop, the rest: held rows, the last ETA and the gaps go on."""
+    import os
+    import shutil
+
+    half, path, checkpoint = tmp_path / "half", tmp_path / "out", tmp_path / "checkpoint"
+    half.mkdir()
+    for part in ((0, 1, 2), (3, 4)):
+        for k in part:
+            shutil.copy2(f"{folder}/{k}.json", half / f"{k}.json")
+            os.utime(half / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+        _run(live.stream_features(_stream(spark, str(half)), history=4), path, checkpoint)
+    whole = live.run_available(live.stream_features(_stream(spark, folder), history=4), "whole")
+    # Between the runs the watermark has come further than files of one run let it.
+    assert collect(spark.read.parquet(str(path)), "series_id", "ds") == collect(whole, "series_id", "ds")
+
+
+def test_idle_series_lose_their_state(spark, tmp_path):
+    _put(tmp_path, "0.json", [("A", "10:00:00", 1.0), ("B", "10:00:00", 1.0)])
+    _put(tmp_path, "1.json", [("B", "10:04:00", 1.0)])
+    _put(tmp_path, "2.json", [("B", "10:40:00", 1.0)])
+    _put(tmp_path, "3.json", [("A", "11:00:00", 9.0), ("B", "11:00:00", 9.0)])
+    _put(tmp_path, "4.json", [("C", "12:00:00", 1.0)])
+    rows = lambda idle: {
+        (r.series_id, r.ts.hour): r.arrival
+        for r in live.run_available(live.detect_arrivals_stream(_stream(spark, str(tmp_path)), idle=idle), "idle").collect()
+    }
+    assert rows(None)["A", 11] and rows(None)["B", 11]
+    short = rows("30 minutes")
+    assert not short["A", 11] and short["B", 11]
+
+
+def test_late_rows_are_those_spark_drops(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    folder, path = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for k in range(6):
+        minutes = np.clip(10 * k - rng.exponential(8, 40), 0, None)
+        _put(folder, f"{k}.json", [(f"S{i % 3}", f"{10 + int(m) // 60}:{int(m) % 60:02d}:{int(m * 60) % 60:02d}", float(i)) for i, m in enumerate(minutes)])
+    query = live.detect_arrivals_stream(_stream(spark, str(folder))).writeStream.format("noop").trigger(availableNow=True)
+    query = query.option("checkpointLocation", str(tmp_path / "one")).start()
+    query.awaitTermination()
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    for again in range(2):
+        # A second run on a new checkpoint writes every batch again, in place of the first.
+        checkpoint = str(tmp_path / f"late{again}")
+        late.split_late(_stream(spark, str(folder)), str(path), checkpoint, availableNow=True).awaitTermination()
+        counts = late.late_counts(spark, str(path)).orderBy("batch").collect()
+        assert [c.batch for c in counts] == list(range(6)) and sum(c.rows for c in counts) == 240
+        assert sum(c.late_rows for c in counts) == late.late_rows(spark, str(path)).count() == dropped > 0
+    assert late.late_rows(spark, str(path)).where("ts > watermark").count() == 0
+
+
+def test_a_batch_that_runs_again_leaves_one_document(spark, tmp_path):
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    columns = "doc_id string, timestamp_str string, timestamp timestamp, route_id string, stop_id string, predicted_mbt double, status string, created_at timestamp"
+    rows = [(f"L#{s}", "t1", at, "L", s, 4.0, "ok", at) for s in "abc"]
+    path, documents = str(tmp_path / "store"), spark.createDataFrame(rows, columns)
+    for _ in range(2):
+        replace_batch(documents, path, "w", 7)
+    assert stored_documents(spark, path).count() == 3
+    later = documents.where("stop_id = 'b'").withColumns({"created_at": F.lit(at + pd.Timedelta("1s")), "predicted_mbt": F.lit(9.0)})
+    write_predictions(later, path)
+    write_predictions(documents, path)
+    assert collect(read_predictions(spark, path).select("stop", "pred_mbt"), "stop") == [("a", 4.0), ("b", 9.0), ("c", 4.0)]
+    assert read_predictions(spark, path, versions=True).count() == 7
+    with pytest.raises(ValueError):
+        write_predictions(spark.readStream.schema(documents.schema).parquet(str(tmp_path)), path)
+
+
+def test_polled_payloads_are_taken_once(spark, tmp_path):
+    folder, path, checkpoint = tmp_path / "feed", tmp_path / "out", tmp_path / "checkpoint"
+    folder.mkdir()
+    updates = lambda: live.parse_stream(read_polled_updates(spark, str(folder)))
+    _put(folder, "a.json", [("A", "10:00:00", 1.0), ("B", "10:00:00", 2.0)])
+    _put(folder, "b.json", [("A", "10:00:30", 0.5)])
+    (folder / "_hidden").write_text("{}")
+    _run(updates(), path, checkpoint)
+    assert spark.read.parquet(str(path)).count() == 3
+    _run(updates(), path, checkpoint)
+    _put(folder, "0-later.json", [("A", "10:01:00", 9.0)])
+    _run(updates(), path, checkpoint)
+    rows = spark.read.parquet(str(path))
+    assert collect(rows.select("series_id", "eta"), "series_id", "ts") == [("A", 1.0), ("A", 0.5), ("A", 9.0), ("B", 2.0)]
+
+
+def test_report_of_a_stream_comes_with_its_rows(spark, tmp_path):
+    table = spark.createDataFrame([(float(k % 70) - 5, float(k % 50)) for k in range(300)], "duration double, mbt double")
+    table.repartition(5).write.parquet(str(tmp_path / "in"))
+    rules = clean.cleaning_rules()
+    kept, counts = clean.clean_observed(table, rules)
+    rows = kept.count()
+    want = collect(clean.clean_report(table, rules), "step")
+    assert collect(clean.observed_report(spark, counts, rules), "step") == want and want[-1][3] == rows
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    cleaned.write_cleaned(stream, rules, path, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+    assert collect(cleaned.live_report(spark, path), "step") == want
+    assert cleaned.cleaned_rows(spark, path).count() == rows
