@@ -58,8 +58,8 @@ def featured(spark: SparkSession, sf: str, with_weather: bool = True) -> DataFra
     return add_features(cleaned(spark, sf), weather(spark, sf) if with_weather else None, CFG, dense=True)
 
 
-def as_messages(table: DataFrame) -> DataFrame:
-    """Each event as a JSON message in one of four shapes."""
+def message() -> Column:
+    """An event as a JSON message in one of four shapes."""
     device = F.col("user_id").cast("string")
     time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
     eta = F.col("value").alias("minutes_until_arrival")
@@ -73,7 +73,11 @@ def as_messages(table: DataFrame) -> DataFrame:
         .when(shape == 2, F.concat(F.lit('{"entity":[{"device_id":"none"},'), by_station, F.lit("]}")))
         .otherwise(F.concat(F.lit("[7,"), F.to_json(by_device), F.lit("]")))
     )
-    return table.select(text.alias("message"))
+    return text.alias("message")
+
+
+def as_messages(table: DataFrame) -> DataFrame:
+    return table.select(message())
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,10 +110,13 @@ def update_files(
     rows = events(spark, sf)
     ends = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("low", "high")]
     low, high = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(*ends).first()
-    part = disorder(parts, low or 0, high or 0)
     files = max(1, math.ceil(stored_bytes(rows) / parts / CHUNK_BYTES))
+    dealt = rows.repartition(files, "event_id").select(disorder(parts, low or 0, high or 0).alias("part"), message())
+    dealt.write.partitionBy("part").text(path)
+    # The source takes files in the order of their times.
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for k in range(parts):
-        # One after the other: the source takes files in the order of their times.
-        dealt = rows.where(part == k).repartition(files, "event_id")
-        as_messages(dealt).write.text(f"{path}/{k}")
+        for found in store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"part={k}/*")):
+            store.setTimes(found.getPath(), 1_700_000_000_000 + 1000 * k, -1)
     return f"{path}/*", files

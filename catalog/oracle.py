@@ -243,7 +243,7 @@ def _padded(width: int) -> str:
     return f"list_concat([first(y) OVER (PARTITION BY series_id ORDER BY ds) for x in range({width} - len({rows}))], {rows})"
 
 
-def _huber(rounds: int = 15, lags: int = 12, delta: float = 1.0, ridge: float = 1e-3) -> str:
+def _huber(rounds: int = 10, lags: int = 12, delta: float = 1.0, ridge: float = 1e-3) -> str:
     """CTEs up to ``hu(series_id, idx, n, ds, y, split, naive, huber)``: reweighted least squares, one CTE a round.
 
     The equations of a round are a list of rows, solved by elimination in a list_reduce whose

@@ -119,7 +119,7 @@ def huber_regression(
     features: Sequence[str],
     target: str = "y",
     delta: float = 1.0,
-    rounds: int = 15,
+    rounds: int = 10,
     ridge: float = 1e-3,
 ) -> LinearModel:
     """Linear point forecast with Huber loss over all series at once, by reweighted least squares.

@@ -34,8 +34,6 @@ WATERMARK = "2 minutes"
 POLL = "30 seconds"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_EPOCH = pd.Timestamp(0)
-
 
 def parse_stream(messages: DataFrame, targets=None, message: str = "message") -> DataFrame:
     """series_id, ``ts``, ``eta`` from JSON messages, with the watermark set."""
@@ -62,7 +60,11 @@ def tumbling_snapshots(updates: DataFrame, width: str = "1 minute") -> DataFrame
 
 
 def _micros(ts: pd.Series) -> np.ndarray:
-    return ((ts - _EPOCH) // pd.Timedelta(microseconds=1)).to_numpy()
+    return ts.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _times(micros: np.ndarray) -> np.ndarray:
+    return micros.astype("datetime64[us]")
 
 
 def _jumps(eta: np.ndarray, last: float | None, jump: float) -> np.ndarray:
@@ -77,41 +79,33 @@ class _Observations(StatefulProcessor):
     """Holds a series' observations until the watermark has passed them, then takes them up in order.
 
     State tables: ``held`` is a list that new rows are appended to and that is read only when its
-    first row is due; ``seen`` has the last ETA taken up, its time and the timer that is set.
+    first row is due; ``seen`` has the last ETA taken up, its time, the first row held, the timer
+    that is set, and what else the step keeps (``extra``). A call to the state costs a round trip,
+    so a batch reads and writes ``seen`` once.
     """
 
+    extra = ""
+
     def __init__(self, idle: str | None):
         self.idle = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "micros long, eta double")
-        self.seen = handle.getValueState("seen", "last_eta double, last_micros long, first_held long, timer long")
+        self.seen = handle.getValueState("seen", f"last_eta double, last_micros long, first_held long, timer long{self.extra}")
 
-    def take(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None) -> Iterator[pd.DataFrame]:
-        """What follows from observations in order, after one with ETA ``last``."""
-        raise NotImplementedError
+    def start(self) -> tuple:
+        """The extra state of a series never seen or idle for too long."""
+        return ()
 
-    def forget(self) -> None:
-        self.seen.clear()
-
-    def _in_order(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None, micros: int | None):
-        """``take`` for each stretch without an idle time in it, whichever batches its rows came in."""
-        cuts = np.zeros(0, np.int64)
-        if self.idle is not None:
-            before = np.concatenate([[at[0] if micros is None else micros], at[:-1]])
-            cuts = np.flatnonzero(at - before >= self.idle * 1000)
-        for start, end in zip([0, *cuts], [*cuts, len(at)]):
-            if start in cuts:
-                self.forget()
-                last = None
-            if end > start:
-                yield from self.take(key, at[start:end], eta[start:end], last)
+    def take(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None, kept: tuple) -> tuple[pd.DataFrame | None, tuple]:
+        """What follows from observations in order, after one with ETA ``last``, and the extra state."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [b for b in rows if len(b)]
-        at = np.concatenate([np.zeros(0, np.int64), *[_micros(b["ts"]) for b in parts]])
-        eta = np.concatenate([np.zeros(0), *[b["eta"].to_numpy(float) for b in parts]])
+        parts = list(rows)
+        at = np.concatenate([_micros(b["ts"]) for b in parts])
+        eta = np.concatenate([b["eta"].to_numpy(float) for b in parts])
         known = ~np.isnan(eta)
         yield from self._step(key, at[known], eta[known], timerValues.getCurrentWatermarkInMs())
 
@@ -120,15 +114,16 @@ class _Observations(StatefulProcessor):
         yield from self._step(key, *nothing, timerValues.getCurrentWatermarkInMs())
 
     def _step(self, key: tuple, at: np.ndarray, eta: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
-        last, micros, first, timer = self.seen.get() if self.seen.exists() else (None, None, None, None)
-        earliest = min([*at.tolist(), *([first] if first is not None else [])], default=None)
-        if earliest is None or earliest > watermark * 1000:
+        last, micros, first, timer, *kept = self.seen.get() or (None, None, None, None, *self.start())
+        known = first if not len(at) else int(at.min()) if first is None else min(first, int(at.min()))
+        if known is None or known > watermark * 1000:
             # Nothing is due: what is held need not be read.
             if len(at):
                 self.held.appendList(list(zip(at.tolist(), eta.tolist())))
-            first = earliest
+            first = known
             if first is None and self.idle is not None and micros is not None and micros // 1000 + self.idle <= watermark:
-                self.forget()
+                self.seen.clear()
+                self.clear()
                 return
         else:
             if first is not None:
@@ -144,8 +139,21 @@ class _Observations(StatefulProcessor):
             elif first is not None:
                 self.held.clear()
             first = rest[0][0] if rest else None
-            yield from self._in_order(key, at[due], eta[due], last, micros)
-            last, micros = float(eta[due][-1]), int(at[due][-1])
+            at, eta = at[due], eta[due]
+            # Stretches without an idle time in them, whichever batches their rows came in.
+            cuts = np.zeros(0, np.int64)
+            if self.idle is not None:
+                before = np.concatenate([[at[0] if micros is None else micros], at[:-1]])
+                cuts = np.flatnonzero(at - before >= self.idle * 1000)
+            for begin, end in zip([0, *cuts], [*cuts, len(at)]):
+                if begin in cuts:
+                    self.clear()
+                    last, kept = None, self.start()
+                if end > begin:
+                    out, kept = self.take(key, at[begin:end], eta[begin:end], last, tuple(kept))
+                    if out is not None:
+                        yield out
+                    last, micros = float(eta[end - 1]), int(at[end - 1])
         wake = None
         if first is not None:
             wake = max(first // 1000 - 1, watermark + 1)
@@ -156,7 +164,10 @@ class _Observations(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if wake is not None:
                 self.handle.registerTimer(wake)
-        self.seen.update((last, micros, first, wake))
+        self.seen.update((last, micros, first, wake, *kept))
+
+    def clear(self) -> None:
+        """Empty the further state tables."""
 
 
 class _Detect(_Observations):
@@ -164,9 +175,8 @@ class _Detect(_Observations):
         super().__init__(idle)
         self.jump = jump
 
-    def take(self, key, at, eta, last):
-        times = _EPOCH + pd.to_timedelta(at, unit="us")
-        yield pd.DataFrame({SERIES: key[0], "ts": times, "eta": eta, "arrival": _jumps(eta, last, self.jump)})
+    def take(self, key, at, eta, last, kept):
+        return pd.DataFrame({SERIES: key[0], "ts": _times(at), "eta": eta, "arrival": _jumps(eta, last, self.jump)}), kept
 
 
 def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.ndarray:
@@ -181,57 +191,60 @@ def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.nda
 class _Features(_Observations):
     """Detection, accumulation, the headway rule, padding and rolling.
 
-    Further state tables: ``arrival``, the last arrival and how many gaps are listed, and ``gaps``,
-    a list that gaps are appended to; it is cut to the last ``history`` when it has twice as many.
+    Extra state: the last arrival and how many gaps are listed. ``gaps`` is a list that gaps are
+    appended to; it is cut to the last ``history`` when it has twice as many.
     """
 
+    extra = ", arrival_micros long, listed int"
+
     def __init__(self, history: int, min_gap: float, jump: float, idle: str | None):
         super().__init__(idle)
         self.history, self.min_gap, self.jump = history, min_gap, jump
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.arrival = handle.getValueState("arrival", "micros long, listed int")
         self.gaps = handle.getListState("gaps", "gap double")
 
-    def forget(self) -> None:
-        super().forget()
-        self.arrival.clear()
+    def start(self) -> tuple:
+        return None, 0
+
+    def clear(self) -> None:
         self.gaps.clear()
 
-    def take(self, key, at, eta, last):
-        arrived, listed = self.arrival.get() if self.arrival.exists() else (None, 0)
+    def take(self, key, at, eta, last, kept):
+        arrived, listed = kept
         times = at[_jumps(eta, last, self.jump)]
         if not len(times):
-            return
+            return None, kept
         line = times if arrived is None else np.concatenate([[arrived], times])
         new, ends = np.diff(line) / 6e7, line[1:]
         ends, new = ends[new >= self.min_gap], new[new >= self.min_gap]
         if not len(new):
-            self.arrival.update((int(line[-1]), listed))
-            return
+            return None, (int(line[-1]), listed)
         before = np.array([g[0] for g in self.gaps.get()] if listed else [], float)[-self.history :]
         everything = np.concatenate([before, new])
         if listed + len(new) >= 2 * self.history:
-            kept = everything[-self.history :]
-            self.gaps.put([(g,) for g in kept.tolist()])
-            listed = len(kept)
+            latest = everything[-self.history :]
+            self.gaps.put([(g,) for g in latest.tolist()])
+            listed = len(latest)
         else:
             self.gaps.appendList([(g,) for g in new.tolist()])
             listed += len(new)
-        self.arrival.update((int(line[-1]), listed))
         pad = max(self.history, *[w for _, _, w in ROLLING_FEATURES])
         padded = np.concatenate([np.full(pad, everything[0]), everything])
-        out: dict[str, Any] = {SERIES: key[0], "ds": _EPOCH + pd.to_timedelta(ends, unit="us"), "y": new}
+        out: dict[str, Any] = {SERIES: key[0], "ds": _times(ends), "y": new}
         for name, fn, width in ROLLING_FEATURES:
             out[name] = _rolling_last(padded, fn, width, len(new))
         out["history"] = list(np.lib.stride_tricks.sliding_window_view(padded, self.history)[-len(new) :])
-        yield pd.DataFrame(out)
+        return pd.DataFrame(out), (int(line[-1]), listed)
 
 
 def _with_state(updates: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     """``processor`` over each series. State tables need the RocksDB store, which this sets for the session."""
-    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf = updates.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A batch stores what it changed and not the whole tables.
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return updates.groupBy(SERIES).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
