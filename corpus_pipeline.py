@@ -1,21 +1,49 @@
 """The training-data pipeline: stages over documents, each written as Parquet and read by the next.
 
 Every stage but the last returns the columns of documents; repeated and null doc_ids, null
-texts and extra columns pass through as the operators' docstrings say.
+texts and extra columns pass through as the operators' docstrings say. A stage deletes the
+intermediate tables of the stages before it, so its own input must have been written by then,
+as ``run`` does.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapcast.llm import minhash, mixing, packing, suffixes, toxicity
 from gapcast.llm.textbytes import bounded_batches
-from gapcast.plans.scratch import store
+from gapcast.plans.scratch import drop_stored, store, stored_paths
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Words of a shingle in the near-copy stage; four are for the op4 query alone.
 SHINGLE = 5
+#: Bytes of a passage that may stand once: fifty words of four letters and a space. The 400 bytes of the op3 query are some sixty-five words.
+PASSAGE = 250
+GRAM = 64
+
+_left: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """``function`` without the intermediate tables that earlier stages have left."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stored(spark, _left)
+        before = set(stored_paths())
+        out = function(spark, docs, sf_dir)
+        _left[:] = [p for p in stored_paths() if p not in before]
+        return out
+
+    return run_stage
+
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised model does not reject."""
     bounded_batches(spark)
@@ -25,6 +53,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, one with the smallest doc_id; rows without doc_id count as well."""
     bounded_batches(spark)
@@ -34,19 +63,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(copies, "row", "left_anti").select("of.*")
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the byte strings that stand elsewhere too; n_chars is counted anew."""
     bounded_batches(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffixes.dedup(docs, keep=rest).withColumn("text", F.col("kept_text"))
+    cut = suffixes.dedup(docs, PASSAGE, GRAM, keep=rest).withColumn("text", F.col("kept_text"))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, in shuffled order."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
     bounded_batches(spark)

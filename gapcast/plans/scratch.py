@@ -48,11 +48,17 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables this process stored; returns how many were there."""
+def stored_paths() -> list[str]:
+    """The tables this process stored and has not deleted, oldest first."""
+    return list(_stored)
+
+
+def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the tables this process stored, or only ``paths`` of them; returns how many were there."""
     jvm, gone = spark.sparkContext._jvm, 0
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    for name in list(_stored) if paths is None else [p for p in paths if p in _stored]:
+        _stored.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
