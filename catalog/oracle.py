@@ -622,6 +622,7 @@ def statements() -> dict[str, str]:
     sql["responses"] = BASE + " SELECT series_id, idx, y FROM clean WHERE idx >= n - 2"
 
     sql["stream_updates"] = "SELECT CAST(user_id AS VARCHAR) AS series_id, ts, value AS eta FROM events"
+    sql["stream_polled_updates"] = sql["stream_updates"]
     sql["stream_snapshots"] = """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('minute', ts) AS window_start, count(*) AS updates,
             min(value) AS min_eta, arg_max(value, ts) AS last_eta FROM events GROUP BY 1, 2)
         SELECT series_id, window_start, window_start + INTERVAL 1 MINUTE AS window_end, updates, min_eta, last_eta FROM s

@@ -47,6 +47,7 @@ from gapcast.plans.layout import positions
 from gapcast.plans.scratch import new_path, store
 from gapcast.plans.training import train_and_evaluate, with_point_forecasts
 from gapcast.sources import requests, sinks, tables
+from gapcast.sources.polled import read_polled_updates
 from gapcast.streaming import late
 from gapcast.streaming import live as streaming
 from gapcast.streaming.cleaned import live_report, write_cleaned
@@ -918,6 +919,18 @@ def stream_updates(spark, sf):
     return streaming.run_available(_updates(spark, sf), "updates")
 
 
+@query
+def stream_polled_updates(spark, sf):
+    """The same from a polled feed, in two runs that share a checkpoint."""
+    feed, path, checkpoint = (new_path(spark, name, owned=name != "poll-checkpoint") for name in ("feed", "polled", "poll-checkpoint"))
+    for half in range(2):
+        as_messages(events(spark, sf).where(F.col("event_id") % 2 == half)).write.mode("append").text(feed)
+        updates = streaming.parse_stream(read_polled_updates(spark, feed))
+        run = updates.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query
 def stream_snapshots(spark, sf):
     return streaming.run_available(streaming.tumbling_snapshots(_updates(spark, sf)), "snapshots")
