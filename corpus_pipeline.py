@@ -1,9 +1,9 @@
 """The training-data pipeline: stages over documents, each written as Parquet and read by the next.
 
 Every stage but the last returns the columns of documents; repeated and null doc_ids, null
-texts and extra columns pass through as the operators' docstrings say. A stage deletes the
-intermediate tables of the stages before it, so its own input must have been written by then,
-as ``run`` does.
+texts and extra columns pass through as the operators' docstrings say. A stage whose
+input has been written deletes the intermediate tables of the stages before it, as in ``run``;
+results that were not written must be by then.
 """
 
 from __future__ import annotations
@@ -29,15 +29,25 @@ GRAM = 64
 _left: list[str] = []
 
 
+def _written(docs: DataFrame) -> bool:
+    """Whether ``docs`` is read from files that are no stage's intermediate tables."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    own = [p.removeprefix("file:").lstrip("/") for p in _left]
+    return kinds == {"LogicalRelation"} and not any(p in f for f in docs.inputFiles() for p in own)
+
+
 def stage(function: Stage) -> Stage:
-    """``function`` without the intermediate tables that earlier stages have left."""
+    """``function`` without the intermediate tables that earlier stages have left, if its input has been written."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_stored(spark, _left)
+        if _written(docs):
+            drop_stored(spark, _left)
+            _left.clear()
         before = set(stored_paths())
         out = function(spark, docs, sf_dir)
-        _left[:] = [p for p in stored_paths() if p not in before]
+        _left.extend(p for p in stored_paths() if p not in before)
         return out
 
     return run_stage

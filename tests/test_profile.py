@@ -167,7 +167,7 @@ def _sine(spark, rows=500, days=40):
     return positions(spark.createDataFrame(table), ["ds"], chunks=4), exact, y
 
 
-@pytest.mark.parametrize("part_cells,block", [(1 << 14, 4096), (1000, 100), (8, 7)])
+@pytest.mark.parametrize("part_cells,block", [(1 << 14, 4096), (500, 100)])
 def test_spectrum(spark, monkeypatch, part_cells, block):
     """One series in one part, or split into several parts and blocks of frequencies."""
     monkeypatch.setattr(spectral, "BLOCK", block)
