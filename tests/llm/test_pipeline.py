@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from gapcast.plans import scratch
 from catalog.compare import duck, rows_of
 from gapcast.llm import packing, registry
 from tests.llm import brute
@@ -54,9 +55,9 @@ def test_stages_do_what_plain_versions_do(spark, corpus):
     ids = sorted(kept)
     cut = {r["doc_id"]: r for r in frames[3].collect()}
     assert set(cut) == set(ids) and all(r["n_chars"] == len(r["text"]) for r in cut.values())
-    for i, (size, removed, _, _) in zip(ids, brute.cut_repeats([kept[i] for i in ids], 400)):
+    for i, (size, removed, _, _) in zip(ids, brute.cut_repeats([kept[i] for i in ids], corpus_pipeline.PASSAGE)):
         assert len(cut[i]["text"].encode()) == size - removed
-        assert (removed >= 400) == (kinds[i] == "passage")
+        assert (removed >= corpus_pipeline.PASSAGE) == (kinds[i] == "passage")
     mixed = frames[4].collect()
     assert {r["doc_id"] for r in mixed} <= set(cut) and len(mixed) > len(cut) / 2
     packed = frames[5].collect()
@@ -101,9 +102,22 @@ def test_run_gives_the_last_stage(spark, corpus):
     assert result.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and result.count() > 0
 
 
+def test_a_stage_deletes_what_those_before_left(spark, corpus):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    first = corpus_pipeline.drop_near_copies(spark, docs, corpus[0])
+    path = scratch.new_path(spark, "first")
+    first.write.parquet(path)
+    left = list(corpus_pipeline._left)
+    assert left and set(left) <= set(scratch.stored_paths())
+    # Not written: what it rests on stays.
+    assert corpus_pipeline.mix(spark, first, corpus[0]).count() > 0 and set(left) <= set(scratch.stored_paths())
+    assert corpus_pipeline.mix(spark, spark.read.parquet(path), corpus[0]).count() > 0
+    assert not set(left) & set(scratch.stored_paths())
+
+
 def test_every_operator_is_registered():
     names = set(registry.queries())
-    assert len(names) == 11 and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n != "pipeline"}
+    assert len(names) == 14 and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n != "pipeline"}
     assert set(registry.oracle_sql()) <= names
 
 
