@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from gapcast.config import SERIES, Config
 from gapcast.operators.rolling import with_headway
 from gapcast.plans.features import add_features, clean_arrivals
-from gapcast.plans.layout import CHUNK_BYTES, lay_out, stored_bytes
+from gapcast.plans.layout import lay_out
 from gapcast.plans.scratch import new_path
 
 # Small blocks, so that the given tables span several.
 CFG = Config(block_rows=512, lookback=24)
+#: Messages that one task sorts and writes, some 60 MB.
+FILE_ROWS = 250_000
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,19 +106,27 @@ def update_files(
 ) -> tuple[str, int]:
     """The events as messages in text files, each in no order, and the files that make up a part.
 
-    ``disorder`` says which part has an event. A part has as many files as its bytes ask for.
+    ``disorder`` says which part has an event. A part has as many files as its rows ask for, and a
+    task writes one of each part, so what a task sorts is bounded by ``FILE_ROWS``.
     """
     path = new_path(spark, "messages")
     rows = events(spark, sf)
     ends = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("low", "high")]
-    low, high = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(*ends).first()
-    files = max(1, math.ceil(stored_bytes(rows) / parts / CHUNK_BYTES))
-    dealt = rows.repartition(files, "event_id").select(disorder(parts, low or 0, high or 0).alias("part"), message())
+    low, high, n = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count(F.lit(1)).alias("n")).select(*ends, "n").first()
+    files = max(1, math.ceil(n / FILE_ROWS))
+    dealt = rows.repartition(files, *rows.columns).select(disorder(parts, low or 0, high or 0).alias("part"), message())
     dealt.write.partitionBy("part").text(path)
     # The source takes files in the order of their times.
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = new(path)
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for k in range(parts):
-        for found in store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"part={k}/*")):
-            store.setTimes(found.getPath(), 1_700_000_000_000 + 1000 * k, -1)
+    found = [[f.getPath() for f in store.globStatus(new(folder, f"part={k}/*"))] for k in range(parts)]
+    files = max(1, *map(len, found))
+    for k, there in enumerate(found):
+        # A part with fewer files than a batch takes would get some of the next one's.
+        for i in range(files - len(there) if there else 0):
+            there.append(new(folder, f"part={k}/empty-{i}.txt"))
+            store.create(there[-1]).close()
+        for file in there:
+            store.setTimes(file, 1_700_000_000_000 + 1000 * k, -1)
     return f"{path}/*", files

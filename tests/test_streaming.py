@@ -309,3 +309,27 @@ def test_report_of_a_stream_comes_with_its_rows(spark, tmp_path):
     cleaned.write_cleaned(stream, rules, path, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
     assert collect(cleaned.live_report(spark, path), "step") == want
     assert cleaned.cleaned_rows(spark, path).count() == rows
+
+
+def test_messages_are_written_by_many_tasks_and_parts_stay_apart(spark, tmp_path, monkeypatch):
+    import glob
+
+    from catalog import inputs
+
+    monkeypatch.setattr(inputs, "FILE_ROWS", 50)
+    # Part 1 has a single event, so fewer files than the others.
+    minutes = [k * 0.001 for k in range(200)] + [30.0] + [51 + k * 0.01 for k in range(200)] + [100.0] * 2
+    rows = [(k, int(m * 6e7), k % 7, "view", 1.0) for k, m in enumerate(minutes)]
+    table = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double")
+    table.withColumn("ts", F.timestamp_micros("at")).write.parquet(str(tmp_path / "events.parquet"))
+
+    def by_time(files, low, high):
+        return F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * files / (high - low + 1))
+
+    path, files = inputs.update_files(spark, str(tmp_path), disorder=by_time)
+    assert files > 1 and len(glob.glob(path.replace("/*", "/part=0/*.txt"))) == files
+    batches = []
+    updates = read_vehicle_updates(spark, path, files_per_batch=files)
+    query = updates.writeStream.foreachBatch(lambda batch, number: batches.append(batch.count())).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert batches == [200, 1, 200, 2]
