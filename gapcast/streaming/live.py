@@ -4,19 +4,21 @@ Batch and stream share the column expressions. Observations newer than the water
 held, and taken up in time order once it has passed them, so the result does not depend
 on how files fall into micro-batches; what comes later than the watermark allows is
 dropped by Spark, counted (``freshness``) and kept apart (``late.py``). State per series is the
-last ETA, the last arrival, at most twice ``history`` gaps, and the observations of the
-watermark's span, in state tables that are appended to, with a timer for the next row due. A
-micro-batch hands one series to one task, so its size (``files_per_batch``,
-``maxOffsetsPerTrigger``) is the bound on what a hot station can put there.
+last ETA, the last arrival, at most ``history`` gaps, and the observations of the watermark's
+span. Series are dealt by hash into ``GROUPS`` groups, which have their state tables, and a timer
+for the next row due, in common. A micro-batch hands one group to one task, so its size
+(``files_per_batch``, ``maxOffsetsPerTrigger``) is the bound on what a hot station can put there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,11 @@ from gapcast.plans.scratch import new_path
 
 WATERMARK = "2 minutes"
 POLL = "30 seconds"
+#: Groups of series that share their state tables; a checkpoint holds for one number of them.
+GROUPS = 256
+#: Rows of one packed table and of one part of the output.
+PACK = 16_384
+NEVER = np.iinfo(np.int64).min
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -67,185 +74,240 @@ def _times(micros: np.ndarray) -> np.ndarray:
     return micros.astype("datetime64[us]")
 
 
-def _jumps(eta: np.ndarray, last: float | None, jump: float) -> np.ndarray:
-    """Where the ETA rose by more than ``jump`` over the one before."""
-    if not len(eta):
-        return np.zeros(0, bool)
-    before = np.concatenate([[np.nan if last is None else last], eta[:-1]])
-    return eta > before + jump
+def _packed(table: pd.DataFrame) -> bytes:
+    """A table as the bytes of an Arrow stream."""
+    arrow, sink = pa.Table.from_pandas(table, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, arrow.schema) as out:
+        out.write_table(arrow)
+    return sink.getvalue().to_pybytes()
 
 
-class _Observations(StatefulProcessor):
-    """Holds a series' observations until the watermark has passed them, then takes them up in order.
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+@dataclass
+class _Taken:
+    """Observations in order, series by series, with what is known of each series before them.
 
-    State tables: ``held`` is a list that new rows are appended to and that is read only when its
-    first row is due; ``seen`` has the last ETA taken up, its time, the first row held, the timer
-    that is set, and what else the step keeps (``extra``). A call to the state costs a round trip,
-    so a batch reads and writes ``seen`` once.
+    A stretch has no idle time in it; it is ``fresh`` if it begins after one.
     """
 
-    extra = ""
+    names: pd.Index
+    code: np.ndarray  # the series of each observation, as a place in ``names``
+    at: np.ndarray
+    eta: np.ndarray
+    arrival: np.ndarray
+    stretch: np.ndarray
+    first: np.ndarray  # where each stretch begins
+    fresh: np.ndarray  # of each stretch
 
-    def __init__(self, idle: str | None):
-        self.idle = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+
+class _Observations(StatefulProcessor):
+    """Holds the observations of a group of series until the watermark has passed them, then takes them up in order.
+
+    State tables: ``held`` is a list that the rows of a batch are appended to as one packed table,
+    and that is read only when its first row is due; ``known`` has a packed table of the last ETA
+    taken up and its time by series, and what else the step keeps (``extra``); ``due`` says what
+    is awaited. A call to the state costs a round trip, and so does a series in the state, so
+    the series of a group share both.
+    """
+
+    def __init__(self, idle: str | None, jump: float):
+        self.idle = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1_000_000)
+        self.jump = jump
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "micros long, eta double")
-        self.seen = handle.getValueState("seen", f"last_eta double, last_micros long, first_held long, timer long{self.extra}")
+        self.held = handle.getListState("held", "rows binary")
+        self.known = handle.getValueState("known", "series binary, extra binary")
+        self.due = handle.getValueState("due", "first_held long, first_seen long, timer long")
 
-    def start(self) -> tuple:
-        """The extra state of a series never seen or idle for too long."""
-        return ()
-
-    def take(self, key: tuple, at: np.ndarray, eta: np.ndarray, last: float | None, kept: tuple) -> tuple[pd.DataFrame | None, tuple]:
-        """What follows from observations in order, after one with ETA ``last``, and the extra state."""
+    def take(self, taken: _Taken, extra: Any) -> tuple[Iterator[pd.DataFrame], Any]:
+        """What follows from observations, and the extra state by ``taken.names``."""
         raise NotImplementedError
 
+    def unpack(self, extra: bytes | None, size: int) -> Any:
+        """The extra state of as many series as are known, with room for ``size``."""
+        return None
+
+    def pack(self, extra: Any, stay: np.ndarray) -> bytes:
+        return b""
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        at = np.concatenate([_micros(b["ts"]) for b in parts])
-        eta = np.concatenate([b["eta"].to_numpy(float) for b in parts])
-        known = ~np.isnan(eta)
-        yield from self._step(key, at[known], eta[known], timerValues.getCurrentWatermarkInMs())
+        parts = [pd.DataFrame({SERIES: b[SERIES], "at": _micros(b["ts"]), "eta": b["eta"].to_numpy(float)}).dropna(subset="eta") for b in rows]
+        yield from self._step([p for p in parts if len(p)], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        yield from self._step(key, *nothing, timerValues.getCurrentWatermarkInMs())
+        yield from self._step([], timerValues.getCurrentWatermarkInMs())
 
-    def _step(self, key: tuple, at: np.ndarray, eta: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
-        last, micros, first, timer, *kept = self.seen.get() or (None, None, None, None, *self.start())
-        known = first if not len(at) else int(at.min()) if first is None else min(first, int(at.min()))
-        if known is None or known > watermark * 1000:
+    def _step(self, new: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        mark = watermark * 1000
+        first, seen, timer = self.due.get() or (None, None, None)
+        held, first = first is not None, min([int(p["at"].min()) for p in new] + ([] if first is None else [first]), default=None)
+        if (first is None or first > mark) and not (seen is not None and self.idle is not None and seen + self.idle <= mark):
             # Nothing is due: what is held need not be read.
-            if len(at):
-                self.held.appendList(list(zip(at.tolist(), eta.tolist())))
-            first = known
-            if first is None and self.idle is not None and micros is not None and micros // 1000 + self.idle <= watermark:
-                self.seen.clear()
-                self.clear()
-                return
+            if new:
+                self.held.appendList([(_packed(p),) for p in new])
         else:
-            if first is not None:
-                held = list(self.held.get())
-                at = np.concatenate([at, np.array([h[0] for h in held], np.int64)])
-                eta = np.concatenate([eta, np.array([h[1] for h in held], float)])
-            order = np.lexsort([eta, at])
-            at, eta = at[order], eta[order]
-            due = at <= watermark * 1000
-            rest = list(zip(at[~due].tolist(), eta[~due].tolist()))
-            if rest:
-                self.held.put(rest)
-            elif first is not None:
+            if held:
+                new = new + [_unpacked(r[0]) for r in self.held.get()]
+            rows = pd.concat(new, ignore_index=True) if new else pd.DataFrame({SERIES: pd.Series([], dtype=object), "at": np.zeros(0, np.int64), "eta": np.zeros(0)})
+            now = rows["at"].to_numpy() <= mark
+            rest = rows[~now]
+            if len(rest):
+                self.held.put([(_packed(rest.iloc[k : k + PACK]),) for k in range(0, len(rest), PACK)])
+            elif held:
                 self.held.clear()
-            first = rest[0][0] if rest else None
-            at, eta = at[due], eta[due]
-            # Stretches without an idle time in them, whichever batches their rows came in.
-            cuts = np.zeros(0, np.int64)
-            if self.idle is not None:
-                before = np.concatenate([[at[0] if micros is None else micros], at[:-1]])
-                cuts = np.flatnonzero(at - before >= self.idle * 1000)
-            for begin, end in zip([0, *cuts], [*cuts, len(at)]):
-                if begin in cuts:
-                    self.clear()
-                    last, kept = None, self.start()
-                if end > begin:
-                    out, kept = self.take(key, at[begin:end], eta[begin:end], last, tuple(kept))
-                    if out is not None:
-                        yield out
-                    last, micros = float(eta[end - 1]), int(at[end - 1])
-        wake = None
-        if first is not None:
-            wake = max(first // 1000 - 1, watermark + 1)
-        elif self.idle is not None and micros is not None:
-            wake = max(micros // 1000 + self.idle, watermark + 1)
+            first = int(rest["at"].min()) if len(rest) else None
+            out, seen = self._take(rows[now], mark)
+            yield from out
+        awaited = [] if first is None else [first]
+        if self.idle is not None and seen is not None:
+            awaited.append(seen + self.idle)
+        wake = max(min(awaited) // 1000 - 1, watermark + 1) if awaited else None
         if wake != timer:
             if timer is not None and timer > watermark:
                 self.handle.deleteTimer(timer)
             if wake is not None:
                 self.handle.registerTimer(wake)
-        self.seen.update((last, micros, first, wake, *kept))
-
-    def clear(self) -> None:
-        """Empty the further state tables."""
+        if first is None and seen is None:
+            self.due.clear()
+        else:
+            self.due.update((first, seen, wake))
+
+    def _take(self, rows: pd.DataFrame, mark: int) -> tuple[Iterator[pd.DataFrame], int | None]:
+        """The output of rows that are due, and the earliest time that a series kept was last seen."""
+        stored = self.known.get()
+        known = _unpacked(stored[0]) if stored else None
+        names = rows[SERIES] if known is None else pd.concat([known[SERIES], rows[SERIES]])
+        codes, names = pd.factorize(names, use_na_sentinel=False)
+        there = 0 if known is None else len(known)
+        last, seen = np.full(len(names), np.nan), np.full(len(names), NEVER)
+        if known is not None:
+            last[:there], seen[:there] = known["last"], known["seen"]
+        at, eta, code = rows["at"].to_numpy(), rows["eta"].to_numpy(), codes[there:]
+        order = np.lexsort([eta, at, code])
+        at, eta, code = at[order], eta[order], code[order]
+        begins = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+        before, since = np.roll(eta, 1), np.roll(at, 1)
+        before[begins], since[begins] = last[code[begins]], seen[code[begins]]
+        # Stretches without an idle time in them, whichever batches their rows came in.
+        cut = np.zeros(len(at), bool) if self.idle is None else (since != NEVER) & (at - np.maximum(since, 0) >= self.idle)
+        before[cut] = np.nan
+        place = np.flatnonzero(begins | cut)
+        stretch = np.cumsum(begins | cut) - 1
+        taken = _Taken(names, code, at, eta, eta > before + self.jump, stretch, place, cut[place])
+        out, extra = self.take(taken, self.unpack(stored[1] if stored else None, len(names)))
+        # In order: the last one of a series stays.
+        last[code], seen[code] = eta, at
+        stay = np.ones(len(names), bool) if self.idle is None else seen + self.idle > mark
+        if stay.any():
+            table = pd.DataFrame({SERIES: names[stay], "last": last[stay], "seen": seen[stay]})
+            self.known.update((_packed(table), self.pack(extra, stay)))
+        elif stored:
+            self.known.clear()
+        return out, int(seen[stay].min()) if stay.any() else None
 
 
 class _Detect(_Observations):
-    def __init__(self, jump: float, idle: str | None):
-        super().__init__(idle)
-        self.jump = jump
-
-    def take(self, key, at, eta, last, kept):
-        return pd.DataFrame({SERIES: key[0], "ts": _times(at), "eta": eta, "arrival": _jumps(eta, last, self.jump)}), kept
-
-
-def _rolling_last(values: np.ndarray, fn: str, width: int, count: int) -> np.ndarray:
-    """The statistic of the full windows that end at the last ``count`` values."""
-    windows = np.lib.stride_tricks.sliding_window_view(values, width)[-count:]
-    options = {"ddof": 1} if fn == "std" else {}
-    # Slices, as a deviation copies its windows.
-    parts = [getattr(windows[at : at + 65_536], fn)(axis=1, **options) for at in range(0, count, 65_536)]
-    return np.concatenate(parts)
+    def take(self, taken, extra):
+        out = pd.DataFrame({SERIES: taken.names[taken.code], "ts": _times(taken.at), "eta": taken.eta, "arrival": taken.arrival})
+        return (out.iloc[k : k + PACK] for k in range(0, len(out), PACK)), extra
 
 
 class _Features(_Observations):
     """Detection, accumulation, the headway rule, padding and rolling.
 
-    Extra state: the last arrival and how many gaps are listed. ``gaps`` is a list that gaps are
-    appended to; it is cut to the last ``history`` when it has twice as many.
+    Extra state by series: the last arrival, and the last ``history`` gaps. Without ``windows``
+    only the headways themselves follow.
     """
 
-    extra = ", arrival_micros long, listed int"
-
-    def __init__(self, history: int, min_gap: float, jump: float, idle: str | None):
-        super().__init__(idle)
-        self.history, self.min_gap, self.jump = history, min_gap, jump
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.gaps = handle.getListState("gaps", "gap double")
-
-    def start(self) -> tuple:
-        return None, 0
-
-    def clear(self) -> None:
-        self.gaps.clear()
-
-    def take(self, key, at, eta, last, kept):
-        arrived, listed = kept
-        times = at[_jumps(eta, last, self.jump)]
-        if not len(times):
-            return None, kept
-        line = times if arrived is None else np.concatenate([[arrived], times])
-        new, ends = np.diff(line) / 6e7, line[1:]
-        ends, new = ends[new >= self.min_gap], new[new >= self.min_gap]
-        if not len(new):
-            return None, (int(line[-1]), listed)
-        before = np.array([g[0] for g in self.gaps.get()] if listed else [], float)[-self.history :]
-        everything = np.concatenate([before, new])
-        if listed + len(new) >= 2 * self.history:
-            latest = everything[-self.history :]
-            self.gaps.put([(g,) for g in latest.tolist()])
-            listed = len(latest)
-        else:
-            self.gaps.appendList([(g,) for g in new.tolist()])
-            listed += len(new)
+    def __init__(self, history: int, min_gap: float, jump: float, idle: str | None, windows: bool = True):
+        super().__init__(idle, jump)
+        self.history, self.min_gap, self.windows = history, min_gap, windows
+
+    def unpack(self, extra, size):
+        arrived, gaps = np.full(size, NEVER), [np.zeros(0)] * size
+        if extra:
+            table = pa.ipc.open_stream(extra).read_all()
+            arrived[: table.num_rows] = table.column("arrived").to_numpy()
+            lists = table.column("gaps").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            gaps[: table.num_rows] = [values[a:b] for a, b in zip(ends, ends[1:])]
+        return arrived, gaps
+
+    def pack(self, extra, stay):
+        arrived, gaps = extra
+        kept = [gaps[i] for i in np.flatnonzero(stay)]
+        ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
+        table, sink = pa.table({"arrived": arrived[stay], "gaps": lists}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def take(self, taken, extra):
+        arrived, gaps = extra
+        code_of = taken.code[taken.first]
+        at, stretch = taken.at[taken.arrival], taken.stretch[taken.arrival]
+        begins = np.concatenate([[True], stretch[1:] != stretch[:-1]]) if len(at) else np.zeros(0, bool)
+        before = np.roll(at, 1)
+        before[begins] = np.where(taken.fresh[stretch[begins]], NEVER, arrived[code_of[stretch[begins]]])
+        known = before != NEVER
+        y = np.where(known, at - np.where(known, before, at), 0) / 6e7
+        keep = known & (y >= self.min_gap)
+        y, ends, of = y[keep], at[keep], stretch[keep]
+        # In order: the last stretch of a series decides.
+        arrived[code_of[taken.fresh]] = NEVER
+        final = np.full(len(taken.names), -1)
+        final[code_of] = np.arange(len(code_of))
+        latest = final[code_of[stretch]] == stretch
+        arrived[code_of[stretch[latest]]] = at[latest]
+        counts = np.bincount(of, minlength=len(code_of))
+        stops = np.cumsum(counts)
         pad = max(self.history, *[w for _, _, w in ROLLING_FEATURES])
-        padded = np.concatenate([np.full(pad, everything[0]), everything])
-        out: dict[str, Any] = {SERIES: key[0], "ds": _times(ends), "y": new}
-        for name, fn, width in ROLLING_FEATURES:
-            out[name] = _rolling_last(padded, fn, width, len(new))
-        out["history"] = list(np.lib.stride_tricks.sliding_window_view(padded, self.history)[-len(new) :])
-        return pd.DataFrame(out), (int(line[-1]), listed)
+        flat, spots, size = [np.zeros(0)], [np.zeros(0, np.int64)], 0
+        for s in np.flatnonzero(taken.fresh | (counts > 0)):
+            c = code_of[s]
+            if taken.fresh[s]:
+                gaps[c] = np.zeros(0)
+            if counts[s]:
+                everything = np.concatenate([gaps[c], y[stops[s] - counts[s] : stops[s]]])
+                gaps[c] = everything[-self.history :]
+                if self.windows:
+                    flat += [np.full(pad, everything[0]), everything]
+                    size += pad + len(everything)
+                    spots.append(np.arange(size - counts[s], size))
+        out = {SERIES: taken.names[code_of[of]], "ds": _times(ends), "y": y}
+        return self._rows(out, np.concatenate(flat), np.concatenate(spots)), (arrived, gaps)
+
+    def _rows(self, out: dict[str, Any], padded: np.ndarray, spots: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The rows of ``out`` with the statistics of the windows that end at ``spots``, in parts."""
+        for k in range(0, len(out["y"]), PACK):
+            part = {name: column[k : k + PACK] for name, column in out.items()}
+            if self.windows:
+                at = spots[k : k + PACK]
+                for name, fn, width in ROLLING_FEATURES:
+                    options = {"ddof": 1} if fn == "std" else {}
+                    part[name] = getattr(_windows_at(padded, at, width), fn)(axis=1, **options)
+                part["history"] = list(_windows_at(padded, at, self.history))
+            yield pd.DataFrame(part)
+
+
+def _windows_at(values: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` values that end at each place."""
+    return np.lib.stride_tricks.sliding_window_view(values, width)[ends - width + 1]
 
 
 def _with_state(updates: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """``processor`` over each series. State tables need the RocksDB store, which this sets for the session."""
+    """``processor`` over groups of series. State tables need the RocksDB store, which this sets for the session."""
     conf = updates.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # A batch stores what it changed and not the whole tables.
     conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    return updates.groupBy(SERIES).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    group = F.pmod(F.xxhash64(SERIES), F.lit(GROUPS)).cast("int")
+    return updates.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 def detect_arrivals_stream(
@@ -257,7 +319,7 @@ def detect_arrivals_stream(
     observation a series starts anew: its state goes, and the next one is compared with nothing.
     By default none does.
     """
-    return _with_state(updates, _Detect(jump, idle), f"{SERIES} string, ts timestamp, eta double, arrival boolean")
+    return _with_state(updates, _Detect(idle, jump), f"{SERIES} string, ts timestamp, eta double, arrival boolean")
 
 
 def stream_features(
@@ -279,8 +341,9 @@ def stream_features(
 
 
 def stream_headways(updates: DataFrame, **options) -> DataFrame:
-    """series_id, ``ds``, ``y``: kept headways as they finish."""
-    return stream_features(updates, **options).select(SERIES, "ds", "y")
+    """series_id, ``ds``, ``y``: kept headways as they finish, without the windows of ``stream_features``."""
+    chosen = {"history": Config.lookback, "min_gap": Config.min_gap, "jump": Config.eta_jump, "idle": None} | options
+    return _with_state(updates, _Features(**chosen, windows=False), f"{SERIES} string, ds timestamp, y double")
 
 
 def with_future_row(

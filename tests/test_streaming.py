@@ -333,3 +333,21 @@ def test_messages_are_written_by_many_tasks_and_parts_stay_apart(spark, tmp_path
     query = updates.writeStream.foreachBatch(lambda batch, number: batches.append(batch.count())).option("checkpointLocation", str(tmp_path / "c"))
     query.trigger(availableNow=True).start().awaitTermination()
     assert batches == [200, 1, 200, 2]
+
+
+def test_many_series_share_their_state_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "GROUPS", 8)
+    rng = np.random.default_rng(8)
+    for k in range(3):
+        clock = lambda: f"{10 + k}:{rng.integers(0, 60):02d}:{rng.integers(0, 60):02d}"
+        _put(tmp_path, f"{k}.json", [(f"S{i}", clock(), float(rng.integers(0, 30))) for i in range(100) for _ in range(4)])
+    _put(tmp_path, "3.json", [("S0", "20:00:00", 1.0)])
+    stream = live.stream_headways(_stream(spark, str(tmp_path)))
+    query = stream.writeStream.format("memory").queryName("shared").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) < 100
+    arrivals = detect_arrivals(_batch(spark, str(tmp_path)), ["ts", "eta"], chunks=2).where("arrival AND ts < '2024-01-01 19:00:00'")
+    want = headways(arrivals.select("series_id", F.col("ts").alias("ds")), last_n=None, chunks=2).select("series_id", "ds", "y")
+    got = spark.table("shared")
+    assert got.select("series_id").distinct().count() > 50
+    assert collect(got, "series_id", "ds") == collect(want, "series_id", "ds")
