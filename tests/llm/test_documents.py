@@ -223,6 +223,34 @@ def test_base_scores_and_normalised_model(spark):
     assert sum(r["score"] for r in hidden) > sum(r["base_score"] for r in hidden) + 0.1 * sum(r["n_tokens"] for r in hidden)
 
 
+def test_kinds_come_from_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "MARKERS", 6)
+    monkeypatch.setattr(maxent, "KINDS", 2)
+    rng = random.Random(4)
+    # Words of the markers stand in some blocks more than in others.
+    texts = [" ".join(rng.choices([f"{'ab'[i > 200]}{k}" for k in range(9)], k=rng.randrange(0, 9))) for i in range(400)]
+    rows = maxent.blocks(table(spark, texts), 60).cache()
+    kinds = maxent.learn_kinds(rows)
+    count = {}
+    for i, text in enumerate(texts):
+        for w in set(brute.lower_words(text)) if zlib.crc32(str(i).encode()) % 10 else ():
+            count[w] = count.get(w, 0) + 1
+    hashed = lambda w: int(maxent.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    best = sorted(count, key=lambda w: (-count[w], hashed(w)))[:6]
+    assert sorted(kinds.markers.view(np.int64).tolist()) == sorted(map(hashed, best))
+    # Two clusters, at rest under one more round over every training document.
+    place = {int(m): k for k, m in enumerate(kinds.markers.view(np.int64))}
+    points = np.zeros((len(texts), 6))
+    for i, text in enumerate(texts):
+        for w in brute.lower_words(text):
+            if hashed(w) in place:
+                points[i, place[hashed(w)]] += 1
+    unit = maxent._unit(points[[zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]])
+    near = maxent.nearest(unit, kinds.centres)
+    assert len(kinds.centres) == 2 and len(set(near)) == 2
+    assert all(np.allclose(kinds.centres[k], unit[near == k].mean(0), atol=1e-5) for k in range(2))
+
+
 def test_class_probabilities_and_shares_sum_to_one():
     share, words = np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES)
     once = maxent.ONCE
