@@ -1,10 +1,11 @@
 """Suffix-array dedup: byte strings of ``length`` that occur twice, from common-prefix interval trees.
 
-1. ``anchors`` keeps a position where a 100-byte hash is the least of a window, so every
-   string of ``length`` bytes holds an anchor that its content alone fixes. About one
+1. ``anchors`` keeps a position where a 100-byte hash is the first of the least in a window, so
+   every string of ``length`` bytes has one anchor that its content alone fixes. About one
    position in 150 stays, whatever the size of the corpus.
-2. An anchor's context is what strings of ``length`` bytes over it can reach. Contexts that
-   occur twice are repeated as a whole; they are counted, never gathered.
+2. An anchor's context is what the strings of ``length`` bytes that have it span: in a run of one
+   word, where the same hash comes back at each word, little more than one of them. Contexts
+   that occur twice are repeated as a whole; they are counted, never gathered.
 3. Contexts that occur once, but whose anchor occurs again, are compared. Their suffixes
    are sorted in an enhanced suffix array, and a stack scan gives its interval tree: each
    interval is a common prefix with all its occurrences. Occurrences in an interval that
@@ -42,6 +43,7 @@ GRAM = 100
 GROUP = 800
 CELL = 2000
 KEY = ["k1", "k2"]
+PLACE = [*KEY, "pos", "back", "ahead"]
 
 
 def _extreme(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -54,20 +56,23 @@ def _extreme(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:-rest], out[rest:]) if rest else out
 
 
-def anchor_positions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, sums: np.ndarray) -> np.ndarray:
-    """Positions that attain the least hash of some window of ``length - gram + 1`` starts inside a row."""
+def anchor_windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that are the first of the least hashes in some window inside a row, and the span of all such windows.
+
+    Each window of ``length`` bytes, with ``length - gram + 1`` starts of hashed bytes, has one such
+    position, and the windows that have the same one follow each other.
+    """
     n, window = len(data), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     starts = np.arange(n - gram + 1)
-    rank = np.full(n, 0xFFFFFFFF, np.uint32)
-    rank[: len(starts)] = (span_hash(sums, starts, starts + gram) >> U64(32)).astype(np.uint32)
-    least = _extreme(rank[: n - gram + 1], window, np.minimum)  # one for each start of a whole string
+    rank = span_hash(sums, starts, starts + gram) & ~U64(0xFFFFFFFF) | starts.astype(np.uint64)
+    least = (_extreme(rank, window, np.minimum) & U64(0xFFFFFFFF)).astype(np.int64)  # one for each start of a whole string
     row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    least[np.arange(len(least)) + length > row_end] = 0
-    padded = np.concatenate([np.zeros(window - 1, np.uint32), least, np.zeros(window - 1, np.uint32)])
-    top = _extreme(padded, window, np.maximum)  # over the windows that hold a position
-    return np.flatnonzero((rank[: len(top)] == top) & (top > 0))
+    whole = np.flatnonzero(np.arange(len(least)) + length <= row_end)
+    at = least[whole]
+    turn = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+    return at[turn[:-1]], whole[turn[:-1]], whole[turn[1:] - 1] + length
 
 
 def with_key(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -79,8 +84,7 @@ def with_key(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, pos, anchor, context): hashes of the 100 bytes at pos and of the context around."""
-    reach = length - gram
+    """(k1, k2, pos, back, ahead, anchor, context): hashes of the 100 bytes at pos and of the context around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +93,15 @@ def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             for i, j in slices(offsets):
                 part, rows = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 sums = prefix_hash(part)
-                at = anchor_positions(part, rows, length, gram, sums)
+                at, low, high = anchor_windows(part, rows, length, gram, sums)
                 row = np.searchsorted(rows, at, "right") - 1
-                low, high = np.maximum(rows[row], at - reach), np.minimum(rows[row + 1], at + length)
                 around = span_hash(sums, low, high) + mix(((at - low) * 1024 + high - at).astype(np.uint64), 2)
-                arrays = [k1[i:j][row], k2[i:j][row], (at - rows[row]).astype(np.int32)]
+                arrays = [k1[i:j][row], k2[i:j][row], *(x.astype(np.int32) for x in (at - rows[row], at - low, high - at))]
                 arrays += [span_hash(sums, at, at + gram).view(np.int64), mix(around, 1).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*KEY, "pos", "anchor", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*PLACE, "anchor", "context"])
 
     rows = with_key(documents).where(F.octet_length("text") >= length).select("text", *KEY)
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, pos int, anchor bigint, context bigint")
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, pos int, back int, ahead int, anchor bigint, context bigint")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -227,9 +230,8 @@ def _scan(side: str, length: int):
 _CONTEXT = "k1 bigint, k2 bigint, pos int, anchor bigint, `left` binary, `right` binary, key bigint, before int, after int"
 
 
-def _contexts(fetch: DataFrame, documents: DataFrame, length: int, gram: int) -> DataFrame:
+def _contexts(fetch: DataFrame, documents: DataFrame) -> DataFrame:
     """The bytes around the wanted positions; those to the left read backwards."""
-    reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +240,12 @@ def _contexts(fetch: DataFrame, documents: DataFrame, length: int, gram: int) ->
                 text = text.encode()
                 for s in spots:
                     p = s["pos"]
-                    rows.append((k1, k2, p, s["anchor"], text[max(0, p - reach) : p][::-1], text[p : p + length], s["anchor"], 0, 0))
+                    rows.append((k1, k2, p, s["anchor"], text[p - s["back"] : p][::-1], text[p : p + s["ahead"]], s["anchor"], 0, 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
     names = [*KEY, "pos", "anchor", "left", "right", "key", "before", "after"]
-    spots = fetch.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "anchor")).alias("spots"))
+    spots = fetch.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "back", "ahead", "anchor")).alias("spots"))
     joined = with_key(documents).join(spots, KEY)
     return joined.select("text", *KEY, "spots").mapInArrow(run, _CONTEXT)
 
@@ -287,12 +289,12 @@ def _split_groups(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return known.select(*KEY, "pos", "before", "after"), open_
 
 
-def _windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _windows(rows: DataFrame, length: int) -> DataFrame:
     """Spans of windows over the anchors of ``rows`` that occur twice, by counting their hashes.
 
-    A window that reaches further to a side than any neighbour shares can't occur twice.
+    A window that reaches further to a side than any neighbour shares can't occur twice. Contexts
+    share no window, so each comes once.
     """
-    reach = length - gram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -303,7 +305,7 @@ def _windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 buffer = np.frombuffer(b"".join(a[::-1] + b for a, b in zip(part["left"], part["right"])), np.uint8)
                 base = np.cumsum(before + after) - after  # where the anchors stand
                 low = np.maximum(0, length - np.minimum(after, part["near_right"].to_numpy()))
-                high = np.minimum(np.minimum(before, reach), part["near_left"].to_numpy())
+                high = np.minimum(before, part["near_left"].to_numpy())
                 many = np.maximum(high - low + 1, 0)
                 at = np.repeat(np.arange(len(part)), many)
                 back = low[at] + np.arange(len(at)) - (np.cumsum(many) - many)[at]
@@ -319,9 +321,8 @@ def _windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 columns["new"] = (back > part["found_before"].to_numpy()[at]) | (length - back > part["found_after"].to_numpy()[at])
                 yield pd.DataFrame({**columns, "start": (part["pos"].to_numpy()[at] - back).astype(np.int32)})
 
-    found = store(rows.mapInPandas(run, "hash bigint, anchor bigint, k1 bigint, k2 bigint, new boolean, start int").distinct(), "windows")
-    places = found.select("hash", "anchor", *KEY, "start").distinct()
-    twice = places.groupBy("hash", "anchor").agg(F.count("*").alias("n")).where("n > 1")
+    found = store(rows.mapInPandas(run, "hash bigint, anchor bigint, k1 bigint, k2 bigint, new boolean, start int"), "windows")
+    twice = found.groupBy("hash", "anchor").agg(F.count("*").alias("n")).where("n > 1")
     twice = twice.select(F.bitwise_not("hash").alias("same"), F.col("anchor").alias("of"))
     hit = found.where("new").join(twice, (F.bitwise_not("hash") == F.col("same")) & (F.col("anchor") == F.col("of")))
     return hit.select(*KEY, "start", (F.col("start") + length).alias("end"))
@@ -329,18 +330,17 @@ def _windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, start, end): spans, maybe overlapping, whose union is every byte in a repeated string."""
-    reach = length - gram
     rows = store(anchors(documents, length, gram), "anchors")
-    pick = [F.first(c).alias(c) for c in (*KEY, "pos")]
+    pick = [F.first(c).alias(c) for c in PLACE]
     contexts = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), *pick)
     contexts = store(contexts, "contexts")
     again = contexts.where("n > 1").select(F.col("anchor").alias("a"), F.col("context").alias("c"))
     whole = rows.join(again, (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c")))
-    spans = whole.select(*KEY, F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    spans = whole.select(*KEY, (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
     several = store(several.select(F.col("anchor").alias("a")), "several")
-    fetch = store(contexts.join(several, F.col("anchor") == F.col("a")).select("anchor", *KEY, "pos"), "fetch")
-    open_ = store(_contexts(fetch, documents, length, gram), "context-bytes")
+    fetch = store(contexts.join(several, F.col("anchor") == F.col("a")).select("anchor", *PLACE), "fetch")
+    open_ = store(_contexts(fetch, documents), "context-bytes")
     sizes = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
     sizes = store(sizes.select(F.col("key").alias("big")), "big-groups")
     cells = max(1, -(-open_.count() // CELL))
@@ -350,7 +350,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     if not sizes.isEmpty():
         known, unsure = _split_groups(store(hot, "large-groups"), length)
         reached = reached.unionByName(known)
-        spans = spans.unionByName(_windows(unsure, length, gram))
+        spans = spans.unionByName(_windows(unsure, length))
     grown = reached.where("after > 0")
     ends = (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end")
     return spans.unionByName(grown.select(*KEY, *ends))

@@ -91,6 +91,15 @@ def test_repeats_match_all_windows(spark, monkeypatch, seed, group, cell):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == expected
 
 
+def test_windows_have_one_context_each_in_runs_of_a_word(spark):
+    """Runs of one word, where the same hash comes back at each word, do not fill the groups with contexts."""
+    rng = random.Random(5)
+    texts = [f"{rng.randrange(10**30)} " + "the " * rng.randint(20, 90) + f"{rng.randrange(10**30)}" for _ in range(50)]
+    rows = suffixes.anchors(table(spark, texts), 40, 10).cache()
+    assert rows.select("anchor", "context").distinct().count() <= 10 * len(texts)
+    assert rows.selectExpr("sum(back + ahead - 39)").first()[0] == sum(len(t) - 39 for t in texts)
+
+
 def test_repeat_groups_have_all_members():
     texts = [b"xabcdef", b"yabcdeg", b"zabch"]
     rights = sorted(t[1:] for t in texts)
