@@ -5,10 +5,14 @@
 2. Tokens of a host with the same occurrence vector, that is the same number of occurrences
    on each of its pages, form an equivalence class. Vectors are compared by a sum of hashes
    of (page, count), so no host's pages are gathered.
-3. Classes with at least two tokens on at least two pages are valid; a class is nested in
-   that of the nearest enclosing path which is in another class. ``templates`` returns them.
-4. The texts of a valid class that stands on at least half of the host's pages (those with any
-   text) are part of the template, whatever the other pages are. What remains are slots. Of these, the main text takes
+3. Classes of at least two tokens on at least two pages and half of the host's pages (those
+   with any text) are large and frequent. They are valid if they are ordered and nested
+   (``valid_classes``): tokens that change places with others of their class leave it, and of
+   two classes that interleave, or where one stands in several slots of the other, the smaller
+   is dropped. This is told from the sequence of such tokens on each page, of which a host
+   has few different ones.
+4. The texts of valid classes are the template, whatever the other pages are. What remains
+   are slots. Of these, the main text takes
    those under an article or main element if the page has one, and there the class decides
    nothing, as an article that is copied all over a host is still an article. Else it takes those
    not under menus, headers, footers, sidebars, notices, adverts, forms or comments, which are
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -185,18 +190,115 @@ def templates(found: DataFrame) -> DataFrame:
     return valid.select("host", "vector", "pages", "paths", outer.alias("inside"))
 
 
-def fixed_texts(found: DataFrame, share: float = SHARE) -> DataFrame:
-    """(host, fixed): the texts of valid classes that stand on ``share`` of the host's pages.
+def frequent_classes(found: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows of ``tokens`` in classes of two tokens or more on ``share`` of the host's pages; ``size`` is the class's.
 
-    Such texts are at most 1 / share times as many as a page has blocks, which bounds the list.
+    Such tokens are at most 1 / share times as many as a page has, which bounds a host's list.
     """
     hosts = found.where("kind = 'path' AND path = ''").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     frequent = found.join(hosts, F.col("host") == F.col("of")).where((F.col("pages") >= 2) & (F.col("pages") >= share * F.col("all")))
-    classes = frequent.groupBy("host", "vector").agg(
-        F.count("*").alias("size"), F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("texts")
-    )
-    texts = classes.where("size >= 2").select("host", F.explode("texts").alias("token"))
-    return texts.groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    return _large(frequent.select("host", "kind", "token", "vector"))
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """Members of classes of two tokens or more, with the class's size."""
+    sizes = members.groupBy("host", "vector").agg(F.count("*").alias("size")).where("size >= 2")
+    sizes = sizes.withColumnsRenamed({"host": "of", "vector": "class"})
+    return members.drop("size").join(sizes, (F.col("host") == F.col("of")) & (F.col("vector") == F.col("class"))).drop("of", "class")
+
+
+def fixed_texts(found: DataFrame, share: float = SHARE) -> DataFrame:
+    """(host, fixed): the texts of large and frequent classes."""
+    return _texts(frequent_classes(found, share))
+
+
+def _texts(members: DataFrame) -> DataFrame:
+    return members.where("kind = 'text'").groupBy("host").agg(F.collect_list("token").alias("fixed"))
+
+
+def occurrences(found: list[Block]) -> list[int]:
+    """The tokens of a page in order: each block's path and text, and paths without own blocks where they begin."""
+    direct, seen = {b.path for b in found}, set()
+    out = [token_hash("")] if found else []
+    for b in found:
+        steps = b.path.split(">")
+        for k in range(2, len(steps) + 1):
+            path = ">".join(steps[:k])
+            if k == len(steps) or not (path in direct or path in seen):
+                seen.add(path)
+                out.append(token_hash(path))
+        out.append(token_hash(b.path, b.text))
+    return out
+
+
+def _by_host(rows: DataFrame, members: DataFrame, function, out: str) -> DataFrame:
+    """``function`` of the second column of ``rows`` and the (token, class) pairs of its host; equal results of a batch once."""
+    listed = F.collect_list(F.struct("token", F.col("vector").cast("string").alias("class"))).alias("members")
+    lists = members.groupBy(F.col("host").alias("of")).agg(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps: dict[str, dict[int, str]] = {}
+            made: dict[tuple, None] = {}
+            for host, value, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if host not in maps:
+                    maps[host] = {p["token"]: p["class"] for p in pairs.as_py()}
+                made |= dict.fromkeys((host, *row) for row in function(value.as_py(), maps[host]))
+            columns = list(zip(*made)) if made else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+
+    names = {"string": pa.string(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {c.split()[0]: names[c.split()[1]] for c in out.split(", ")}
+    value = rows.columns[1]
+    return rows.join(lists, F.col("host") == F.col("of")).select("host", value, "members").mapInArrow(run, out)
+
+
+def _sequence(page: str | None, of: dict[int, str]) -> Iterator[tuple]:
+    """The page's tokens that are in a class."""
+    yield (tuple(t for t in occurrences(blocks(page or "")) if t in of),)
+
+
+def _class_places(sequence: list[int], of: dict[int, str]) -> dict[str, list[int]]:
+    places: dict[str, list[int]] = {}
+    for i, token in enumerate(sequence):
+        if token in of:
+            places.setdefault(of[token], []).append(i)
+    return places
+
+
+def _ranks(sequence: list[int], of: dict[int, str]) -> Iterator[tuple]:
+    """(token, rank): the place of each occurrence in its round of the class."""
+    sizes = Counter(of.values())
+    for name, places in _class_places(sequence, of).items():
+        for i, place in enumerate(places):
+            yield sequence[place], i % sizes[name]
+
+
+def _slots(sequence: list[int], of: dict[int, str]) -> Iterator[tuple]:
+    """(vector, outer, slot): where each round of a class stands in each larger class, 0 outside and -1 if across its tokens."""
+    sizes = Counter(of.values())
+    places = _class_places(sequence, of)
+    for outer, around in places.items():
+        for name, at in places.items():
+            n, m = sizes[name], sizes[outer]
+            if (m, outer) > (n, name):
+                for i in range(0, len(at), n):
+                    first, last = bisect(around, at[i]), bisect(around, at[min(i + n, len(at)) - 1])
+                    yield name, outer, first % m if first == last else -1
+
+
+def valid_classes(pages: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` without tokens that are out of order in their class, and without classes that are not nested."""
+    rows = _keyed(pages).select("host", "html")
+    sequences = store(_by_host(rows, members, _sequence, "host string, sequence array<bigint>").distinct(), "sequences")
+    ranks = _by_host(sequences, members, _ranks, "host string, token bigint, rank bigint").groupBy("host", "token")
+    steady = ranks.agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low = high").select("host", "token")
+    ordered = store(_large(members.join(steady, ["host", "token"]).select(*members.columns)), "ordered")
+    slots = _by_host(sequences, ordered, _slots, "host string, vector string, outer string, slot bigint")
+    slots = slots.groupBy("host", "vector", "outer").agg(F.min("slot").alias("low"), F.max("slot").alias("high"))
+    crossing = slots.where("low < 0 OR low < high").select(F.col("host").alias("of"), F.col("vector").alias("class")).distinct()
+    same = (F.col("host") == F.col("of")) & (F.col("vector").cast("string") == F.col("class"))
+    return ordered.join(crossing, same, "left_anti")
 
 
 def main_text(page: str, fixed: frozenset[int]) -> str:
@@ -211,7 +313,8 @@ def main_text(page: str, fixed: frozenset[int]) -> str:
 
 def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    fixed = store(fixed_texts(store(tokens(pages), "tokens"), share), "fixed-texts").withColumnRenamed("host", "of")
+    members = store(frequent_classes(store(tokens(pages), "tokens"), share), "classes")
+    fixed = store(_texts(valid_classes(pages, members)), "fixed-texts").withColumnRenamed("host", "of")
     rows = _keyed(pages).join(fixed, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,25 @@ def test_templates_decide_on_most_hosts(spark):
     assert found == brute_template(rows)
 
 
+def test_classes_are_ordered_and_nested(spark):
+    """Texts that change places are no template, nor the smaller of two classes that interleave."""
+    rows, want = [], {}
+    for i in range(8):
+        links = ["<p>Left</p>", "<p>Right</p>"][:: 1 if i % 2 else -1]
+        rows.append((i, f"http://turns.example/{i}", f"<div><p>Shop</p>{''.join(links)}<p>Cart</p><p>Story {i}</p></div>"))
+        want[i] = "\n\n".join([*(("Left", "Right") if i % 2 else ("Right", "Left")), f"Story {i}"])
+        # Three tokens on all pages; two on the last five, now inside the first slot, now across two.
+        small = ["<p>x</p>", "<p>y</p>"] if i > 2 else ["", ""]
+        inner = [small[0] + small[1], ""] if i % 2 else small
+        rows.append((10 + i, f"http://cross.example/{i}", f"<b>one</b><hr>{inner[0]}<b>two</b><hr>{inner[1]}<b>three</b><hr><p>Story {i}</p>"))
+        want[10 + i] = "\n\n".join([*(("x", "y") if i > 2 else ()), f"Story {i}"])
+        # The same, always in one slot.
+        rows.append((20 + i, f"http://nest.example/{i}", f"<b>one</b><hr>{''.join(small)}<b>two</b><hr><b>three</b><hr><p>Story {i}</p>"))
+        want[20 + i] = f"Story {i}"
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in templates.extract(pages).collect()} == want
+
+
 def brute_template(rows) -> set:
     """(host, text token) of classes of equal occurrence vectors, two tokens or more, on half of a host's pages."""
     out = set()
