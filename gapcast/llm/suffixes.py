@@ -18,6 +18,10 @@
    with contexts where it may not be have all their windows counted by hash, which needs
    no groups.
 
+Strings of a second, lesser length can be counted as well and are not cut. They are looked for
+first, in whole texts; a repeated string of ``length`` bytes lies inside one maximal run of
+theirs, so only runs of that size are searched for those that are cut.
+
 Texts are UTF-8 bytes; null counts as empty. Matches do not cross documents. Repeated rows
 are repeats of each other, also with the same doc_id. A document's spans are held together,
 which its own length bounds. Other columns are left out, whatever their names.
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapcast.llm.textbytes import U64, buffer_of, mix, prefix_hash, slices, span_hash
-from gapcast.plans.scratch import store
+from gapcast.plans.scratch import drop_stored, store, stored_paths
 
 LENGTH = 400
 GRAM = 100
@@ -84,23 +88,35 @@ def with_key(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, pos, back, ahead, anchor, context): hashes of the 100 bytes at pos and of the context around."""
+    """(k1, k2, pos, back, ahead, anchor, context): hashes of the ``gram`` bytes at pos and of the context around."""
+    return _anchors(with_key(documents), length, gram)
+
+
+def _anchors(keyed: DataFrame, length: int, gram: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """As ``anchors``; if ``within`` names a column of runs, only strings inside one of a text's runs count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffer_of(batch.column(0))
-            k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            texts, k1, k2 = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            first = np.zeros(len(k1), np.int64)
+            if within:
+                of = [(i, r["start"], r["end"]) for i, runs in enumerate(batch.column(3).to_pylist()) for r in runs]
+                raw = [text.encode() for text in texts.to_pylist()]
+                texts = pa.array([raw[i][s:e] for i, s, e in of], pa.large_binary())
+                row_of, first = np.array([(i, s) for i, s, _ in of], np.int64).reshape(-1, 2).T
+                k1, k2 = k1[row_of], k2[row_of]
+            data, offsets = buffer_of(texts)
             for i, j in slices(offsets):
                 part, rows = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 sums = prefix_hash(part)
                 at, low, high = anchor_windows(part, rows, length, gram, sums)
                 row = np.searchsorted(rows, at, "right") - 1
                 around = span_hash(sums, low, high) + mix(((at - low) * 1024 + high - at).astype(np.uint64), 2)
-                arrays = [k1[i:j][row], k2[i:j][row], *(x.astype(np.int32) for x in (at - rows[row], at - low, high - at))]
+                arrays = [k1[i:j][row], k2[i:j][row], *(x.astype(np.int32) for x in (at - rows[row] + first[i:j][row], at - low, high - at))]
                 arrays += [span_hash(sums, at, at + gram).view(np.int64), mix(around, 1).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*PLACE, "anchor", "context"])
 
-    rows = with_key(documents).where(F.octet_length("text") >= length).select("text", *KEY)
+    rows = keyed.where(F.octet_length("text") >= length).select("text", *KEY, *within)
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, pos int, back int, ahead int, anchor bigint, context bigint")
 
 
@@ -230,7 +246,7 @@ def _scan(side: str, length: int):
 _CONTEXT = "k1 bigint, k2 bigint, pos int, anchor bigint, `left` binary, `right` binary, key bigint, before int, after int"
 
 
-def _contexts(fetch: DataFrame, documents: DataFrame) -> DataFrame:
+def _contexts(fetch: DataFrame, keyed: DataFrame) -> DataFrame:
     """The bytes around the wanted positions; those to the left read backwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +262,7 @@ def _contexts(fetch: DataFrame, documents: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
     names = [*KEY, "pos", "anchor", "left", "right", "key", "before", "after"]
     spots = fetch.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "back", "ahead", "anchor")).alias("spots"))
-    joined = with_key(documents).join(spots, KEY)
+    joined = keyed.select("text", *KEY).join(spots, KEY)
     return joined.select("text", *KEY, "spots").mapInArrow(run, _CONTEXT)
 
 
@@ -330,7 +346,12 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, start, end): spans, maybe overlapping, whose union is every byte in a repeated string."""
-    rows = store(anchors(documents, length, gram), "anchors")
+    return _spans(with_key(documents), length, gram)
+
+
+def _spans(keyed: DataFrame, length: int, gram: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """As ``repeated_spans``, for rows with ``text``, their key and what ``within`` names."""
+    rows = store(_anchors(keyed, length, gram, within), "anchors")
     pick = [F.first(c).alias(c) for c in PLACE]
     contexts = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), *pick)
     contexts = store(contexts, "contexts")
@@ -340,7 +361,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     several = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
     several = store(several.select(F.col("anchor").alias("a")), "several")
     fetch = store(contexts.join(several, F.col("anchor") == F.col("a")).select("anchor", *PLACE), "fetch")
-    open_ = store(_contexts(fetch, documents), "context-bytes")
+    open_ = store(_contexts(fetch, keyed), "context-bytes")
     sizes = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
     sizes = store(sizes.select(F.col("key").alias("big")), "big-groups")
     cells = max(1, -(-open_.count() // CELL))
@@ -368,10 +389,38 @@ def merged(starts: list[int], ends: list[int], size: int) -> list[tuple[int, int
     return runs
 
 
-def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+def _collected(spans: DataFrame) -> DataFrame:
+    """(k1, k2, spans): all spans of a text."""
+    return spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def with_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """``keyed`` and ``runs``, the maximal runs of bytes in repeated strings of ``length``; stored.
+
+    The intermediate tables of the search are deleted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [([s["start"] for s in spans], [s["end"] for s in spans]) for spans in batch.column(2).to_pylist()]
+            made = pa.array([[{"start": s, "end": e} for s, e in merged(starts, ends, max(ends))] for starts, ends in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=[*KEY, "runs"])
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    before = set(stored_paths())
+    collected = _collected(_spans(keyed, length, gram))
+    runs = store(collected.mapInArrow(run, "k1 bigint, k2 bigint, runs array<struct<start int, end int>>"), "runs")
+    mine = [p for p in stored_paths() if p not in before]
+    drop_stored(keyed.sparkSession, mine[:-1])
+    return store(keyed.join(runs, KEY, "left"), "texts-with-runs")
+
+
+def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), marked: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, the columns named in ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     kept_text leaves out what a span has left of a character it cut; the hash is of all kept bytes.
+    With ``marked``, a length up to ``length`` and its gram, also n_repeated and n_repeated_spans:
+    the bytes in strings of that length that start elsewhere too, cut or not, and their maximal runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,14 +435,27 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tu
                 rows.append((len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             made = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            kept = [get[c] for c in others]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*others, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            kept = [get[c] for c in [*others, *counted]]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*others, *counted, *cut])
 
-    others = ["doc_id", *keep]
-    spans = repeated_spans(documents, length, gram).distinct().groupBy(*KEY)
-    spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    others, counted = ["doc_id", *keep], ["n_repeated", "n_repeated_spans"] if marked else []
+    cut = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     wide = with_key(documents, keep)
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + "".join(f", {c} bigint" for c in counted)
     schema += ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
-    return wide.join(spans, KEY, "left").select(*others, "text", "spans").mapInArrow(run, schema)
+    if marked is None:
+        found = _collected(repeated_spans(documents, length, gram))
+        return wide.join(found, KEY, "left").select(*others, "text", "spans").mapInArrow(run, schema)
+    if marked[0] > length:
+        raise ValueError("strings that are counted may not be longer than those that are cut")
+    texts = with_runs(wide, *marked)
+    size = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    numbers = F.coalesce(size, F.lit(0)).alias("n_repeated"), F.greatest(F.size("runs"), F.lit(0)).cast("bigint").alias("n_repeated_spans")
+    long = F.coalesce(F.exists("runs", lambda r: r["end"] - r["start"] >= length), F.lit(False))
+    rest = texts.where(~long).withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    within = texts.where(long).withColumn("runs", F.filter("runs", lambda r: r["end"] - r["start"] >= length))
+    found = _collected(_spans(within, length, gram, ("runs",)))
+    every = texts.where(long).join(found, KEY, "left").unionByName(rest)
+    rows = every.select(*others, *numbers, "text", "spans").mapInArrow(run, schema)
+    return rows.select(*others, *cut, *counted)
